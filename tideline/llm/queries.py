@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import maxscore, mixing, url_filter, warc
+from . import dart_minhash, decontaminate, maxscore, mixing, secret_scan, url_filter, warc
 from .common import table
 
 #: The rules that op1 judges by.
@@ -41,6 +41,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -91,6 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_maxscore": op4_maxscore,
         "op5_mixing": op5_mixing,
         "op7_warc": op7_warc,
+        "op8_decontamination": op8_decontamination,
+        "op9_dart_minhash": op9_dart_minhash,
+        "op10_secret_scans": op10_secret_scans,
     }
 
 
