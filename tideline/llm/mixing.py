@@ -3,10 +3,10 @@
 A source with target T and size S wants every document T / S times: the whole part is certain, the
 fraction is a copy probability. Fractions are rounded dependently: within a block of documents of
 one source and size octave, two fractional documents exchange probability mass, weighted by their
-sizes, until one of them is 0 or 1; the words expected from the pair stay the same. What is left
-fractional in a block (one document) goes up a reduction tree over blocks, and the octaves' last
-documents meet at the source's root, largest first, each taking over the words that the ones before
-it missed. A source therefore ends within about the size of a small document of its target.
+sizes, until one of them is 0 or 1; the words expected from the pair stay the same. The few that a
+block leaves fractional go up a reduction tree over blocks, and the octaves' last ones meet at the
+source's root, largest first, where each passes what it took too much or too little on to all those
+after it. A source therefore ends within about the size of a small document of its target.
 
 Defined cases: a null text has size 0 and is taken 0 times in words; a null source is a source of
 its own, ordered last; a source of size 0 has target 0; rows that repeat an id are drawn one by one
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, small, spool
 
-#: Rows of a leaf block, and residuals that meet in one node of the tree.
-BLOCK, FAN_IN = 2048, 64
+#: Rows of a leaf block; rows that a block or node leaves fractional; children of a node of the tree.
+BLOCK, LEFT, FAN_IN = 512, 24, 32
 
 STATE = "id long, known boolean, src long, octave int, block long, size double, p double, whole int, u double, key long, m long"
 
@@ -72,11 +72,13 @@ def _uniform(*columns: Column | str) -> Column:
 
 
 def _pivot(block: pd.DataFrame) -> pd.DataFrame:
-    """Rounds all but at most one of a block's fractional rows; the words p * size of the block stay the same."""
+    """Rounds all but LEFT of a block's fractional rows; the words p * size of the block stay the same."""
     block = block.sort_values(["size", "key", "u"], ascending=[False, True, True], kind="stable")
     p, size, u = (block[c].to_numpy(dtype=float, copy=True) for c in ("p", "size", "u"))
-    held = -1
+    held, left = -1, int(((p > 0) & (p < 1)).sum())
     for i in np.flatnonzero((p > 0) & (p < 1)):
+        if left <= LEFT:
+            break
         if held < 0:
             held = i
             continue
@@ -87,20 +89,30 @@ def _pivot(block: pd.DataFrame) -> pd.DataFrame:
         p[i] -= moved / size[i]
         for j in (held, i):
             p[j] = 0.0 if p[j] < 1e-9 else 1.0 if p[j] > 1 - 1e-9 else p[j]
-        left = [j for j in (held, i) if 0 < p[j] < 1]
-        held = left[0] if left else -1
+        still = [j for j in (held, i) if 0 < p[j] < 1]
+        left -= 2 - len(still)
+        held = still[0] if still else -1
     return block.assign(p=p)
 
 
 def _root(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rounds a source's last fractional rows, one an octave, largest first; a miss moves on to the next."""
+    """Rounds a source's last fractional rows, largest first; what one misses is spread over all that follow.
+
+    Chance decides wherever the rows that follow can make up for either outcome, else the outcome that they can.
+    """
     rows = rows.sort_values(["size", "key", "u"], ascending=[False, True, True], kind="stable")
     p, size, u = (rows[c].to_numpy(dtype=float, copy=True) for c in ("p", "size", "u"))
+    rest = np.cumsum(size[::-1])[::-1]
+    mass = np.append(np.cumsum((p * size)[::-1])[::-1], 0.0)  # words that the rows from i on are expected to take
     missed = 0.0
     for i in range(len(p)):
-        wanted = p[i] + missed / size[i]
-        taken = 1.0 if u[i] < wanted else 0.0
-        missed += (p[i] - taken) * size[i]
+        short, over = missed + p[i] * size[i], missed + (p[i] - 1) * size[i]
+        excess = max(0.0, -over - mass[i + 1]), max(0.0, short - (rest[i] - size[i] - mass[i + 1]))
+        if excess[0] != excess[1]:
+            taken = float(excess[0] < excess[1])
+        else:
+            taken = float(u[i] < p[i] + missed / rest[i])
+        missed = over if taken else short
         p[i] = taken
     return rows.assign(p=p)
 
