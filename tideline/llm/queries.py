@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, maxscore, mixing, secret_scan, url_filter, warc
+from . import brown_lm, dart_minhash, decontaminate, maxscore, mixing, quality, secret_scan, url_filter, warc
 from .common import table
 
 #: The rules that op1 judges by.
@@ -29,6 +29,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules(spark))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -37,6 +41,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -100,8 +108,10 @@ FROM w
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op3_brown_lm": op3_brown_lm,
         "op4_maxscore": op4_maxscore,
         "op5_mixing": op5_mixing,
+        "op6_quality": op6_quality,
         "op7_warc": op7_warc,
         "op8_decontamination": op8_decontamination,
         "op9_dart_minhash": op9_dart_minhash,
