@@ -180,3 +180,26 @@ def mix(documents: DataFrame, seed: int = 7) -> DataFrame:
         (F.col("size") * F.col("copies")).alias("taken"),
         "copies",
     )
+
+
+def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
+    """The documents of the mix, whole, with size, source_size, target, copies and taken.
+
+    Rows equal in id, source and text are one unit here and get the same number of copies.
+    """
+    key = {"mix_size": words(F.col("text")), "mix_key": F.xxhash64(F.coalesce("text", F.lit("")))}
+    columns = documents.columns
+    if clash := {*columns} & {*key, "size", "source_size", "target", "copies", "taken"}:
+        documents = documents.drop(*clash)
+        columns = documents.columns
+    rows = documents.withColumns(key)
+    units = spool(rows.select(F.col("doc_id").alias("id"), "source", F.col("mix_size").alias("size"), F.col("mix_key").alias("key")), "sizes")
+    targets = spool(source_targets(units), "targets")
+    drawn = spool(copies(units, targets, seed, unit="key").where("copies > 0"), "drawn")
+    targets = F.broadcast(targets) if small(targets) else targets
+    drawn = drawn.join(targets, "src").select(
+        F.col("id").alias("u_id"), F.col("source").alias("u_source"), F.col("key").alias("u_key"), "size", "source_size", "target", "copies"
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("u_id")) & F.col("source").eqNullSafe(F.col("u_source")) & (F.col("mix_key") == F.col("u_key"))
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return rows.join(drawn, same).select(*columns, "size", "source_size", "target", "copies", taken)

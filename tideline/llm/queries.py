@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, dart_minhash, decontaminate, maxscore, mixing, quality, secret_scan, url_filter, warc
+from . import brown_lm, dart_minhash, decontaminate, maxscore, mixing, pii, quality, secret_scan, url_filter, warc
 from .common import table
 
 #: The rules that op1 judges by.
@@ -29,6 +29,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules(spark))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ FROM w
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_pii": op2_pii,
         "op3_brown_lm": op3_brown_lm,
         "op4_maxscore": op4_maxscore,
         "op5_mixing": op5_mixing,
