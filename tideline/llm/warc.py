@@ -85,7 +85,7 @@ def record(page_id, url, payload: bytes, digest: str, size: int, record_type: st
     """One WARC record; a revisit has the headers of the payload but not the payload."""
     known = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
     refers = "" if refers_to is None else f"WARC-Refers-To: <urn:page:{refers_to}>\r\n"
-    target = "-" if url is None else "u:" + quote(url, safe=":/?#[]@!$&'()*+,;=%")
+    target = "-" if url is None else "u:" + quote(url, safe=":/?#[]@!$&'()*+,;=")
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {target} {digest}")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if record_type == "response" else b"")
