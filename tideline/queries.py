@@ -1,10 +1,4 @@
-"""The registry of queries over the supplied tables, with the SQL that must give the same rows."""
+"""All queries over the supplied tables and the SQL that must give the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import aggregates, folds, joins, models, quotes, scalars, sets, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
