@@ -39,8 +39,8 @@ SKIPPABLE, DICTIONARY = 0x184D2A5D, 0xEC30A437
 #: Payloads shorter than this are always stored.
 LEAST = 1000
 
-#: Bytes of payload that an archive aims at, of records sampled for its dictionary, of the dictionary.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 16 << 20, 1 << 20, 32 << 10
+#: Bytes of records sampled for an archive's dictionary, of the dictionary; the sample's bytes for each of the dictionary's.
+SAMPLE_BYTES, DICTIONARY_BYTES, RATIO = 1 << 20, 32 << 10, 32
 
 #: Copies of a duplicate's entry, so that a payload which many pages share is no hot key.
 SALTS = 64
@@ -120,11 +120,12 @@ def parse(data: bytes) -> dict:
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary from sampled records; raw content where they are too few to train on."""
+    """A dictionary from sampled records, small beside them; raw content where they are too few to train on."""
+    size = min(DICTIONARY_BYTES, max(1024, sum(map(len, records)) // RATIO))
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, records, k=200, d=8, level=3).as_bytes()
+        return zstandard.train_dictionary(size, records, k=200, d=8, level=3).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(records)[:DICTIONARY_BYTES] or b"WARC/1.1\r\n"
+        return b"".join(records)[:size] or b"WARC/1.1\r\n"
 
 
 def frames(records: Iterator[bytes], level: int = 3) -> Iterator[bytes]:
