@@ -161,6 +161,24 @@ def test_trees_find_unusual_formats_on_held_out_templates():
     assert (picked & y).sum() / y.sum() > 0.5
 
 
+def test_neighbouring_numbers_do_not_hide_each_other(spark):
+    cases = {
+        "pay by card 4111 1111 1111 1111 12/27 today": ["4111 1111 1111 1111"],
+        "call 555-123-4567 555-234-5678 now": ["555-123-4567", "555-234-5678"],
+        "call 555-123-4567 / 555-234-5678 now": ["555-123-4567", "555-234-5678"],
+        "tel (415) 555-2671 2024 again": ["(415) 555-2671"],
+        "call " + " ".join(f"{200 + 7 * i}-{300 + 11 * i}-{4000 + 13 * i}" for i in range(20)): [f"{200 + 7 * i}-{300 + 11 * i}-{4000 + 13 * i}" for i in range(20)],
+    }
+    for t, want in cases.items():
+        assert set(want) <= {t[a:b] for _, a, b in pii.proposals(t)}
+    model = pii.train(docs(spark, [(1, "nothing here", "a")]))
+    for t, want in cases.items():
+        _, more = pii.select([t], model)[0]
+        assert sorted(t[a:b] for _, a, b in more) == sorted(want)
+    clean = pii.redact(docs(spark, [(1, "call 555-123-4567 555-234-5678 now", "a")]), model)
+    assert clean.first().text == "call [PHONE] [PHONE] now"
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 

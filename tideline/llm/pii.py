@@ -2,13 +2,15 @@
 
 Four formats (e-mail address, IP address, payment card, telephone number) give the base spans, which
 are always redacted. Generators of high recall propose further, overlapping spans: numbers in any
-grouping, obfuscated addresses, dotted groups. Gradient-boosted trees score each proposal by its
+grouping (every part of a run of digit groups that begins and ends with a group, so that neighbouring
+numbers do not hide each other), obfuscated addresses, dotted groups. Gradient-boosted trees score each proposal by its
 shape and by the text around it; a kind's calibrated threshold, the lowest that keeps the asked
 precision on held-out proposals, selects, best score first, spans that overlap no other.
 
 The trees learn from labelled proposals: those of a bounded sample of documents (labelled by whether
-a base span covers exactly them) and of fixed templates, formatted from a seeded generator (labelled
-by what the template stands for: personal data in unusual formats, or dates, amounts, versions, ...).
+a base span is exactly them; parts of a run that touch no base span are not labelled) and of fixed
+templates, formatted from a seeded generator (labelled by what the template stands for: personal data
+in unusual formats, or dates, amounts, versions, ..., alone or beside other numbers).
 
 Defined cases: a null or empty text has no spans; rows that repeat an id are scanned one by one, and
 so are rows without one; spans of two kinds may overlap if both are base spans; an empty table gives
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,13 +43,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: What the generators propose: numbers of some length, dotted groups, addresses with a written at and dot.
-NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,24}+(?![0-9])")
+NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[\x20().\-/]{0,3}[0-9]){6,}+")
+DIGITS = re.compile(r"[0-9]+")
 GROUPS = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[.,:_][0-9]{1,3}){3}+(?![0-9])")
 WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]{1,63}+){1,8}")
 
 #: Documents sampled for training; their proposals at most; precision asked of a threshold.
 SAMPLE_DOCUMENTS, PROPOSALS, PRECISION = 2000, 20_000, 0.99
 
+#: Digits of a proposed number; proposals scored at once.
+FEWEST, MOST, SCORED = 7, 19, 20_000
+
 CONTEXT = {"email": "mail contact e-mail write", "ip": "ip host server address ping", "card": "card visa credit account iban payment", "phone": "tel phone call fax mobile whatsapp cell"}
 AGAINST = "version order isbn invoice date id no number ref total chapter page range score".split()
 
@@ -88,19 +95,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def numbers(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """start, end, digits of each part of a run that begins and ends with a digit group, and whether it is the whole run."""
+    for run in NUMBER.finditer(text):
+        groups = [m.span() for m in DIGITS.finditer(text, *run.span())]
+        for i, (start, _) in enumerate(groups):
+            if start > run.start() and text[start - 1] in "+(":
+                start -= 1
+            n = 0
+            for a, end in groups[i : i + MOST]:
+                n += end - a
+                if n > MOST:
+                    break
+                if n >= FEWEST:
+                    yield start, end, n, (start, end) == run.span()
+
+
 def proposals(text: str) -> list[tuple[int, int, int]]:
     """kind, start, end of what may be personal data; overlapping, of high recall."""
     out = [(0, m.start(), m.end()) for m in WRITTEN.finditer(text)]
     out += [(1, m.start(), m.end()) for m in GROUPS.finditer(text)]
-    for m in NUMBER.finditer(text):
-        n = len(digits_of(m[0]))
+    for start, end, n, _ in numbers(text):
         if 12 <= n <= 19:
-            out.append((2, m.start(), m.end()))
+            out.append((2, start, end))
         if 7 <= n <= 15:
-            out.append((3, m.start(), m.end()))
+            out.append((3, start, end))
     return out
 
 
+class Taken:
+    """Spans that overlap no other, for looking up whether a further one does."""
+
+    def __init__(self, spans: list[tuple[int, int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     """Format and context of a proposed span."""
     s = text[start:end]
@@ -110,6 +155,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     before, after = text[max(0, start - 24) : start].lower(), text[end : end + 12].lower()
     previous, following = text[start - 1 : start], text[end : end + 1]
     near = re.findall(r"[^\W\d_]+", before)
+    inner = re.findall(r"[^0-9]+", s.lstrip("+("))  # what joins its groups, and what joins it to the groups beside it
+    left, right = re.search(r"([0-9]+)([\x20().\-/]{1,3})\Z", before), re.match(r"([\x20().\-/]{1,3})([0-9]+)", after)
     return [
         float(kind), float(end - start), float(len(d)), float(len(groups)), float(max(groups)), float(min(groups)), float(groups[0]), float(groups[-1]),
         *[float(s.count(c)) for c in " -./(+:,"],
@@ -120,6 +167,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(any(w in AGAINST for w in near)),
         float(previous.isalnum()), float(previous in "$€£#"), float(bool(previous) and previous in "./-:,_="),
         float(following.isalnum()), float(bool(following) and following in "%°/-_"), float(bool(re.match(r"\.?[0-9]", after))),
+        float(len(left[1]) if left else 0), float(len(right[2]) if right else 0), float(left is not None and left[2] in inner), float(right is not None and right[1] in inner),
+        float(len(set(inner))), float(s.count("(") == s.count(")")),
         float(len(groups) >= 3 and groups[0] == 4 and groups[1] == 2), float(re.match(r"(19|20)\d\d\b", s) is not None),
     ]
 
@@ -134,7 +183,7 @@ class Trees:
     bars: tuple[float, ...] = (1.1,) * len(KINDS)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(self.cuts)], axis=1)
+        return np.array([np.searchsorted(c, x[:, i], side="right") for i, c in enumerate(self.cuts)], dtype=np.int64).reshape(len(self.cuts), len(x)).T
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         b, f = self.binned(x), np.full(len(x), self.start)
@@ -232,20 +281,30 @@ def templates(n: int = 4000, seed: int = 3) -> list[tuple[str, int, int, int, in
         lambda: f"{d(2)} {d(2)} {d(2)} {d(2)} {d(2)}",
         lambda: f"{d(4)}/{d(4)}",
         lambda: f"{word()}(at){word()}",
+        lambda: r.choice([" ", "  ", " - ", " / "]).join(d(r.randint(1, 6)) for _ in range(r.randint(3, 8))),
     ]
+    beside = [lambda: f"{r.randint(1, 12):02}/{r.randint(20, 35)}", lambda: str(r.randint(1990, 2030)), lambda: d(r.randint(1, 5))]
     out = []
     for _ in range(n):
         kind, make = r.choice(personal) if r.random() < 0.5 else (None, r.choice(other))
         s = make()
         lead = "" if r.random() < 0.6 else r.choice(CONTEXT[KINDS[kind]].split()) if kind is not None else r.choice(AGAINST)
         mark = r.choice(["", "", "", "#", "$", "v"]) if kind is None else ""
-        head = " ".join([word() for _ in range(4)] + [lead] * bool(lead)) + r.choice([" ", ": "]) + mark
-        text = f"{head}{s} {word()} {word()}."
-        for k, a, b in proposals(text):
-            if a < len(head) + len(s) and b > len(head):
-                exact = kind == k and abs(a - len(head)) <= 0 and b == len(head) + len(s)
-                if exact or kind != k:
-                    out.append((text, k, a, b, int(exact)))
+        text = " ".join([word() for _ in range(4)] + [lead] * bool(lead)) + r.choice([" ", ": "]) + mark
+        first, personal_at = len(text), set()
+        parts = [(kind, s)]
+        if r.random() < 0.4:  # other numbers beside it, or a row of its like
+            by = r.choice([" ", " ", "  ", " / ", " - "])
+            more = [(kind, make()) for _ in range(r.randint(1, 3))] if r.random() < 0.5 else [(None, r.choice(beside)())]
+            parts = parts + more if r.random() < 0.7 else more + parts
+        for i, (k, part) in enumerate(parts):
+            text += by if i else ""
+            if k is not None:
+                personal_at.add((k, len(text), len(text) + len(part)))
+            text += part
+        last = len(text)
+        text += f" {word()} {word()}."
+        out += [(text, *span, int(span in personal_at)) for span in proposals(text) if span[1] < last and span[2] > first]
     return out
 
 
@@ -257,9 +316,11 @@ def train(documents: DataFrame, most: int = SAMPLE_DOCUMENTS, kept: int = PROPOS
             x, y = [], []
             for text in batch.column("text").to_pylist():
                 base = set(base_spans(text))
+                taken, parts = Taken(base), {(a, b) for a, b, _, whole in numbers(text) if not whole}
                 for span in proposals(text):
-                    x.append(features(text, *span))
-                    y.append(int(span in base))
+                    if span[0] < 2 or span[1:] not in parts or taken.touches(*span[1:]):
+                        x.append(features(text, *span))
+                        y.append(int(span in base))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
 
     ids = documents.where("doc_id is not null and text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
@@ -279,19 +340,29 @@ def train(documents: DataFrame, most: int = SAMPLE_DOCUMENTS, kept: int = PROPOS
 def select(texts: list[str], model: Trees) -> list[tuple[list, list]]:
     """For each text its base spans and the further spans that the model selects."""
     base = [base_spans(t) for t in texts]
-    asked, x = [], []
+    asked, x, good = [], [], []
+
+    def judge() -> None:
+        p = model.probability(np.array(x)) if x else []
+        good.extend((-q, a - b, i, k, a, b) for q, (i, k, a, b) in zip(p, asked, strict=True) if q >= model.bars[k])
+        asked.clear()
+        x.clear()
+
     for i, t in enumerate(texts):
+        taken = Taken(base[i])
         for k, a, b in proposals(t):
-            if not any(a < e and s < b for _, s, e in base[i]):
+            if model.bars[k] <= 1 and not taken.touches(a, b):
                 asked.append((i, k, a, b))
                 x.append(features(t, k, a, b))
+                if len(x) == SCORED:
+                    judge()
+    judge()
     more: list[list] = [[] for _ in texts]
-    if asked:
-        p = model.probability(np.array(x))
-        for n in np.argsort(-p, kind="stable"):
-            i, k, a, b = asked[n]
-            if p[n] >= model.bars[k] and not any(a < e and s < b for _, s, e in more[i]):
-                more[i].append((k, a, b))
+    chosen = [Taken() for _ in texts]
+    for _, _, i, k, a, b in sorted(good):  # of equal scores the longer span
+        if not chosen[i].touches(a, b):
+            chosen[i].add(a, b)
+            more[i].append((k, a, b))
     return list(zip(base, more, strict=True))
 
 
