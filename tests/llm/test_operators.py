@@ -420,6 +420,27 @@ def test_decontamination(spark, texts):
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0 and decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", (100_000, 0))
+def test_edited_passages_are_found_in_every_window(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontaminate.small, "__defaults__", (broadcast_rows,))
+    r = random.Random(18)
+    items, held, want = [], [], {}
+    for i in range(20):
+        w = prose(r, 100, 3000).split()
+        items.append((i, " ".join(w)))
+        shifted = [*w[:7], "inserted", "words", *w[7:-7], *w[-5:]]
+        turned = [*w[50:], *w[:50]]  # moved by more than any insertion
+        for k, edited in enumerate((shifted, turned)):
+            t = [*prose(r, 30, 3000).split(), *edited, *prose(r, 30, 3000).split()]
+            held.append((2 * i + k, " ".join(t), "a"))
+            best = max(round(similarity(shingled(t[s : s + 100]), shingled(w)), 9) for s in range(len(t) - 99))
+            if best >= 0.8:
+                want[2 * i + k, i] = best
+    assert len(want) == 40
+    got = decontaminate.leaks(docs(spark, held), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in got} == want
+
+
 def test_blocks_find_every_fingerprint_within_the_radius(spark):
     r = random.Random(9)
     signed = lambda x: x - (1 << 64) if x >> 63 else x

@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-A window of a document is compared with a benchmark item of its own length in words. Windows are
-placed where one of an item's seed shingles stands in a document: a window that shares four fifths
-of an item's shingles cannot miss all of floor(n / 5) + 1 of them, so the seeds lose no window.
+A window of a document is compared with a benchmark item of its own length in words. Windows slide
+over a document a word at a time wherever enough of an item's floor(n / 5) + 1 seed shingles stand in
+them, in any order and place: two sets of n with a similarity of 0.8 miss at most n / 9 of each other,
+a document shorter than the item n / 5, and a window with fewer seeds misses more, so the seeds, which
+stand before SimHash, lose no window.
 Each window's SimHash, weighted by the occurrences of its five-word shingles, is cut into
 radius + 1 blocks; windows and items of a length meet on any equal block, which finds every pair
 within the radius, and the Hamming distance confirms it. What is left is verified by the exact
@@ -19,7 +21,7 @@ repeat a text all match; ties between windows go to the first; empty tables give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small, spool
@@ -83,34 +85,51 @@ def prepared(benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # the seeds: more distinct shingles than a similar window can miss, those of the smallest hashes
     missed = F.floor((1 - similar) * F.size("hashes") + 1e-9).cast("int") + 1
     chosen = F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), missed)
-    seeds = F.transform(chosen, lambda h: F.struct(h.alias("hash"), (F.array_position("hashes", h) - 1).cast("int").alias("offset")))
-    return hashes.select("item", "item_id", "length", counted(F.col("hashes")).alias("set"), simhash(F.col("hashes")).alias("print"), seeds.alias("seeds"))
+    return hashes.select("item", "item_id", "length", counted(F.col("hashes")).alias("set"), simhash(F.col("hashes")).alias("print"), chosen.alias("seeds"))
 
 
-def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """row, doc_id, length, start, words of every window that a seed places; once for each length and start."""
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", split_words(F.col("text")).alias("words"))
-    rows = rows.where(F.size("words") >= SHINGLE)
-    placed = rows.select("row", "doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at"))
-    placed = placed.withColumn("hash", shingle_at(F.col("words"), F.col("at")))
-    seeds = items.select("length", F.explode("seeds").alias("seed")).select("length", "seed.hash", "seed.offset").distinct()
+def stretches(rows: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """row, length, first, last: the starts of all windows that hold enough seeds of an item of their length."""
+    placed = rows.select("row", F.size("words").alias("size"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at"))
+    placed = placed.select("row", "size", "at", shingle_at(F.col("words"), F.col("at")).alias("hash"))
+    missed = F.floor((1 - similar) / (1 + similar) * F.size("set") + 1e-9)
+    enough = F.greatest(F.lit(1), F.size("seeds") - missed).cast("int")
+    seeds = items.select("item", "length", enough.alias("enough"), F.explode("seeds").alias("hash"))
     if small(seeds):
-        placed = placed.join(F.broadcast(seeds), "hash")
-    else:  # only places go through the shuffle; the words come back by row
+        hits = placed.join(F.broadcast(seeds), "hash")
+    else:
         seeds = seeds.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        salted = placed.select("row", "at", "hash", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-        placed = salted.join(seeds, ["hash", "salt"]).join(rows, "row")
-    n = F.least(F.col("length"), F.size("words"))
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.size("words") - n))
-    placed = placed.select("row", "doc_id", "length", start.alias("start"), F.slice("words", start + 1, n).alias("words"))
-    return placed.groupBy("row", "doc_id", "length", "start").agg(F.first("words").alias("words"))
+        hits = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(seeds, ["hash", "salt"])
+    n = F.least(F.col("length"), F.col("size"))
+    hits = hits.withColumn("enough", F.when(F.col("size") >= F.col("length"), F.col("enough")).otherwise(1))
+    # the starts whose windows hold a seed; where it occurs again, only those that the place before has not
+    before = F.lag("at").over(Window.partitionBy("row", "item", "hash").orderBy("at"))
+    first = F.greatest(F.lit(0), F.col("at") - (n - SHINGLE), F.coalesce(before + 1, F.lit(0)))
+    held = hits.select("row", "item", "length", "enough", first.alias("first"), F.least(F.col("at"), F.col("size") - n).alias("last")).where("first <= last")
+    ends = F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("more")), F.struct((F.col("last") + 1).alias("at"), F.lit(-1).alias("more")))
+    steps = held.select("row", "item", "length", "enough", F.explode(ends).alias("e")).groupBy("row", "item", "length", "enough", "e.at").agg(F.sum("e.more").alias("more"))
+    order = Window.partitionBy("row", "item").orderBy("at")
+    steps = steps.select("row", "length", "enough", "at", F.sum("more").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("seeds"), F.lead("at").over(order).alias("next"))
+    return steps.where("seeds >= enough and next is not null").select("row", "length", F.col("at").alias("first"), (F.col("next") - 1).alias("last"))
+
+
+def windows(documents: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """row, doc_id, length, start, words of every window that may be similar to an item; once for each length and start."""
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", split_words(F.col("text")).alias("words"))
+    rows = rows.where(F.size("words") >= SHINGLE)
+    found = stretches(rows, items, similar).groupBy("row").agg(F.collect_set(F.struct("length", "first", "last")).alias("found"))
+    found = spool(found, "stretches")
+    rows = rows.join(F.broadcast(found) if small(found) else found, "row")
+    starts = lambda f: F.transform(F.sequence(f["first"], f["last"]), lambda i: F.struct(f["length"].alias("length"), i.alias("start")))
+    rows = rows.select("row", "doc_id", "words", F.explode(F.array_distinct(F.flatten(F.transform("found", starts)))).alias("w"))
+    return rows.select("row", "doc_id", "w.length", "w.start", F.slice("words", F.col("w.start") + 1, F.least(F.col("w.length"), F.size("words"))).alias("words"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """row, doc_id, item_id, similarity, start, length: the best window of a document for each item that it holds."""
     items = spool(prepared(benchmark, similar), "items")
     hashed = shingles(F.col("words"))
-    seen = windows(documents, items).select("row", "doc_id", "length", "start", hashed.alias("hashes"))
+    seen = windows(documents, items, similar).select("row", "doc_id", "length", "start", hashed.alias("hashes"))
     seen = seen.select("row", "doc_id", "length", "start", counted(F.col("hashes")).alias("seen"), simhash(F.col("hashes")).alias("mark"))
     seen = spool(seen, "windows")
     left = seen.select("*", F.explode(blocks(F.col("mark"), radius)).alias("b"))
