@@ -6,9 +6,8 @@ l, where P are trusted positives (label 1), U are texts whose labels are not loo
 share of good texts, is estimated. The features come from the text alone.
 
 P and U are bounded samples (documented parameters), picked by a hash of the id from the training
-fold. The class prior is the share of positives among the labelled rows of the training fold; where
-only positives are labelled, it is the mean over U of a positive-against-unlabelled classifier over
-its mean on P.
+fold. The class prior is estimated from P and U alone, never from negative labels: the least
+ratio of the upper tails of U and P in the scores of a positive-against-unlabelled classifier.
 
 Defined cases: a null text is an empty one; empty and blank texts have features and get a score; a
 row without id is in no fold and is scored like the rest; rows that repeat an id are scored one by
@@ -142,10 +141,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed:
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives in unlabelled data, where labels are missing at random."""
-    net = fit(positive[::2], unlabelled, None, steps=400)
-    share = net.score(unlabelled).mean() / max(net.score(positive[1::2]).mean(), 1e-6)
-    return float(np.clip(share, 0.05, 0.98))
+    """The share of positives in unlabelled data, where labels are missing at random.
+
+    A classifier of positives against unlabelled texts, each half scored by what the other half has taught.
+    From a score on, unlabelled data hold at least the share of positives times what positives have there,
+    so the least ratio of the two tails bounds the share; one standard error is taken off, as a prior that
+    is too high keeps bad texts.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for half in (0, 1):
+        net = fit(positive[half::2], unlabelled[half::2], None, steps=400)
+        p[1 - half :: 2], u[1 - half :: 2] = net.score(positive[1 - half :: 2]), net.score(unlabelled[1 - half :: 2])
+    cuts = np.unique(np.quantile(np.concatenate([p, u]), np.linspace(0, 0.98, 99)))
+    above = np.array([[(x >= c).mean() for c in cuts] for x in (p, u)])
+    error = np.sqrt(above[0] * (1 - above[0]) / len(p) + above[1] * (1 - above[1]) / len(u))
+    return float(np.clip(((above[1] - error) / above[0])[above[0] > 0.5].min(), 0.05, 0.98))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,27 +166,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(x, pa.list_(pa.float64()))], ["positive", "x"])
 
 
+def drawn_by_hash(ids: DataFrame, most: int, salt: int) -> DataFrame:
+    """At most so many distinct ids, those of the smallest hashes; a task passes on few more than its share."""
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40))
+    share = min(1.0, 1.2 * (most + 1000) / max(1, ids.count()))
+    return ids.select("doc_id", turn.alias("turn")).where(F.col("turn") < int(share * (1 << 40))).distinct().orderBy("turn", "doc_id").limit(most)
+
+
 def train(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Network | None:
     """Fits the network; documents and labels of the training fold alone."""
-    order = F.xxhash64("doc_id", F.lit(5))
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     marked = spool(marked.where("low = high").select("doc_id", F.col("low").alias("quality")), "trusted")
-    good, all_ = marked.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count("*")).first()
-    if not good:
-        return None
-    trusted = marked.where("quality = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("positive"))
-    drawn = documents.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(unlabelled).distinct()
-    drawn = drawn.select("doc_id", F.lit(False).alias("positive"))
+    good, all_ = marked.where("quality = 1"), documents.where("doc_id is not null").select("doc_id")
+    trusted = drawn_by_hash(good, positives, 5).select("doc_id", F.lit(True).alias("positive"))
+    drawn = drawn_by_hash(all_, unlabelled, 6).select("doc_id", F.lit(False).alias("positive"))
     picked = spool(trusted.unionByName(drawn), "picked")  # at most positives + unlabelled rows
     texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("positive", "text")
     rows = texts.mapInArrow(_features, "positive boolean, x array<double>")
-    # an id that many rows repeat could bring in more than were picked
-    rows = rows.limit(2 * (positives + unlabelled)).toPandas()
+    # an id that many rows repeat could bring in more than were picked; the same ones stay every time
+    rows = rows.orderBy(F.xxhash64("x"), "x", "positive").limit(2 * (positives + unlabelled)).toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, 1))
     p, u = (x[rows["positive"].to_numpy(dtype=bool) == k] for k in (True, False))
     if not len(p) or not len(u):
         return None
-    return fit(p, u, good / all_ if good < all_ else estimated_prior(p, u))
+    return fit(p, u, estimated_prior(p, u))
 
 
 def score(documents: DataFrame, net: Network | None, name: str = "score") -> DataFrame:
