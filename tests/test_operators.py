@@ -57,10 +57,34 @@ def test_weights_keep_their_floor():
 
 
 def test_alarms(spark):
-    rows = [(1, i, i, 0.1 if i < 60 else 0.9) for i in range(100)] + [(2, i, i, 0.5) for i in range(100)]
-    got = folds.alarms(spark.createDataFrame(rows, "key long, ts_us long, id long, x double"))
-    assert {r.key for r in got.where("mean_test").collect()} == {1}
-    assert got.where("key = 1 and sum_test").agg(F.min("id")).first()[0] == 60
+    rows = [(1, i, i, 0.1 if i < 60 else 0.9, 0.0) for i in range(100)] + [(2, i, i, 0.5, 0.1) for i in range(100)] + [(3, i, i, 0.5, -0.1 if i < 10 else 0.0) for i in range(40)]
+    got = folds.alarms(spark.createDataFrame(rows, "key long, ts_us long, id long, loss double, difference double")).collect()
+    assert {r.key for r in got if r.drifted} == {1}
+    # 20 rows at least, then once every 20 rows, as each alarm starts the test again
+    assert [r.id for r in sorted(got, key=lambda r: r.id) if r.degraded] == [19, 39, 59, 79, 99] and {r.key for r in got if r.degraded} == {2}
+    assert [r.id for r in got if r.improved] == [19] and {r.key for r in got if r.improved} == {3}
+
+
+def test_folds_keep_null_keys_apart(spark):
+    rows = spark.createDataFrame([(None, 0, 0, "a"), (None, 1, 1, "b"), (1, 0, 2, "a")], "key long, ts_us long, id long, content string")
+    got = {r.id: r.link for r in folds.chained(rows).collect()}
+    assert len(set(got.values())) == 3
+    other = rows.withColumn("content", F.when(F.col("id") == 0, "x").otherwise(F.col("content")))
+    assert {r.id for r in folds.chained(other).collect() if got[r.id] == r.link} == {2}  # all later links of the key change
+
+
+def test_reference_labels_and_times(spark):
+    r = spark.range(1).select(*[E.price_bucket(F.lit(x)) for x in (1.5, 1.75, 2.0, 2.5, 3.0)], *[E.seconds(F.lit(t)) for t in ("1.09.45", "1:09:45", "in 0.57.30 today", "57.3", "300", "none")]).first()
+    assert list(r) == ["1.01-1.75", "1.75-2.00", "2.00-2.50", "2.50-3.00", "3.00+", 69.45, 69.45, 57.3, 57.3, None, None]
+
+
+def test_asof_keeps_rows_without_key_or_time(spark):
+    left = spark.createDataFrame([(1, None, 5), (2, 1, None), (3, 1, 5)], "id long, k long, t long")
+    right = spark.createDataFrame([(7, None, 1), (8, 1, 1), (9, 1, None)], "rid long, k long, t long")
+    got = joins.asof(left, right, ["k"], F.col("t"), F.col("t"), {"rid": F.col("rid")})
+    assert {r.id: r.rid for r in got.collect()} == {1: None, 2: None, 3: 8}
+    sums = spark.createDataFrame([(None, 3), (1, 4)], "k long, n long")
+    assert {r.id: r.n for r in joins.beside(left, sums, ["k"]).collect()} == {1: 3, 2: 4, 3: 4}
 
 
 QUOTES = [(1, 0, 0, 1.9), (1, 1, 60, 1.9), (1, 2, 120, 1.8), (1, 3, 800, 1.8), (2, 4, 5, 1.0)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 DAY = 86_400_000_000
 
 #: The upper ends of open price buckets and their labels; the edges of price bands.
-PRICE_BUCKETS = ((1.75, "<1.75"), (2.0, "1.75-1.99"), (2.5, "2.00-2.49"), (3.0, "2.50-2.99"))
+PRICE_BUCKETS = ((1.75, "1.01-1.75"), (2.0, "1.75-2.00"), (2.5, "2.00-2.50"), (3.0, "2.50-3.00"))
 PRICE_LAST = "3.00+"
 PRICE_EDGES = (1.01, 5.0, 10.0, 20.0, 50.0, 1001.0)
 
@@ -195,12 +195,11 @@ def form_score(form: Column, field: int = 12) -> Column:
 
 
 def seconds(text: Column) -> Column:
-    """m:ss.cc or plain seconds."""
-    minutes = F.regexp_extract(text, r"^(\d+):(\d+(?:\.\d+)?)$", 1)
-    rest = F.regexp_extract(text, r"^(\d+):(\d+(?:\.\d+)?)$", 2)
-    plain = F.regexp_extract(text, r"^(\d+(?:\.\d+)?)$", 1)
-    timed = F.when(minutes != "", minutes.cast("double") * 60 + F.when(rest != "", rest).otherwise("0").cast("double"))
-    return F.coalesce(timed, F.when(plain != "", plain).cast("double"))
+    """The first m.ss.cc (or with colons) in a text; else its first number, if that is under 300."""
+    clock = r"(\d{1,2})[.:](\d{2})[.:](\d{2})"
+    part = lambda i: F.regexp_extract(text, clock, i).cast("double")
+    plain = F.nullif(F.regexp_extract(text, r"\d+\.?\d*", 0), F.lit("")).cast("double")
+    return F.when(F.regexp_like(text, F.lit(clock)), part(1) * 60 + part(2) + part(3) / 100).otherwise(F.when(plain < 300, plain))
 
 
 def fnv1a(text: Column, mask: int = 0xFFFFFFFF) -> Column:

@@ -33,10 +33,29 @@ def asof(
     ends = both.groupBy(*keys, "__b").agg(F.max_by("__r", F.when(F.col("__r").isNotNull(), F.struct("__t", "__tie"))).alias("__end"))
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
-    out = seen.join(carry, [*keys, "__b"]).withColumn("__v", F.coalesce("__here", "__carry"))
+    # a row whose key or time is null matches nothing and stays: what stood beside it in its window does not count
+    whole = F.lit(True)
+    for c in (*keys, "__t"):
+        whole = whole & F.col(c).isNotNull()
+    out = seen.join(carry, [*keys, "__b"], "left").withColumn("__v", F.when(whole, F.coalesce("__here", "__carry")))
     return out.select("__l.*", *[F.col(f"__v.{n}").alias(n) for n in take])
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's other columns of the row that has the same keys; a null key equals a null key. right has each key once."""
+    named = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(named, same, "left").drop(*[f"__{k}" for k in keys])
+
+
+def first_key(left: DataFrame, right: DataFrame, id_: str, tries: list[Column], key: str, value: str) -> DataFrame:
+    """id_ and the value of the first of several spellings of a key that right knows; null if it knows none."""
+    spelled = F.array(*[F.struct(F.lit(i).alias("rank"), k.alias(key)) for i, k in enumerate(tries)])
+    asked = left.select(id_, F.explode(spelled).alias("t")).select(id_, "t.*")
+    found = asked.join(right.select(key, value), key).groupBy(id_).agg(F.min_by(value, "rank").alias(value))
+    return left.select(id_).join(found, id_, "left")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: Column, take: dict[str, Column]) -> DataFrame:
     """left with the columns of the row of right that is nearest in time; of two, the earlier."""
     names = list(take)
@@ -60,9 +79,14 @@ def trailing(rows: DataFrame, keys: list[str], day: str, days: int, sums: dict[s
 
 
 def only_candidate(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, left_day: Column, right_day: Column, days: int = 1) -> DataFrame:
-    """left_id and the id of the one row of right within so many days; null if there is none or several."""
-    shifted = left.select(*keys, left_id, F.explode(F.sequence(left_day - days, left_day + days)).alias("__d"))
-    found = shifted.join(right.select(*keys, F.col(right_id), right_day.alias("__d")), [*keys, "__d"])
+    """left_id and the id of the one row of right within so many days; null if there is none or several.
+
+    Rows meet by blocks of so many days: a row of left asks its own block and the two beside it.
+    """
+    block = lambda d: F.floor(d / max(days, 1)).cast("long")
+    asked = left.select(*keys, left_id, left_day.alias("__at"), F.explode(F.array(*[block(left_day) + i for i in (-1, 0, 1)])).alias("__b"))
+    held = right.select(*keys, F.col(right_id), right_day.alias("__on"), block(right_day).alias("__b"))
+    found = asked.join(held, [*keys, "__b"]).where(F.abs(F.col("__at") - F.col("__on")) <= days)
     one = found.groupBy(left_id).agg(F.count("*").alias("__n"), F.min(right_id).alias("match")).where("__n = 1").select(left_id, "match")
     return left.select(left_id).join(one, left_id, "left")
 

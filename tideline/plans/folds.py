@@ -18,9 +18,18 @@ def q_ratings(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("id", F.round("before_home", 4).alias("before_home"), F.round("before_away", 4).alias("before_away"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {Q}, r AS (SELECT key, id, price / 500 AS x, (id % 7 - 3) / 20.0::DOUBLE AS d, row_number() OVER (PARTITION BY key ORDER BY ts_us, id) AS i FROM q),
+s AS (SELECT key, 0::BIGINT AS i, NULL::BIGINT AS id, 0 AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS cum, 0.0::DOUBLE AS low, 0 AS m, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, false AS drifted, false AS degraded, false AS improved FROM r WHERE i = 1
+  UNION ALL SELECT key, i, id, CASE WHEN drifted THEN 0 ELSE n END, CASE WHEN drifted THEN 0 ELSE mean END, CASE WHEN drifted THEN 0 ELSE cum END, CASE WHEN drifted THEN 0 ELSE low END,
+    CASE WHEN degraded OR improved THEN 0 ELSE m END, CASE WHEN degraded OR improved THEN 0 ELSE up END, CASE WHEN degraded OR improved THEN 0 ELSE down END, drifted, degraded, improved
+  FROM (SELECT *, n >= 20 AND cum - low > 0.35 AS drifted, m >= 20 AND up > 0.25 AS degraded, m >= 20 AND down < -0.25 AS improved
+    FROM (SELECT *, least(low0, cum) AS low FROM (SELECT key, i, id, n, mean, cum0 + x - mean - 0.005 AS cum, low0, m, greatest(0, up0 + d - 0.004) AS up, least(0, down0 + d + 0.004) AS down
+      FROM (SELECT r.key, r.i, r.id, r.x, r.d, s.n + 1 AS n, s.mean + (r.x - s.mean) / (s.n + 1) AS mean, s.cum AS cum0, s.low AS low0, s.m + 1 AS m, s.up AS up0, s.down AS down0 FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1)))))
+SELECT key, id, drifted, degraded, improved FROM s WHERE i > 0
+""")
 def q_alarms(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.alarms(quotes(spark, sf).select("key", "ts_us", "id", (F.col("price") / 500).alias("x")))
+    return folds.alarms(quotes(spark, sf).select("key", "ts_us", "id", (F.col("price") / 500).alias("loss"), ((F.col("id") % 7 - 3) / 20.0).alias("difference")))
 
 
 @query()
@@ -30,7 +39,13 @@ def q_hedge_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("key", "id", *[F.round(c, 6).alias(c) for c in "abc"])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {Q}, r AS (SELECT key, id, ts_us, floor(price / 50)::DOUBLE AS value, row_number() OVER (PARTITION BY key ORDER BY ts_us, id) AS i FROM q),
+s AS (SELECT key, i, id, ts_us, value, true AS kept, ts_us AS last, value AS v FROM r WHERE i = 1
+  UNION ALL SELECT key, i, id, ts_us, value, kept, CASE WHEN kept THEN ts_us ELSE last END, CASE WHEN kept THEN value ELSE v END
+  FROM (SELECT r.*, abs(r.value - s.v) > 0 OR r.ts_us - s.last >= 21600000000 AS kept, s.last, s.v FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1))
+SELECT key, id, ts_us, value FROM s WHERE kept
+""")
 def q_change_log(spark: SparkSession, sf: str) -> DataFrame:
     return folds.change_log(quotes(spark, sf).select("key", "id", "ts_us", F.floor(F.col("price") / 50).cast("double").alias("value")), 3_600_000_000 * 6)
 
@@ -48,12 +63,13 @@ def q_merged_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH {Q}, c AS (SELECT key, id, lag(id) OVER (PARTITION BY key ORDER BY ts_us, id) AS prev FROM q) SELECT key, id, sha256(key || ':' || id || ':' || coalesce(prev::VARCHAR, 'genesis')) AS link FROM c
+WITH RECURSIVE {Q}, r AS (SELECT key, id, kind, row_number() OVER (PARTITION BY key ORDER BY ts_us, id) AS i FROM q),
+s AS (SELECT key, i, id, sha256(key || ':' || id || ':' || kind || ':') AS link FROM r WHERE i = 1
+  UNION ALL SELECT r.key, r.i, r.id, sha256(r.key || ':' || r.id || ':' || r.kind || ':' || s.link) FROM s JOIN r ON r.key = s.key AND r.i = s.i + 1)
+SELECT key, id, link FROM s
 """)
 def q_chain_links(spark: SparkSession, sf: str) -> DataFrame:
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("ts_us", "id"))
-    q = quotes(spark, sf).withColumn("prev", before)
-    return q.select("key", "id", F.sha2(F.concat_ws(":", "key", "id", F.coalesce(F.col("prev").cast("string"), F.lit("genesis"))), 256).alias("link"))
+    return folds.chained(quotes(spark, sf).withColumnRenamed("kind", "content"))
 
 
 @query("""

@@ -62,7 +62,7 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {O} SELECT a.id, count(b.id) AS n60 FROM o a LEFT JOIN o b ON a.key = b.key AND b.day BETWEEN a.day - 60 AND a.day GROUP BY a.id")
 def q_trailing_count(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf)
-    return o.join(J.trailing(o, ["key"], "day", 60, {"n60": F.lit(1)}, same_day=True), ["key", "day"]).select("id", "n60")
+    return J.beside(o, J.trailing(o, ["key"], "day", 60, {"n60": F.lit(1)}, same_day=True), ["key", "day"]).select("id", "n60")
 
 
 @query(f"""
@@ -73,32 +73,32 @@ def q_trailing_stats(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf)
     t = J.trailing(o, ["key"], "day", 120, {"n": F.lit(1), "total": F.col("price")}, F.col("price"))
     zero = F.lit(0.0)
-    return o.join(t, ["key", "day"]).select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce(F.col("total") / F.col("n"), zero), 6).alias("mean"), F.coalesce("least", zero).alias("least"))
+    return J.beside(o, t, ["key", "day"]).select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce(F.col("total") / F.col("n"), zero), 6).alias("mean"), F.coalesce("least", zero).alias("least"))
 
 
 @query(f"""
-WITH {O}, c AS (SELECT a.id, count(b.id) AS n, min(b.id) AS m FROM o a LEFT JOIN o b ON a.key = b.key AND b.id % 2 = 1 AND abs(a.day - b.day) <= 30 WHERE a.id % 2 = 0 GROUP BY a.id)
+WITH {O}, c AS (SELECT a.id, count(b.id) AS n, min(b.id) AS m FROM o a LEFT JOIN o b ON a.key = b.key % 700 AND abs(a.day - b.day) <= 20 GROUP BY a.id)
 SELECT id, CASE WHEN n = 1 THEN m END AS match FROM c
 """)
 def q_only_candidate(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf)
-    other = o.where("id % 2 = 1").withColumnRenamed("id", "other")
-    return J.only_candidate(o.where("id % 2 = 0"), other, ["key"], "id", "other", F.col("day"), F.col("day"), 30)
+    other = o.select((F.col("key") % 700).alias("key"), F.col("id").alias("other"), "day")  # a second feed, with keys of its own
+    return J.only_candidate(o, other, ["key"], "id", "other", F.col("day"), F.col("day"), 20)
 
 
 @query(f"""
 WITH {O}, s AS (SELECT unnest([0, 1, 2]) AS rank, unnest([0, -1, 1]) AS shift),
 c AS (SELECT a.id, rank, b.price, row_number() OVER (PARTITION BY a.id ORDER BY rank, b.price) AS n
-  FROM o a CROSS JOIN s JOIN o b ON a.key % 50 = b.key % 50 AND b.day = a.day + shift AND b.id % 2 = 1 WHERE a.id % 2 = 0)
-SELECT o.id, c.price AS value FROM o LEFT JOIN c ON o.id = c.id AND n = 1 WHERE o.id % 2 = 0
+  FROM o a CROSS JOIN s JOIN o b ON a.key % 50 = b.key % 50 AND b.day + 1 = a.day + shift)
+SELECT o.id, c.price AS value FROM o LEFT JOIN c ON o.id = c.id AND n = 1
 """)
 def q_shifted_day(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf).withColumn("key", F.col("key") % 50)
-    return J.by_shift(o.where("id % 2 = 0"), o.where("id % 2 = 1"), ["key"], "id", F.col("day"), F.col("day"), F.col("price"))
+    return J.by_shift(o, o, ["key"], "id", F.col("day"), F.col("day") + 1, F.col("price"))
 
 
 @query("""
-WITH a AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS known FROM part WHERE p_partkey % 2 = 1),
+WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS known FROM part),
 x AS (SELECT name, known, len(list_intersect(string_split(name, ' '), string_split(known, ' '))) AS shared,
   greatest(len(list_distinct(string_split(name, ' '))), len(list_distinct(string_split(known, ' ')))) AS longest FROM a CROSS JOIN b),
 r AS (SELECT *, shared / longest::DOUBLE AS score, row_number() OVER (PARTITION BY name ORDER BY shared / longest::DOUBLE DESC, known) AS n FROM x WHERE shared / longest::DOUBLE >= 0.5)
@@ -106,21 +106,22 @@ SELECT a.name, r.known AS match, round(r.score, 6) AS score FROM a LEFT JOIN r O
 """)
 def q_shared_words(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    names = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct()
-    known = p.where("p_partkey % 2 = 1").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("known")).distinct()
+    names = p.select(F.col("p_name").alias("name")).distinct()
+    known = p.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("known")).distinct()
     return J.resolved(names, known).withColumn("score", F.round("score", 6))
 
 
 @query("""
-WITH old AS (SELECT c_custkey, c_name || c_acctbal AS f FROM customer WHERE c_custkey % 5 <> 0),
-new AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE c_name || c_acctbal END AS f FROM customer WHERE c_custkey % 3 <> 0)
+WITH old AS (SELECT c_custkey, c_name || c_acctbal AS f FROM customer),
+new AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE c_name || c_acctbal END AS f FROM customer)
 SELECT c_custkey, CASE WHEN old.f IS NULL THEN 'insert' WHEN new.f IS NULL THEN 'absent' WHEN old.f = new.f THEN 'keep' ELSE 'correct' END AS action
 FROM old FULL JOIN new USING (c_custkey)
 """)
 def q_upsert_actions(spark: SparkSession, sf: str) -> DataFrame:
     c, k = table(spark, sf, "customer"), F.col("c_custkey")
     print_ = F.concat("c_name", F.col("c_acctbal").cast("string"))
-    return J.actions(c.where(k % 5 != 0).select(k, print_.alias("f")), c.where(k % 3 != 0).select(k, F.when(k % 7 == 0, "x").otherwise(print_).alias("f")), "c_custkey", "f")
+    new = F.when(k % 5 == 0, -k).otherwise(k).alias("c_custkey")  # a fifth is new to the store, as much is gone
+    return J.actions(c.select(k, print_.alias("f")), c.select(new, F.when(k % 7 == 0, "x").otherwise(print_).alias("f")), "c_custkey", "f")
 
 
 @query("""
@@ -207,15 +208,33 @@ def q_latest_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 'id' END, CASE WHEN s_suppkey % 3 = 1 THEN 'padded' END, 'plain') AS found, n_name
-FROM supplier JOIN nation ON s_nationkey = n_nationkey
+WITH q AS (SELECT l_suppkey AS k, round(avg(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1),
+p AS (SELECT CASE k % 4 WHEN 0 THEN 'H' || k WHEN 1 THEN lpad(k::VARCHAR, 9, '0') WHEN 2 THEN k::VARCHAR ELSE '?' || k END AS code, price FROM q)
+SELECT s_suppkey, coalesce(a.price, b.price, c.price) AS price, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+LEFT JOIN p a ON a.code = 'H' || s_suppkey LEFT JOIN p b ON b.code = lpad(s_suppkey::VARCHAR, 9, '0') LEFT JOIN p c ON c.code = s_suppkey::VARCHAR
 """)
 def q_keyed_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    prices = F.create_map(F.when(k % 3 == 0, F.concat(F.lit("H"), k)).when(k % 3 == 1, F.lpad(k.cast("string"), 9, "0")).otherwise(k.cast("string")), F.when(k % 3 == 0, "id").when(k % 3 == 1, "padded").otherwise("plain"))
-    found = F.coalesce(F.try_element_at(prices, F.concat(F.lit("H"), k)), F.try_element_at(prices, F.lpad(k.cast("string"), 9, "0")), F.try_element_at(prices, k.cast("string")))
+    k, s = F.col("k"), F.col("s_suppkey")
+    code = F.when(k % 4 == 0, F.concat(F.lit("H"), k)).when(k % 4 == 1, F.lpad(k.cast("string"), 9, "0")).when(k % 4 == 2, k.cast("string")).otherwise(F.concat(F.lit("?"), k))
+    quoted = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.round(F.avg("l_extendedprice"), 2).alias("price")).select(code.alias("code"), "price")
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    found = J.first_key(suppliers, quoted, "s_suppkey", [F.concat(F.lit("H"), s), F.lpad(s.cast("string"), 9, "0"), s.cast("string")], "code", "price")
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return table(spark, sf, "supplier").select("s_suppkey", found.alias("found"), "s_nationkey").join(n, "s_nationkey").drop("s_nationkey")
+    return suppliers.join(n, "s_nationkey").join(found, "s_suppkey").select("s_suppkey", "price", "n_name")
+
+
+@query("""
+WITH s AS (SELECT l_suppkey || '|' || strftime(l_shipdate, '%Y-%m-%d') AS code, round(avg(l_quantity), 4) AS xg FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, (o_custkey % (SELECT count(*) FROM supplier) + 1) || '|' || strftime(o_orderdate, '%Y-%m-%d') AS code FROM orders),
+j AS (SELECT o_orderkey, xg FROM o LEFT JOIN s USING (code))
+SELECT o_orderkey, coalesce(xg, (SELECT quantile_cont(xg, 0.5) FROM j)) AS xg FROM j
+""")
+def q_composite_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    code = lambda k, d: F.concat_ws("|", k, F.date_format(d, "yyyy-MM-dd"))
+    s = table(spark, sf, "lineitem").groupBy(code("l_suppkey", "l_shipdate").alias("code")).agg(F.round(F.avg("l_quantity"), 4).alias("xg"))
+    n = table(spark, sf, "supplier").count()
+    o = table(spark, sf, "orders").select("o_orderkey", code((F.col("o_custkey") % n + 1).cast("string"), "o_orderdate").alias("code"))
+    return J.filled(o.join(s, "code", "left").select("o_orderkey", "xg"), ["xg"])
 
 
 @query(f"""

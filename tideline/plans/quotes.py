@@ -50,17 +50,18 @@ def q_positional_rows(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select(ts_us(0).cast("long").alias("id"), ts_us(1).alias("name"), ts_us(2).cast("int").alias("nation"), ts_us(3).cast("double").alias("balance"))
 
 
-@query(f"WITH {Q} SELECT id, key, ts_us, price FROM q WHERE id % 3 <> 0 OR id % 2 = 0")
+@query(f"WITH {Q} SELECT id, key, ts_us, price FROM q UNION ALL SELECT -id, key, ts_us, price FROM q WHERE id % 3 = 0 AND id > 0")
 def q_immutable_merge(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf).select("id", "key", "ts_us", "price")
-    return writers.merged(q.where("id % 3 <> 0"), q.where("id % 2 = 0"), ["id"])
+    fresh = q.withColumn("id", F.when(F.col("id") % 3 == 0, -F.col("id")).otherwise(F.col("id")))  # a third is new to the store
+    return writers.merged(q, fresh, ["id"])
 
 
-@query(f"WITH {Q}, u AS (SELECT key, ts_us, price, 1 AS old FROM q WHERE id % 2 = 0 UNION ALL SELECT key, ts_us, -price, 0 FROM q WHERE id % 3 = 0) SELECT key, max(ts_us) AS ts_us, arg_max(price, ts_us + old / 2.0::DOUBLE) AS price FROM u GROUP BY 1")
+@query(f"WITH {Q}, u AS (SELECT key, ts_us, price, 1 AS old FROM q UNION ALL SELECT key, ts_us + key % 3 - 1, -price, 0 FROM q) SELECT key, max(ts_us) AS ts_us, arg_max(price, ts_us * 2 + old) AS price FROM u GROUP BY 1")
 def q_newest_wins(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf).select("key", "ts_us", "price")
-    i = quotes(spark, sf)
-    return writers.newest(i.where("id % 2 = 0").select("key", "ts_us", "price"), i.where("id % 3 = 0").select("key", "ts_us", (-F.col("price")).alias("price")), ["key"], "ts_us").select(*q.columns)
+    later = q.select("key", (F.col("ts_us") + F.col("key") % 3 - 1).alias("ts_us"), (-F.col("price")).alias("price"))  # earlier, as old or newer, by key
+    return writers.newest(q, later, ["key"], "ts_us").select(*q.columns)
 
 
 @query("""WITH d AS (SELECT unnest(generate_series(DATE '1999-01-01', DATE '1999-12-31', INTERVAL 1 DAY))::DATE AS day) SELECT day FROM d UNION SELECT o_orderdate::DATE FROM orders""")

@@ -10,8 +10,8 @@ from ..registry import query, table
 
 
 @query("""
-SELECT event_id, CASE WHEN v < 1.75 THEN '<1.75' WHEN v < 2 THEN '1.75-1.99' WHEN v < 2.5 THEN '2.00-2.49'
-  WHEN v < 3 THEN '2.50-2.99' ELSE '3.00+' END AS bucket,
+SELECT event_id, CASE WHEN v < 1.75 THEN '1.01-1.75' WHEN v < 2 THEN '1.75-2.00' WHEN v < 2.5 THEN '2.00-2.50'
+  WHEN v < 3 THEN '2.50-3.00' ELSE '3.00+' END AS bucket,
   CASE WHEN v >= 1.01 AND v < 5 THEN 0 WHEN v >= 5 AND v < 10 THEN 1 WHEN v >= 10 AND v < 20 THEN 2
   WHEN v >= 20 AND v < 50 THEN 3 WHEN v >= 50 AND v < 1001 THEN 4 END::INT AS band
 FROM (SELECT event_id, value AS v FROM events)
@@ -132,12 +132,14 @@ def q_cleaned_numbers(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH f AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_partkey % 14 + 1) AS a, (l_suppkey % 14 + 1) AS b FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((greatest(0, 1 - (a - 1) / 11.0::DOUBLE) + greatest(0, 1 - (b - 1) / 11.0::DOUBLE)) / 2, 6) AS score,
-  60.0 * l_linenumber + a AS seconds FROM f
+  CASE WHEN l_linenumber % 3 < 2 THEN round(60 * l_linenumber + a + b / 100.0::DOUBLE, 6) WHEN a * 50 < 300 THEN (a * 50)::DOUBLE END AS seconds FROM f
 """)
 def q_form_and_times(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("l_partkey") % 14 + 1, F.col("l_suppkey") % 14 + 1
-    time = F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), F.lpad(a.cast("string"), 2, "0"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(E.form_score(F.concat_ws("/", a, b)), 6).alias("score"), E.seconds(time).alias("seconds"))
+    two, kind = lambda c: F.lpad(c.cast("string"), 2, "0"), F.col("l_linenumber") % 3
+    dotted, colons = (F.concat(F.lit("ran "), F.concat_ws(by, F.col("l_linenumber"), two(a), two(b)), F.lit(" today")) for by in ".:")
+    time = F.when(kind == 0, dotted).when(kind == 1, colons).otherwise(F.concat(F.lit("after "), a * 50))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(E.form_score(F.concat_ws("/", a, b)), 6).alias("score"), F.round(E.seconds(time), 6).alias("seconds"))
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DAY
+from ..operators import joins as J
 from ..operators import windows as W
 from ..registry import query, table
 from .joins import O, Q, orders, quotes
@@ -27,7 +28,7 @@ FROM o a LEFT JOIN o b ON a.key = b.key AND b.day < a.day GROUP BY a.id
 def q_prior_rate(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf)
     p = W.prior(o, ["key"], "day", {"starts": F.lit(1), "wins": (F.col("price") > 250000).cast("int")})
-    return o.join(p, ["key", "day"]).select("id", "starts", "wins", F.round(W.smoothed(F.col("wins"), F.col("starts"), 0.1, 10.0), 6).alias("rate"))
+    return J.beside(o, p, ["key", "day"]).select("id", "starts", "wins", F.round(W.smoothed(F.col("wins"), F.col("starts"), 0.1, 10.0), 6).alias("rate"))
 
 
 @query(f"""
@@ -38,7 +39,7 @@ def q_rest_days(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf)
     gap = F.col("day") - F.lag("day").over(Window.partitionBy("key").orderBy("day"))
     g = o.select("key", "day").distinct().withColumn("gap", gap)
-    return o.join(g, ["key", "day"]).select("id", "gap", F.greatest(F.lit(2), F.least(F.lit(30), F.coalesce("gap", F.lit(7)))).alias("rest"), F.round(F.log(1 + F.coalesce("gap", F.lit(90))) / F.log(F.lit(181.0)), 6).alias("freshness"))
+    return J.beside(o, g, ["key", "day"]).select("id", "gap", F.greatest(F.lit(2), F.least(F.lit(30), F.coalesce("gap", F.lit(7)))).alias("rest"), F.round(F.log(1 + F.coalesce("gap", F.lit(90))) / F.log(F.lit(181.0)), 6).alias("freshness"))
 
 
 @query(f"""
@@ -58,7 +59,7 @@ SELECT a.id, a.band, count(b.id) AS n, round((coalesce(sum(b.price), 0) + 5 * 20
 def q_band_rate(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf).withColumn("band", F.round(F.col("price") / 50000).cast("int"))
     p = W.prior(o, ["key", "band"], "day", {"n": F.lit(1), "total": F.col("price")})
-    return o.join(p, ["key", "band", "day"]).select("id", "band", "n", F.round((F.col("total") + 5 * 200000) / (F.col("n") + 5), 6).alias("mean"))
+    return J.beside(o, p, ["key", "band", "day"]).select("id", "band", "n", F.round((F.col("total") + 5 * 200000) / (F.col("n") + 5), 6).alias("mean"))
 
 
 LINES = "l AS (SELECT l_orderkey AS race, l_partkey AS part, l_suppkey AS supp, l_linenumber AS line, l_quantity AS q, l_extendedprice AS p FROM lineitem)"
