@@ -1,8 +1,13 @@
 """Language-model scores from a Brown class-based bigram model.
 
-The frequent words are clustered by exchange: a sweep moves each word to the class that raises the
-average mutual information of neighbouring classes most, and the class bigram counts follow. All other words, seen or not, fall by their spelling into one class for each
-shape. A text's probability is the product of class transitions (interpolated with class
+Words are clustered by exchange: a word moves to the class that raises the average mutual information
+of neighbouring classes most. The most frequent words, a bounded number, are exchanged one after
+another until none moves; their classes are the frame. Every further word that occurs `least` times or
+more is then exchanged in distributed passes over the whole training text: tasks count the classes
+beside each word, Spark brings a word's counts together, and the word goes to the class of the highest
+gain, all words of a pass at once; passes end when the mutual information no longer rises. Rarer words,
+seen or not, fall by their spelling into one class for each shape, which thereby learns how often such
+words turn up. A text's probability is the product of class transitions (interpolated with class
 frequencies) and of word emissions from the classes.
 
 Counts cover all training documents: tasks count their own tokens in bounded dictionaries, Spark
@@ -27,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, spool
+from .common import remainder, spool, unlink
 
-#: At most so many words are clustered, and looked up inside tasks; classes; sweeps; words a task counts at once.
-CLUSTERED, FAST, CLASSES, SWEEPS, HELD = 1000, 100_000, 48, 4, 400_000
+#: Words exchanged one after another; words looked up, and classed, inside tasks at most; classes; words a task counts at once.
+CLUSTERED, FAST, CLASSES, HELD = 1000, 100_000, 48, 400_000
+
+#: Sweeps over the first words at most; passes over the text; occurrences from which on a word is classed; neighbours a task holds.
+SWEEPS, PASSES, LEAST, NEIGHBOURS = 40, 2, 3, 2_000_000
 
 #: The weight of class frequencies in transitions, in tokens.
 KAPPA = 5.0
@@ -99,17 +107,18 @@ def _band(n: Column) -> Column:
 
 
 def frequent(vocab: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
-    """word, shape, n of the words above the lowest count that leaves at most `most`; most frequent first."""
+    """word, shape, n of the `most` most frequent words, of equals the smaller; most frequent first."""
     words = vocab.where("shape >= 0")
     bands = sorted(words.groupBy(_band(F.col("n")).alias("band")).count().collect(), reverse=True)
     total, lowest = 0, None
     for band, n in bands:
-        if total + n > most:
+        lowest = band
+        total += n
+        if total >= most:
             break
-        total, lowest = total + n, band
-    if lowest is None:
+    if lowest is None or most <= 0:
         return []
-    found = words.where(_band(F.col("n")) >= lowest).select("word", "shape", "n").toPandas()
+    found = words.where(_band(F.col("n")) >= lowest).orderBy(F.col("n").desc(), "word").limit(most).select("word", "shape", "n").toPandas()
     rows = zip(map(bytes, found["word"]), found["shape"].tolist(), found["n"].tolist(), strict=True)
     return sorted(rows, key=lambda r: (-r[2], r[0]))
 
@@ -184,6 +193,7 @@ def cluster(pairs: DataFrame, m: int, classes: int = CLASSES, sweeps: int = SWEE
     every[np.arange(states), of] = 1
     g = every.T @ n @ every
     for _ in range(sweeps):
+        held = of.copy()
         for w in range(m):
             left, right = (np.bincount(of, weights=x, minlength=kinds) for x in (n[:, w], n[w]))
             best, now = best_class(left, right, n[w, w], of[w], g, classes), of[w]
@@ -198,9 +208,93 @@ def cluster(pairs: DataFrame, m: int, classes: int = CLASSES, sweeps: int = SWEE
                     g[:, c] += sign * left
                     g[c, :] += sign * right
                     g[c, c] -= sign * n[w, w]
+        if (of == held).all():
+            break
     return of, g
 
 
+def information(g: np.ndarray) -> float:
+    """The average mutual information of neighbouring classes, in nats a token, but for a constant of the text."""
+    return float((_xlogx(g).sum() - _xlogx(g.sum(axis=0)).sum() - _xlogx(g.sum(axis=1)).sum()) / max(g.sum(), 1))
+
+
+def neighbours(training: DataFrame, words: dict[bytes, int], state: np.ndarray, open_: np.ndarray, kinds: int) -> DataFrame:
+    """Counts of a pass: pair, n of neighbouring classes (first * kinds + second), or word, slots, times: for a
+    word that may move the classes before it (slot: class) and after it (slot: kinds + class), each with how often."""
+    shared = training.sparkSession.sparkContext.broadcast((words, state, open_))
+    quick = len(words) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, state, open_ = shared.value
+        index, g, held, n = Index(words, quick), np.zeros(kinds * kinds, dtype=np.int64), [], 0
+        names = ["pair", "n", "word", "slots", "times"]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            word, slot = key // (2 * kinds), key % (2 * kinds)
+            edge = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
+            for i in range(0, len(edge) - 1, 10_000):
+                e = edge[i : i + 10_001]
+                cells, size = slice(e[0], e[-1]), len(e) - 1
+                blobs = [
+                    pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(((e - e[0]) * wide).astype(np.int32).tobytes()), pa.py_buffer(x[cells].astype(kind).tobytes())])
+                    for x, kind, wide in ((slot, np.uint8, 1), (times, np.uint32, 4))
+                ]
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(word[e[:-1]]), *blobs], names)
+
+        for batch in batches:
+            every: list[bytes] = []
+            for text in batch.column("text").to_pylist():
+                every += tokens(text)
+                every.append(END)
+            at = index.of(every)
+            c = state[at]
+            before = np.append(state[-1], c[:-1])
+            g += np.bincount(before * kinds + c, minlength=kinds * kinds)
+            mine = np.flatnonzero(open_[at])  # the end is not open, so each of these has a token after it
+            held += [at[mine] * 2 * kinds + before[mine], at[mine] * 2 * kinds + kinds + c[mine + 1]] if len(mine) else []
+            n += 2 * len(mine)
+            if n > NEIGHBOURS:
+                yield from flush()
+                n = 0
+        if held:
+            yield from flush()
+        pair = np.flatnonzero(g)
+        none = lambda kind: pa.nulls(len(pair), kind)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(g[pair]), none(pa.int64()), none(pa.binary()), none(pa.binary())], names)
+
+    return spool(training.select("text").mapInArrow(count, "pair long, n long, word long, slots binary, times binary"), "neighbours")
+
+
+def moves(counted: DataFrame, g: np.ndarray, classes: int, most: int) -> np.ndarray:
+    """The best class of each word that may move, -1 for others. counted: what neighbours() has counted.
+
+    With the other words where they are, the likelihood is linear in the word's counts: each neighbour
+    adds the logarithm of how often its class stands beside the word's class, over that class's size.
+    """
+    size = np.log(g.sum(axis=0)[:classes] + KAPPA)
+    worth = np.concatenate([np.log(g[:, :classes] + 0.5) - size, np.log(g[:classes, :].T + 0.5) - size])
+    shared = counted.sparkSession.sparkContext.broadcast(worth)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worth = shared.value
+        gains: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for word, slots, times in zip(batch.column("word").to_pylist(), batch.column("slots"), batch.column("times"), strict=True):
+                slots, times = np.frombuffer(slots.as_buffer(), dtype=np.uint8), np.frombuffer(times.as_buffer(), dtype=np.uint32)
+                gain = times @ worth[slots]
+                gains[word] = gains[word] + gain if word in gains else gain
+        best = [int(np.argmax(x)) for x in gains.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(gains), pa.int64()), pa.array(best, pa.int64())], ["word", "class"])
+
+    out = np.full(most, -1)
+    dealt = counted.where("word is not null").select("word", "slots", "times").repartition("word")
+    found = dealt.mapInArrow(choose, "word long, class long").toPandas()  # at most FAST rows
+    out[found["word"]] = found["class"]
+    return out
+
+
 @dataclass
 class Model:
     """What scoring needs: bounded tables, and the full table of counts."""
@@ -217,41 +311,54 @@ class Model:
     shape_types: list[int]
 
 
-def train(training: DataFrame, clustered: int = CLUSTERED, fast: int = FAST, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
+def train(training: DataFrame, clustered: int = CLUSTERED, fast: int = FAST, classes: int = CLASSES, sweeps: int = SWEEPS, passes: int = PASSES, least: int = LEAST) -> Model:
     training = training.select("text")
     vocab = vocabulary(training)
     n, v = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     quick = frequent(vocab, fast)
-    core = [w for w, _, _ in frequent(vocab, clustered)]
-    pairs = bigrams(training, core, {w: s for w, s, _ in quick})
-    of, g = cluster(pairs, len(core), classes, sweeps)
+    core = [w for w, _, _ in quick[:clustered]]
+    first, _ = cluster(bigrams(training, core, {w: s for w, s, _ in quick}), len(core), classes, sweeps)
+    kinds = classes + SHAPES + 1
+    words = {w: i for i, (w, _, _) in enumerate(quick)} | {END: len(quick) + SHAPES}
+    state = np.array([*first[: len(core)], *[classes + s for _, s, _ in quick[len(core) :]], *range(classes, kinds)])
+    open_ = np.array([i >= len(core) and times >= least for i, (_, _, times) in enumerate(quick)] + [False] * (SHAPES + 1))
+    held = None
+    for turn in range(passes + 1):
+        counted = neighbours(training, words, state, open_ & (turn < passes), kinds)
+        g = np.zeros(kinds * kinds)
+        found = counted.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+        g[found["pair"]] = found["n"]
+        g = g.reshape(kinds, kinds)
+        if held is None or information(g) > information(held[1]):
+            held = state, g
+        else:
+            break
+        if turn == passes or not open_.any():
+            break
+        best = moves(counted, g, classes, len(state))
+        unlink(training.sparkSession, counted)
+        state = np.where(best >= 0, best, state)
+    state, g = held
 
-    core_at = {w: i for i, w in enumerate(core)}
     shape_tokens, shape_types = [0] * SHAPES, [0] * SHAPES
     for s, total, types in vocab.where("shape >= 0").groupBy("shape").agg(F.sum("n"), F.count("*")).collect():
         shape_tokens[s], shape_types[s] = total, types
-    for w, s, times in quick:
-        if w in core_at:
+    class_tokens = np.zeros(classes)
+    for at, (_, s, times) in zip(state, quick, strict=False):
+        if at < classes:
             shape_tokens[s] -= times
             shape_types[s] -= 1
-    class_tokens = np.zeros(classes)
-    for w, _, times in quick:
-        if w in core_at:
-            class_tokens[of[core_at[w]]] += times
-    state, base, emission = [], [], []
-    for w, s, times in quick:
-        at = core_at.get(w)
-        state.append(classes + s if at is None else of[at])
+            class_tokens[at] += times
+    base, emission = [], []
+    for at, (_, s, times) in zip(state, quick, strict=False):
         base.append(math.log10((times + 1) / (n + v + 1)))
-        emission.append(math.log10((times + 1) / (shape_tokens[s] + shape_types[s] + 1)) if at is None else math.log10(times / class_tokens[of[at]]))
+        emission.append(math.log10((times + 1) / (shape_tokens[s] + shape_types[s] + 1)) if at >= classes else math.log10(times / class_tokens[at]))
     ends = vocab.where("shape < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    state += list(range(classes, classes + SHAPES + 1))
     base += [0.0] * SHAPES + [math.log10((ends + 1) / (n + v + 1))]
     emission += [0.0] * (SHAPES + 1)
     share = (g.sum(axis=0) + 1) / (g.sum() + len(g))
     transition = np.log10((g + KAPPA * share) / (g.sum(axis=1, keepdims=True) + KAPPA))
-    words = {w: i for i, (w, _, _) in enumerate(quick)} | {END: len(quick) + SHAPES}
-    return Model(vocab, words, np.array(state), np.array(base), np.array(emission), transition, n, v, shape_tokens, shape_types)
+    return Model(vocab, words, state, np.array(base), np.array(emission), transition, n, v, shape_tokens, shape_types)
 
 
 def score(documents: DataFrame, model: Model, held_out: Column) -> DataFrame:
