@@ -247,14 +247,16 @@ def test_brown_model_beats_frequencies_where_order_matters(spark):
     names, verbs = [f"n{i}" for i in range(30)], [f"v{i}" for i in range(30)]
     rows = [(i, " ".join(f"{r.choice(names)} {r.choice(verbs)}" for _ in range(60)), "s") for i in range(200)]
     frame = docs(spark, rows)
-    model = brown_lm.train(frame.where("doc_id % 2 = 0"), classes=3)
+    model = brown_lm.train(frame.where("doc_id % 2 = 0"), classes=2, clustered=12)  # the other words come in distributed passes
+    classed = {w: int(model.state[i]) for w, i in model.words.items() if w}
+    assert len({classed[n.encode()] for n in names}) == len({classed[v.encode()] for v in verbs}) == 1 and classed[b"n0"] != classed[b"v0"]
     got = brown_lm.score(frame.where("doc_id % 2 = 1"), model, F.lit(True)).agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1] * 0.9  # about one bit a token better
 
 
 def test_words_have_probabilities_that_sum_to_one(spark):
     rows = docs(spark, [(1, "a b a c. d1 longerword", "s"), (3, "a b b", "s")])
-    m = brown_lm.train(rows, clustered=2, fast=10, classes=2, sweeps=1)
+    m = brown_lm.train(rows, clustered=2, fast=10, classes=2, sweeps=1, least=2)
     assert abs((10**m.transition).sum(axis=1) - 1).max() < 1e-9
     total = defaultdict(float)
     for at in m.words.values():
@@ -265,6 +267,38 @@ def test_words_have_probabilities_that_sum_to_one(spark):
         assert abs(p + unseen - 1) < 1e-9
 
 
+def test_moves_raise_the_likelihood_most(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a b", "c d", "a d e", "x c"]) for _ in range(30)) for _ in range(20)]
+    words = {w: i for i, w in enumerate([b"a", b"b", b"c", b"d", b"e", b"x"])} | {b"": 6 + brown_lm.SHAPES}
+    classes, kinds = 2, 2 + brown_lm.SHAPES + 1
+    state = np.array([0, 1, 0, 1, 0, 1, *range(2, kinds)])
+    open_ = np.array([False] * 4 + [True, True] + [False] * (brown_lm.SHAPES + 1))
+    counted = brown_lm.neighbours(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), words, state, open_, kinds)
+    g, beside = np.zeros((kinds, kinds)), {4: Counter(), 5: Counter()}
+    for t in texts:
+        at = [len(words) - 1 + brown_lm.SHAPES, *[words[w.encode()] for w in t.split()], len(words) - 1 + brown_lm.SHAPES]
+        for i in range(1, len(at)):
+            g[state[at[i - 1]], state[at[i]]] += 1
+            if at[i] in beside:
+                beside[at[i]].update([state[at[i - 1]], kinds + state[at[i + 1]]])
+    got = {(x.pair // kinds, x.pair % kinds): x.n for x in counted.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    assert got == {(i, j): n for i in range(kinds) for j in range(kinds) if (n := int(g[i, j]))}
+    best = brown_lm.moves(counted, g, classes, len(state))
+    for w, c in beside.items():
+        gain = [sum(n * (math.log((g[s, k] if s < kinds else g[k, s - kinds]) + 0.5) - math.log(g[:, k].sum() + brown_lm.KAPPA)) for s, n in c.items()) for k in range(classes)]
+        assert best[w] == int(np.argmax(gain))
+    assert set(best[[0, 1, 2, 3]]) == {-1}
+
+
+def test_the_model_predicts_held_out_text_better_than_frequencies(spark, data):
+    rows = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    seen = brown_lm.lm_scores(rows).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert seen[0] > seen[1]  # perplexities: 10 ** (-seen[0] / seen[2]) against 10 ** (-seen[1] / seen[2])
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
@@ -392,8 +426,9 @@ def test_archives(spark, tmp_path):
     rows = [(1, "http://a/", big), (2, "http://b c/é", big), (2, "http://b c/é", big), (3, None, None), (None, "x", big), (4, "%41 -", "short"), (5, "-", "short"), (6, "u", other), (7, "u", other), (8, "v", "long " * 400_000), (None, "y", "z" * 1000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     folder = f"file://{tmp_path}/archives"
-    manifest = warc.write_archives(warc.decide(pages), folder)
-    assert manifest.agg(F.sum("records")).first()[0] == len(rows)
+    manifest = warc.write_archives(warc.decide(pages), folder, file_bytes=20_000)
+    assert manifest.agg(F.sum("records")).first()[0] == len(rows) and manifest.where("bytes > 40000").count() == 0
+    (tmp_path / "archives" / "part-000000-0000-999.warc.zst").write_bytes(b"left by a task that was lost")
     back = warc.read_archives(spark, folder).collect()
     kept = {}
     for i, _, h in rows:
@@ -407,18 +442,32 @@ def test_archives(spark, tmp_path):
     assert Counter((*tuple(r)[:6], None if r.payload is None else bytes(r.payload)) for r in back) == want
     import zstandard
 
-    for file in (tmp_path / "archives").glob("part-*.zst"):  # a plain reader that knows the dictionary reads it, too
-        data = file.read_bytes()
+    fields = []
+    for (file,) in manifest.select("file").collect():  # a plain reader that knows the dictionary reads it, too
+        data = (tmp_path / "archives" / file).read_bytes()
         n = int.from_bytes(data[4:8], "little")
         assert data[:4] == bytes.fromhex("5d2a4d18")
         whole = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + n])).stream_reader(data[8 + n :], read_across_frames=True).read()
-        assert whole.count(b"WARC/1.1\r\n") >= 0 and (not whole or whole.startswith(b"WARC/1.1"))
+        assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        while whole:  # by lengths alone, as the format asks
+            head, _, rest = whole.partition(b"\r\n\r\n")
+            fields.append(dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:]))
+            size = int(fields[-1]["Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+            whole = rest[size + 4 :]
+    ids = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    for f in fields:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["WARC-Record-ID"])
+        assert f["WARC-Type"] == "warcinfo" or re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:[\x21-\x7e]*", f["WARC-Target-URI"])
+        if f["WARC-Type"] == "revisit":
+            assert f["WARC-Refers-To"] in ids and f["WARC-Profile"].endswith("/revisit/identical-payload-digest")
+    assert "http://a/" in {f.get("WARC-Target-URI") for f in fields}
     assert warc.archive(pages.limit(0)).count() == 0
 
 
 def test_trained_dictionary_round_trip():
     records = [f"<html><body>record number {i} of many alike {i * 7}</body></html>".encode() for i in range(5000)]
-    data = b"".join(warc.frames(iter(records)))
+    data = b"".join(warc.frames(iter(records), warc.train(records[::10])))
     assert list(warc.unframe(data)) == records
     assert len(data) < sum(map(len, records)) / 2
 
