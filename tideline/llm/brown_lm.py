@@ -123,28 +123,47 @@ def frequent(vocab: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
     return sorted(rows, key=lambda r: (-r[2], r[0]))
 
 
-def bigrams(training: DataFrame, clustered: list[bytes], fast: dict[bytes, int]) -> DataFrame:
-    """pair, n: neighbours among states; a state is a clustered word, a shape or the end. pair: first * states + second."""
-    m = len(clustered)
-    states = m + SHAPES + 1
-    known = {w: m + s for w, s in fast.items()} | {w: i for i, w in enumerate(clustered)} | {END: states - 1}
-    shared = training.sparkSession.sparkContext.broadcast(known)
+def encoded(training: DataFrame, words: dict[bytes, int]) -> DataFrame:
+    """ids: the tokens of whole texts as numbers, which all passes over the text read; written once.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, counts = Index(shared.value, m), np.zeros(states * states, dtype=np.int64)
+    Words that are looked up have their number, other words that of their shape, texts end with the end's.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(words)
+    quick = len(words) - 1
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value, quick)
         for batch in batches:
-            words = []
+            every: list[bytes] = []
             for text in batch.column("text").to_pylist():
-                words += tokens(text)
-                words.append(END)
-            at = index.of(words)
-            before = np.append(states - 1, at[:-1])
-            counts += np.bincount(before * states + at, minlength=states * states)
+                every += tokens(text)
+                every.append(END)
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array([index.of(every).astype(np.int32).tobytes()], pa.binary())], ["ids"])
+
+    return spool(training.select("text").mapInArrow(encode, "ids binary"), "encoded")
+
+
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for ids in batch.column("ids"):
+            yield np.frombuffer(ids.as_buffer(), dtype=np.int32)
+
+
+def bigrams(texts: DataFrame, state: np.ndarray, states: int) -> DataFrame:
+    """pair, n: neighbours among states, pair: first * states + second. texts: encoded(); state: of each number, the end's last."""
+    shared = texts.sparkSession.sparkContext.broadcast(state)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, counts = shared.value, np.zeros(states * states, dtype=np.int64)
+        for ids in _ids(batches):
+            at = state[ids]
+            counts += np.bincount(np.append(state[-1], at[:-1]) * states + at, minlength=states * states)
         pair = np.flatnonzero(counts)
         for i in range(0, len(pair), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pair[i : i + 100_000]), pa.array(counts[pair[i : i + 100_000]])], ["pair", "n"])
 
-    return spool(training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
+    return spool(texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -218,15 +237,14 @@ def information(g: np.ndarray) -> float:
     return float((_xlogx(g).sum() - _xlogx(g.sum(axis=0)).sum() - _xlogx(g.sum(axis=1)).sum()) / max(g.sum(), 1))
 
 
-def neighbours(training: DataFrame, words: dict[bytes, int], state: np.ndarray, open_: np.ndarray, kinds: int) -> DataFrame:
-    """Counts of a pass: pair, n of neighbouring classes (first * kinds + second), or word, slots, times: for a
+def neighbours(texts: DataFrame, state: np.ndarray, open_: np.ndarray, kinds: int) -> DataFrame:
+    """Counts of a pass over encoded() texts: pair, n of neighbouring classes (first * kinds + second), or word, slots, times: for a
     word that may move the classes before it (slot: class) and after it (slot: kinds + class), each with how often."""
-    shared = training.sparkSession.sparkContext.broadcast((words, state, open_))
-    quick = len(words) - 1
+    shared = texts.sparkSession.sparkContext.broadcast((state, open_))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, state, open_ = shared.value
-        index, g, held, n = Index(words, quick), np.zeros(kinds * kinds, dtype=np.int64), [], 0
+        state, open_ = shared.value
+        g, held, n = np.zeros(kinds * kinds, dtype=np.int64), [], 0
         names = ["pair", "n", "word", "slots", "times"]
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -243,12 +261,8 @@ def neighbours(training: DataFrame, words: dict[bytes, int], state: np.ndarray,
                 ]
                 yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(word[e[:-1]]), *blobs], names)
 
-        for batch in batches:
-            every: list[bytes] = []
-            for text in batch.column("text").to_pylist():
-                every += tokens(text)
-                every.append(END)
-            at = index.of(every)
+        for ids in _ids(batches):
+            at = ids.astype(np.int64)
             c = state[at]
             before = np.append(state[-1], c[:-1])
             g += np.bincount(before * kinds + c, minlength=kinds * kinds)
@@ -264,7 +278,7 @@ def neighbours(training: DataFrame, words: dict[bytes, int], state: np.ndarray,
         none = lambda kind: pa.nulls(len(pair), kind)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(g[pair]), none(pa.int64()), none(pa.binary()), none(pa.binary())], names)
 
-    return spool(training.select("text").mapInArrow(count, "pair long, n long, word long, slots binary, times binary"), "neighbours")
+    return spool(texts.mapInArrow(count, "pair long, n long, word long, slots binary, times binary"), "neighbours")
 
 
 def moves(counted: DataFrame, g: np.ndarray, classes: int, most: int) -> np.ndarray:
@@ -317,14 +331,16 @@ def train(training: DataFrame, clustered: int = CLUSTERED, fast: int = FAST, cla
     n, v = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     quick = frequent(vocab, fast)
     core = [w for w, _, _ in quick[:clustered]]
-    first, _ = cluster(bigrams(training, core, {w: s for w, s, _ in quick}), len(core), classes, sweeps)
-    kinds = classes + SHAPES + 1
+    kinds, m = classes + SHAPES + 1, len(core)
     words = {w: i for i, (w, _, _) in enumerate(quick)} | {END: len(quick) + SHAPES}
+    texts = encoded(training, words)
+    single = np.array([*range(m), *[m + s for _, s, _ in quick[m:]], *range(m, m + SHAPES + 1)])
+    first, _ = cluster(bigrams(texts, single, m + SHAPES + 1), m, classes, sweeps)
     state = np.array([*first[: len(core)], *[classes + s for _, s, _ in quick[len(core) :]], *range(classes, kinds)])
     open_ = np.array([i >= len(core) and times >= least for i, (_, _, times) in enumerate(quick)] + [False] * (SHAPES + 1))
     held = None
     for turn in range(passes + 1):
-        counted = neighbours(training, words, state, open_ & (turn < passes), kinds)
+        counted = neighbours(texts, state, open_ & (turn < passes), kinds)
         g = np.zeros(kinds * kinds)
         found = counted.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
         g[found["pair"]] = found["n"]
@@ -339,6 +355,7 @@ def train(training: DataFrame, clustered: int = CLUSTERED, fast: int = FAST, cla
         unlink(training.sparkSession, counted)
         state = np.where(best >= 0, best, state)
     state, g = held
+    unlink(training.sparkSession, texts)
 
     shape_tokens, shape_types = [0] * SHAPES, [0] * SHAPES
     for s, total, types in vocab.where("shape >= 0").groupBy("shape").agg(F.sum("n"), F.count("*")).collect():
