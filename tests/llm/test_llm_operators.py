@@ -276,7 +276,7 @@ def test_moves_raise_the_likelihood_most(spark):
     classes, kinds = 2, 2 + brown_lm.SHAPES + 1
     state = np.array([0, 1, 0, 1, 0, 1, *range(2, kinds)])
     open_ = np.array([False] * 4 + [True, True] + [False] * (brown_lm.SHAPES + 1))
-    counted = brown_lm.neighbours(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), words, state, open_, kinds)
+    counted = brown_lm.neighbours(brown_lm.encoded(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), words), state, open_, kinds)
     g, beside = np.zeros((kinds, kinds)), {4: Counter(), 5: Counter()}
     for t in texts:
         at = [len(words) - 1 + brown_lm.SHAPES, *[words[w.encode()] for w in t.split()], len(words) - 1 + brown_lm.SHAPES]
