@@ -138,3 +138,92 @@ def test_newer_replaces(spark):
     make = lambda *rows: spark.createDataFrame(rows, "id long, t long, v string")
     got = writers.newest(make((1, 5, "a"), (2, 5, "a")), make((1, 5, "b"), (2, 6, "b"), (3, 1, "b")), ["id"], "t")
     assert sorted((r.id, r.v) for r in got.collect()) == [(1, "a"), (2, "b"), (3, "b")]
+
+
+def test_stream_of_changes_becomes_snapshots(spark, tmp_path):
+    import bz2
+
+    from tideline.sources import exchange
+
+    definition = {"eventName": "Arsenal v Chelsea", "name": "Corners Over/Under 10.5", "marketType": "OU", "marketTime": "2025-01-01T15:00:00.000Z", "inPlay": False, "runners": [{"id": 1, "name": "Over 10.5 Corners"}, {"id": 2, "name": "Under 10.5 Corners"}]}
+    t0 = 1735741800000  # 14:30
+    messages = [
+        {"pt": t0, "mc": [{"id": "1.1", "marketDefinition": definition}]},
+        {"pt": t0 + 1000, "mc": [{"id": "1.1", "rc": [{"id": 1, "ltp": 1.9}]}]},  # one side alone
+        {"pt": t0 + 2000, "mc": [{"id": "1.1", "rc": [{"id": 2, "ltp": 2.0}]}]},
+        {"pt": t0 + 3000, "mc": [{"id": "1.1", "rc": [{"id": 1, "ltp": 1.95}]}]},
+        {"pt": t0 + 4000, "mc": [{"id": "1.1", "marketDefinition": definition | {"inPlay": True}}]},
+        {"pt": t0 + 5000, "mc": [{"id": "1.1", "rc": [{"id": 1, "ltp": 1.5}]}]},  # in play
+    ]
+    (tmp_path / "a.bz2").write_bytes(bz2.compress(("\n\n".join(json.dumps(m) for m in messages) + "\n{broken").encode()))
+    got = sorted(exchange.snapshots(exchange.read_stream(spark, str(tmp_path))).collect(), key=lambda r: r.captured_at)
+    assert [(r.market_id, r.event_name, r.line, r.over_odds, r.under_odds, r.is_closing) for r in got] == [("1.1", "Arsenal v Chelsea", 10.5, 1.9, 2.0, False), ("1.1", "Arsenal v Chelsea", 10.5, 1.95, 2.0, True)]
+
+
+def test_quotes_of_payloads(spark):
+    from tideline.sources import exchange
+
+    combos = [{"str": "H", "currentOdds": "1.85"}, {"str": "", "currentOdds": "1.95", "selections": [{"str": "L"}]}, {"str": "X", "currentOdds": "---"}, {"str": "Y", "currentOdds": "0"}]
+    line = {"condition": "9.5", "status": "AVAILABLE", "combinations": combos}
+    pools = [{"oddsType": "CHL", "lines": [line, {"condition": "10.5", "combinations": combos[2:]}]}, {"oddsType": "HIL", "lines": [line]}]
+    match = {"id": "M1", "kickOffTime": "2025-01-01T15:00:00+00:00", "tournament": {"nameProfileId": "p"}, "homeTeam": {"name_ch": "h"}, "awayTeam": {"name_ch": "a"}, "foPools": pools}
+    late, other, odd = match | {"kickOffTime": "2025-01-09T15:00:00+00:00"}, match | {"tournament": {"nameProfileId": "q"}}, match | {"kickOffTime": "soon"}
+    rows = spark.createDataFrame([(json.dumps({"data": {"matches": [match, late, other, odd]}}),), ("{}",), ("no json",)], "payload string")
+    got = exchange.football_quotes(rows, {"p": "one"}, F.to_timestamp(F.lit("2025-01-01T12:00:00Z"))).collect()
+    assert [(r.key, r.league, r.odds, r.line_status, r.home, r.minutes) for r in got] == [("football:M1:CHL:9.5", "one", {"H": 1.85, "L": 1.95}, "AVAILABLE", "h", 180)]
+    pool = lambda kind, races, nodes: {"oddsType": kind, "leg": {"races": races}, "oddsNodes": nodes}
+    nodes = [{"combString": "01", "oddsValue": "3.5"}, {"combString": "02", "oddsValue": "SCR"}, {"combString": "01", "oddsValue": "3.6"}]
+    meeting = {"meeting": {"date": "2025-01-01", "venueCode": "ST"}, "pools": [pool("WIN", [4], nodes), pool("PLA", [], nodes), pool("QIN", [4], nodes), pool("PLA", [5], nodes[1:2])]}
+    got = exchange.racing_quotes(spark.createDataFrame([(json.dumps(meeting),)], "payload string")).collect()
+    assert [(r.key, r.race_id, r.odds) for r in got] == [("racing:2025-01-01:ST:4:WIN", "HK:2025-01-01:ST:4", {"01": 3.6})]
+
+
+def test_match_files(spark):
+    from tideline.sources import matches
+
+    rows = spark.createDataFrame([("E0", "17/08/93", "A", "B", "5", "3.0", "x"), ("E0", "17/08/2024", "A", "B", "5", None, "2"), ("E1", "2024-08-17", "A", "B", "5", "4", "2"), ("E0", "bad", "A", "B", "5", "3", "2")], "Div string, Date string, HomeTeam string, AwayTeam string, HC string, AC string, `Avg>2.5` string")
+    got = matches.normalised_matches(rows, "2425", ["E0"]).collect()
+    assert [(str(r.Date), r.HC, r.AC, r["Avg>2.5"], r.Season) for r in got] == [("1993-08-17", 5, 3, None, "2425")]
+    assert matches.normalised_matches(rows.drop("HC"), "2425", ["E0"]) is None
+    assert [r.Div for r in matches.normalised_fixtures(rows, ["E0", "E1"]).collect()] == ["E0", "E0", "E1"]
+
+
+def test_bootstrap_and_policy(spark):
+    import pandas as pd
+
+    from tideline.operators import policy
+
+    days = pd.DataFrame({"day": [3, 1, 2], "net": [1.0, -2.0, 0.5], "bets": [2, 3, 1]})
+    rng, frame = np.random.default_rng(7), days.sort_values("day").set_index("day")
+    drawn = [frame.loc[rng.choice(frame.index.to_numpy(), size=3, replace=True)] for _ in range(50)]
+    assert policy.bootstrapped(days, 7, 50) == float(np.quantile([d["net"].sum() / d["bets"].sum() for d in drawn], 0.1))
+    assert policy.bootstrapped(days[:0], 7) == -1.0
+    rows = [(i // 5, 0.2, 0.1, 2.0, 2.0, i % 5 < 4) for i in range(200)] + [(i, 0.01, 0.01, 4.0, 4.0, False) for i in range(40)]
+    sided = policy.sided(spark.createDataFrame(rows, "day long, over_value double, under_value double, over_odds double, under_odds double, over_won boolean"))
+    assert {r.direction for r in sided.collect()} == {"over"}
+    best = policy.chosen(policy.lower_returns(policy.grid_days(sided), 100)).first()
+    assert best.enabled and (best.maximum_odds, best.minimum_value, best.bets) == (3.0, 0.0, 200) and abs(best.roi - 0.6) < 1e-9
+    assert policy.chosen(policy.lower_returns(policy.grid_days(sided), 10), least=1000).first().reason == "too few bets"
+
+
+def test_special_functions(spark):
+    from tideline.functions import special as sp
+
+    r = spark.range(1).select(
+        sp.normal_cdf(F.lit(1.959963984540054)), sp.normal_quantile(F.lit(0.975)), sp.chi_square_tail(F.lit(3.841458820694124), F.lit(1.0)), sp.chi_square_tail(F.lit(67.50480654954126), F.lit(50.0)),
+        sp.beta_quantile(F.lit(0.5), F.lit(2.0), F.lit(2.0)), sp.beta_quantile(F.lit(0.025), F.lit(1.0), F.lit(1.0)), sp.kolmogorov_tail(F.lit(1.3580986393225505)), sp.log_gamma(F.lit(0.5)),
+    ).first()
+    want = [0.975, 1.959963984540054, 0.05, 0.05, 0.5, 0.025, 0.05, 0.5723649429247001]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(r, want, strict=True)), list(r)
+
+
+def test_published_files_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.12345678, "a"), (2, None, "b")], "id long, v double, t string")
+    for _ in range(2):  # a second publication replaces the first
+        writers.publish_json(rows, str(tmp_path / "j"))
+        writers.publish_csv(rows, str(tmp_path / "c"))
+    assert sorted(r.id for r in spark.read.json(str(tmp_path / "j")).collect()) == [1, 2]
+    assert sorted(r.t for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()) == ["a", "b"]
+    assert json.loads(writers.versioned(rows).where("payload like '%\"id\":1%'").first().payload)["v"] == 0.123457
+    one, other = writers.checksums(rows, ["id"]).collect(), writers.checksums(rows.orderBy(F.desc("id")).select("t", "v", "id"), ["id"]).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other))

@@ -122,3 +122,17 @@ def filled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with missing values of the columns replaced by the columns' medians."""
     medians = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])  # one row
     return rows.join(F.broadcast(medians)).select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else c for c in rows.columns])
+
+
+def bridged(forecasts: DataFrame, trades: DataFrame, key: str, picked: str, at: str, take: dict[str, str]) -> DataFrame:
+    """key, action and the columns `take` of each key's earliest trade (of equals the smallest).
+
+    A forecast without a pick of its own takes the trade (bridged), others are kept, and trades of keys
+    without a forecast are appended.
+    """
+    first = F.min(F.struct(at, *take.values())).alias("__t")
+    early = trades.groupBy(key).agg(first).select(key, "__t", F.lit(True).alias("__in"))
+    both = forecasts.select(key, picked, F.lit(True).alias("__held")).join(early, key, "full")
+    new, open_ = F.col("__held").isNull(), ~F.coalesce(F.col(picked), F.lit(False))
+    action = F.when(new, "appended").when(open_ & F.col("__in").isNotNull(), "bridged").otherwise("kept")
+    return both.select(key, action.alias("action"), *[F.when(new | open_, F.col(f"__t.{c}")).alias(n) for n, c in take.items()])

@@ -24,7 +24,8 @@ def change_log(quotes: DataFrame, heartbeat: int = 600_000_000, tolerance: float
     """key, id, ts_us, value of the quotes that differ from the last one written, or come a heartbeat after it.
 
     The state of a key is the last written quote. A micro-batch's quotes of a key count in order of
-    time; one older than the last written is late and is dropped.
+    time; one older than the last written is late and is dropped. A key's state is
+    one quote and stays, so that a heartbeat is never written twice.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -42,6 +43,31 @@ def change_log(quotes: DataFrame, heartbeat: int = 600_000_000, tolerance: float
     return rows.groupBy("key").applyInPandasWithState(step, LOG, "ts_us long, value double", "append", GroupStateTimeout.NoTimeout)
 
 
+def settled_totals(readings: DataFrame, now_us: Column, delay_hours: float = 2.5, most: int = 40) -> DataFrame:
+    """readings with total, of those that can no longer change: seen, and by now, so long after kick-off.
+
+    readings: kick_off, seen (microseconds), home, away; counts below 0 or beyond `most` together go.
+    """
+    delay = int(delay_hours * 3_600_000_000)
+    total = F.col("home") + F.col("away")
+    sound = (F.col("home") >= 0) & (F.col("away") >= 0) & (total <= most)
+    return readings.where(sound & (F.col("seen") >= F.col("kick_off") + delay) & (now_us >= F.col("kick_off") + delay)).withColumn("total", total)
+
+
+def upgraded(records: DataFrame, key: str, at: str, recommended: str) -> DataFrame:
+    """One record a key: the first, unless it only observes and a later one recommends; then the first of those. Later ones change nothing."""
+    one = F.struct(at, *[c for c in records.columns if c != at])
+    first, better = F.min(one).alias("f"), F.min(F.when(F.col(recommended), one)).alias("r")
+    g = records.groupBy(key).agg(first, better)
+    kept = F.when(F.col(f"f.{recommended}") | F.col("r").isNull(), F.col("f")).otherwise(F.col("r"))
+    return g.select(kept.alias("k")).select("k.*").select(*records.columns)
+
+
+def archived(stream: DataFrame, identity: list[str], ts: str | None = None, late: str = "1 day") -> DataFrame:
+    """Rows whose identity has not been archived before; with a time column the state forgets identities that are `late` old."""
+    return stream.dropDuplicates(identity) if ts is None else stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(identity)
+
+
 def windowed_counts(quotes: DataFrame, ts: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """window start, kind, n, mean of each closed window; quotes later than `late` are dropped."""
     g = quotes.withWatermark(ts, late).groupBy(F.window(ts, width), "kind").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
