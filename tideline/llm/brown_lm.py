@@ -40,6 +40,9 @@ CLUSTERED, FAST, CLASSES, HELD = 1000, 100_000, 48, 400_000
 #: Sweeps over the first words at most; passes over the text; occurrences from which on a word is classed; neighbours a task holds.
 SWEEPS, PASSES, LEAST, NEIGHBOURS = 40, 2, 3, 2_000_000
 
+#: Tokens that are turned into numbers at a time.
+STEP = 300_000
+
 #: The weight of class frequencies in transitions, in tokens.
 KAPPA = 5.0
 
@@ -133,13 +136,17 @@ def encoded(training: DataFrame, words: dict[bytes, int]) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, quick)
+        numbered = lambda every: pa.RecordBatch.from_arrays([pa.array([index.of(every).astype(np.int32).tobytes()], pa.binary())], ["ids"])
         for batch in batches:
             every: list[bytes] = []
             for text in batch.column("text").to_pylist():
                 every += tokens(text)
                 every.append(END)
+                if len(every) > STEP:  # few tokens at a time: as objects they take much room
+                    yield numbered(every)
+                    every = []
             if every:
-                yield pa.RecordBatch.from_arrays([pa.array([index.of(every).astype(np.int32).tobytes()], pa.binary())], ["ids"])
+                yield numbered(every)
 
     return spool(training.select("text").mapInArrow(encode, "ids binary"), "encoded")
 
@@ -386,7 +393,7 @@ def score(documents: DataFrame, model: Model, held_out: Column) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, state, base, emission, transition = shared.value
         index, end = Index(words, quick), quick + SHAPES
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
             every: list[bytes] = []
             counts = []
             for text in batch.column("text").to_pylist():
