@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,29 +79,28 @@ def implied_means(rows: DataFrame, id_: str, lines: str = "lines", shares: str =
     lines, shares, weights: arrays of a row. Null where a row has no line.
     """
 
-    def solve(batches):
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for x, p, w in zip(batch[lines], batch[shares], batch[weights], strict=True):
-                if x is None or not len(x):
-                    out.append(None)
-                    continue
-                counts, p, w = np.floor(np.array(x, dtype=float)), np.array(p, dtype=float), np.array(w, dtype=float)
-                k = np.arange(int(counts.max()) + 1)
-                log_k = np.cumsum(np.log(np.maximum(k, 1)))
-
-                def residual(mean: float) -> float:
-                    below = np.cumsum(np.exp(k * np.log(mean) - mean - log_k))
-                    return float((w * (1 - below[counts.astype(int)] - p)).sum())
-
-                a, b = low, high
-                if residual(a) > 0 or residual(b) < 0:
-                    out.append(a if residual(a) > 0 else b)
-                    continue
-                for _ in range(steps):
-                    mid = (a + b) / 2
-                    a, b = (mid, b) if residual(mid) < 0 else (a, mid)
-                out.append((a + b) / 2)
-            yield pd.DataFrame({id_: batch[id_], "mean": pd.Series(out, dtype="float64")})
+            size = np.array([0 if x is None else len(x) for x in batch[lines]], dtype=int)
+            line, share, weight = (np.zeros((len(batch), max(1, size.max(initial=0)))) for _ in range(3))
+            for i, n in enumerate(size):
+                if n:
+                    line[i, :n], share[i, :n], weight[i, :n] = batch[lines].iloc[i], batch[shares].iloc[i], batch[weights].iloc[i]
+            at = np.floor(line).astype(int)
+            k = np.arange(at.max(initial=0) + 1)
+            log_k = np.cumsum(np.log(np.maximum(k, 1)))
+
+            def residual(mean: np.ndarray) -> np.ndarray:
+                below = np.cumsum(np.exp(k * np.log(mean)[:, None] - mean[:, None] - log_k), axis=1)
+                return (weight * (1 - np.take_along_axis(below, at, axis=1) - share)).sum(axis=1)
+
+            a, b = np.full(len(batch), low), np.full(len(batch), high)
+            b = np.where(residual(a) > 0, low, b)
+            a = np.where(residual(np.full(len(batch), high)) < 0, high, a)
+            for _ in range(steps):
+                mid = (a + b) / 2
+                under = residual(mid) < 0
+                a, b = np.where(under, mid, a), np.where(under, b, mid)
+            yield pd.DataFrame({id_: batch[id_], "mean": np.where(size > 0, (a + b) / 2, np.nan)})
 
     return rows.select(id_, lines, shares, weights).mapInPandas(solve, f"{id_} {rows.schema[id_].dataType.simpleString()}, mean double")

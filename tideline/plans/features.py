@@ -75,7 +75,7 @@ def q_standing(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {DRAW_SQL.replace('SELECT', 'd AS (SELECT', 1)}), r AS (SELECT numbers, row_number() OVER (ORDER BY draw_id) AS i FROM d), n AS (SELECT count(*) AS n FROM d),
 c AS (SELECT unnest(range(200, n + 1, 100)) AS cut FROM n), x AS (SELECT i, unnest(numbers) AS number FROM r)
-SELECT cut, number, count(*) AS seen, round(count(*) * 49 / (cut * 6.0::DOUBLE), 6) AS bias FROM c JOIN x ON x.i <= cut GROUP BY 1, 2
+SELECT cut, number, count(*) AS seen, count(*) * 49 / (cut * 6.0::DOUBLE) AS bias FROM c JOIN x ON x.i <= cut GROUP BY 1, 2
 """)
 def q_expanding_bias(spark: SparkSession, sf: str) -> DataFrame:
     d = draws(spark, sf)
@@ -90,7 +90,7 @@ def q_expanding_bias(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.range(200, n + 1, 100).select(F.col("id").alias("cut"), F.explode(F.sequence(F.lit(1), F.lit(49))).alias("number"))
     filled = grid.join(by_step, ["cut", "number"], "left")
     seen = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("number").orderBy("cut"))
-    return filled.select("cut", "number", seen.alias("seen")).where("seen > 0").select("cut", "number", "seen", F.round(F.col("seen") * 49 / (F.col("cut") * 6.0), 6).alias("bias"))
+    return filled.select("cut", "number", seen.alias("seen")).where("seen > 0").select("cut", "number", "seen", (F.col("seen") * 49 / (F.col("cut") * 6.0)).alias("bias"))
 
 
 SPACING_SQL = f"""
