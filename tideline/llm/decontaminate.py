@@ -100,6 +100,7 @@ def stretches(rows: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     else:
         seeds = seeds.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         hits = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(seeds, ["hash", "salt"])
+    hits = hits.select("row", "size", "at", "hash", "item", "length", "enough").distinct()  # those of equal texts are equal
     n = F.least(F.col("length"), F.col("size"))
     hits = hits.withColumn("enough", F.when(F.col("size") >= F.col("length"), F.col("enough")).otherwise(1))
     # the starts whose windows hold a seed; where it occurs again, only those that the place before has not
@@ -113,24 +114,29 @@ def stretches(rows: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Da
     return steps.where("seeds >= enough and next is not null").select("row", "length", F.col("at").alias("first"), (F.col("next") - 1).alias("last"))
 
 
+def named(text: Column) -> Column:
+    """The number of a text: equal texts are judged once, and any reading of the documents gives the same numbers."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit("text"))
+
+
 def windows(documents: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """row, doc_id, length, start, words of every window that may be similar to an item; once for each length and start."""
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", split_words(F.col("text")).alias("words"))
+    """row, length, start, words of every window of a text that may be similar to an item; once for each length and start."""
+    rows = documents.select(named(F.col("text")).alias("row"), split_words(F.col("text")).alias("words"))
     rows = rows.where(F.size("words") >= SHINGLE)
     found = stretches(rows, items, similar).groupBy("row").agg(F.collect_set(F.struct("length", "first", "last")).alias("found"))
     found = spool(found, "stretches")
-    rows = rows.join(F.broadcast(found) if small(found) else found, "row")
+    rows = rows.join(F.broadcast(found) if small(found) else found, "row").groupBy("row").agg(F.any_value("words").alias("words"), F.any_value("found").alias("found"))
     starts = lambda f: F.transform(F.sequence(f["first"], f["last"]), lambda i: F.struct(f["length"].alias("length"), i.alias("start")))
-    rows = rows.select("row", "doc_id", "words", F.explode(F.array_distinct(F.flatten(F.transform("found", starts)))).alias("w"))
-    return rows.select("row", "doc_id", "w.length", "w.start", F.slice("words", F.col("w.start") + 1, F.least(F.col("w.length"), F.size("words"))).alias("words"))
+    rows = rows.select("row", "words", F.explode(F.array_distinct(F.flatten(F.transform("found", starts)))).alias("w"))
+    return rows.select("row", "w.length", "w.start", F.slice("words", F.col("w.start") + 1, F.least(F.col("w.length"), F.size("words"))).alias("words"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """row, doc_id, item_id, similarity, start, length: the best window of a document for each item that it holds."""
+    """row, item_id, similarity, start, length: the best window of each text for each item that it holds."""
     items = spool(prepared(benchmark, similar), "items")
     hashed = shingles(F.col("words"))
-    seen = windows(documents, items, similar).select("row", "doc_id", "length", "start", hashed.alias("hashes"))
-    seen = seen.select("row", "doc_id", "length", "start", counted(F.col("hashes")).alias("seen"), simhash(F.col("hashes")).alias("mark"))
+    seen = windows(documents, items, similar).select("row", "length", "start", hashed.alias("hashes"))
+    seen = seen.select("row", "length", "start", counted(F.col("hashes")).alias("seen"), simhash(F.col("hashes")).alias("mark"))
     seen = spool(seen, "windows")
     left = seen.select("*", F.explode(blocks(F.col("mark"), radius)).alias("b"))
     right = items.select("item", "length", "print", F.explode(blocks(F.col("print"), radius)).alias("b"))
@@ -144,19 +150,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, similar: float = SI
     both = F.size(F.array_intersect("seen", "set"))
     pairs = pairs.withColumn("similarity", both / (F.size("seen") + F.size("set") - both)).where(F.col("similarity") >= similar)
     best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start"))).alias("best")
-    return pairs.groupBy("row", "doc_id", "item", "item_id", "length").agg(best).select("row", "doc_id", "item_id", "best.*", "length")
+    return pairs.groupBy("row", "item", "item_id", "length").agg(best).select("row", "item_id", "best.*", "length")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start, length of every passage of the benchmark in a document."""
-    return contaminated(documents, benchmark).drop("row")
+    found = spool(contaminated(documents, benchmark), "leaks")
+    rows = documents.select("doc_id", named(F.col("text")).alias("row"))
+    return rows.join(F.broadcast(found) if small(found) else found, "row").select("doc_id", "item_id", "similarity", "start", "length")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no passage of the benchmark."""
-    row = "leak_row"
-    while row in documents.columns:
-        row += "_"
-    found = spool(contaminated(documents, benchmark).select(F.col("row").alias(row)).distinct(), "leaking")
-    rows = documents.withColumn(row, F.monotonically_increasing_id())
-    return rows.join(F.broadcast(found) if small(found) else found, row, "left_anti").drop(row)
+    found = spool(contaminated(documents, benchmark).select(F.col("row").alias("leaking")).distinct(), "leaking")
+    found = F.broadcast(found) if small(found) else found
+    return documents.join(found, named(documents["text"]) == found["leaking"], "left_anti")
