@@ -509,6 +509,27 @@ def test_decontamination(spark, texts):
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0 and decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_all_windows_of_whole_documents(spark, data):
+    """Every window of the supplied documents, very long ones too, against every item that shares a shingle with them."""
+    frame, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    held = {x.item_id: shingled(words(x.text)) for x in bench.collect()}
+    lengths = {i: sum(c.values()) + 4 for i, c in held.items()}
+    where = defaultdict(set)
+    for i, c in held.items():
+        for s in c:
+            where[s].add(i)
+    want = set()
+    for x in frame.select("doc_id", "text").collect():
+        w = words(x.text)
+        near = {i for a in range(len(w) - 4) for i in where.get(tuple(w[a : a + 5]), ())}
+        for i in near:
+            n = min(lengths[i], len(w))
+            if any(similarity(shingled(w[a : a + n]), held[i]) >= 0.8 for a in range(len(w) - n + 1) if tuple(w[a : a + 5]) in held[i] or tuple(w[a + n - 5 : a + n]) in held[i] or any(tuple(w[b : b + 5]) in held[i] for b in range(a, a + n - 4, 5))):
+                want.add((x.doc_id, i))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(frame, bench).collect()}
+    assert got == want and want
+
+
 @pytest.mark.parametrize("broadcast_rows", (100_000, 0))
 def test_edited_passages_are_found_in_every_window(spark, monkeypatch, broadcast_rows):
     monkeypatch.setattr(decontaminate.small, "__defaults__", (broadcast_rows,))
