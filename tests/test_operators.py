@@ -227,3 +227,35 @@ def test_published_files_read_back(spark, tmp_path):
     assert json.loads(writers.versioned(rows).where("payload like '%\"id\":1%'").first().payload)["v"] == 0.123457
     one, other = writers.checksums(rows, ["id"]).collect(), writers.checksums(rows.orderBy(F.desc("id")).select("t", "v", "id"), ["id"]).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(0, 1, 3000), np.repeat([1.0, 2.0, 1e9], [500, 900, 1]), np.array([3.0]), np.arange(4.0)):
+        rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        for q in (0.0, 0.1, 0.5, 0.97, 1.0):
+            assert abs(joins.quantile(rows, "v", q, held=20, bins=7) - np.quantile(x, q)) < 1e-12
+    assert joins.quantile(rows.limit(0), "v", 0.5) is None
+
+
+def test_nearest_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    l = [(i, int(rng.integers(3)), int(rng.integers(90))) for i in range(60)] + [(90, None, 5), (91, 1, None)]
+    r = [(i, int(rng.integers(3)), int(rng.integers(90))) for i in range(25)] + [(80, None, 5)]
+    left, right = spark.createDataFrame(l, "id long, k long, t long"), spark.createDataFrame(r, "rid long, k long, t long")
+    got = joins.nearest(left, right, ["k"], F.col("t"), F.col("t"), {"at": F.col("t")}, bucket=11).collect()
+    want = {i: min(((abs(s - t), s) for _, m, s in r if m == k), default=(0, None))[1] if k is not None and t is not None else None for i, k, t in l}
+    assert {x.id: x["at"] for x in got} == want
+
+
+def test_rare_words_decide_who_meets(spark):
+    r = np.random.default_rng(8)
+    words = ["the", *[f"w{i}" for i in range(12)]]
+    names = sorted({" ".join(r.choice(words, int(r.integers(1, 6)), replace=False)) for _ in range(60)})
+    a, b = spark.createDataFrame([(n,) for n in names[::2]], "name string"), spark.createDataFrame([(n,) for n in names[1::2]], "known string")
+    for least in (0.4, 0.5, 0.75):
+        want = {}
+        for n in names[::2]:
+            s = sorted((-len(set(n.split()) & set(k.split())) / max(len(n.split()), len(k.split())), k) for k in names[1::2])
+            want[n] = s[0][1] if s and -s[0][0] >= least else None
+        assert {x.name: x.match for x in joins.resolved(a, b, least).collect()} == want

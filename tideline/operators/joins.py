@@ -56,14 +56,31 @@ def first_key(left: DataFrame, right: DataFrame, id_: str, tries: list[Column],
     return left.select(id_).join(found, id_, "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: Column, take: dict[str, Column]) -> DataFrame:
-    """left with the columns of the row of right that is nearest in time; of two, the earlier."""
-    names = list(take)
-    back = asof(left, right, keys, left_time, right_time, {f"b_{n}": c for n, c in take.items()} | {"__bt": right_time})
-    ahead = asof(back, right, keys, -left_time, -right_time, {f"a_{n}": c for n, c in take.items()} | {"__at": right_time})
-    first = F.col("__at").isNull() | (left_time - F.col("__bt") <= F.col("__at") - left_time)
-    early = F.col("__bt").isNotNull() & first
-    return ahead.select(*left.columns, *[F.when(early, F.col(f"b_{n}")).otherwise(F.col(f"a_{n}")).alias(n) for n in names])
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: Column, right_time: Column, take: dict[str, Column], bucket: int = DAY) -> DataFrame:
+    """left with the columns of the row of right that is nearest in time; of two, the earlier; of one time, the largest values.
+
+    One pass over both: a window looks back and ahead inside a bucket, and one row a key and bucket
+    brings the nearest values of the buckets around it. Rows without key or time match nothing and stay.
+    """
+    value = F.struct(right_time.cast("long").alias("__at"), *[c.alias(n) for n, c in take.items()])
+    l = left.select(*keys, left_time.cast("long").alias("__t"), F.struct(*left.columns).alias("__l"))
+    r = right.select(*keys, right_time.cast("long").alias("__t"), value.alias("__r"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / bucket).cast("long"))
+    here = Window.partitionBy(*keys, "__b").orderBy("__t")
+    seen = both.withColumns({
+        "__back": F.max("__r").over(here.rangeBetween(Window.unboundedPreceding, 0)), "__ahead": F.min("__r").over(here.rangeBetween(1, Window.unboundedFollowing)),
+    }).where("__l is not null")
+    ends = both.groupBy(*keys, "__b").agg(F.max("__r").alias("__high"), F.min("__r").alias("__low"))
+    around = Window.partitionBy(*keys).orderBy("__b")
+    ends = ends.select(*keys, "__b", F.last("__high", ignorenulls=True).over(around.rowsBetween(Window.unboundedPreceding, -1)).alias("__far_back"), F.first("__low", ignorenulls=True).over(around.rowsBetween(1, Window.unboundedFollowing)).alias("__far_ahead"))
+    whole = F.lit(True)
+    for c in (*keys, "__t"):
+        whole = whole & F.col(c).isNotNull()
+    out = seen.join(ends, [*keys, "__b"], "left")
+    back, ahead = F.when(whole, F.coalesce("__back", "__far_back")), F.when(whole, F.coalesce("__ahead", "__far_ahead"))
+    out = out.withColumns({"__p": back, "__n": ahead})
+    early = F.col("__n").isNull() | (F.col("__t") - F.col("__p.__at") <= F.col("__n.__at") - F.col("__t"))
+    return out.withColumn("__v", F.when(F.col("__p").isNotNull() & early, F.col("__p")).otherwise(F.col("__n"))).select("__l.*", *[F.col(f"__v.{n}").alias(n) for n in take])
 
 
 def trailing(rows: DataFrame, keys: list[str], day: str, days: int, sums: dict[str, Column], least: Column | None = None, same_day: bool = False) -> DataFrame:
@@ -102,11 +119,23 @@ def by_shift(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, l
 def resolved(names: DataFrame, known: DataFrame, least: float = 0.5) -> DataFrame:
     """name, match: the known name that shares most words, as a share of the longer; the smaller of equals.
 
-    Names meet on a word, so only those with one in common are compared.
+    Two names that share enough have one of their rarest words in common: of n words the rarest
+    n - ceil(least * n) + 1 of each decide which meet, so that a common word does not make all pairs.
     """
-    words = lambda df, c: df.select(c, F.array_distinct(F.split(c, " ")).alias("w")).select(c, F.size("w").alias(f"n_{c}"), F.explode("w").alias("word"))
-    pairs = words(names, "name").join(words(known, "known"), "word").groupBy("name", "known", "n_name", "n_known").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("score", F.col("shared") / F.greatest("n_name", "n_known")).where(F.col("score") >= least)
+    words = lambda df, c: df.select(c, F.array_distinct(F.split(c, " ")).alias("w"))
+    a, b = words(names, "name"), words(known, "known")
+    each = a.select(F.explode("w").alias("word")).unionByName(b.select(F.explode("w").alias("word")))
+    times = each.groupBy("word").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, c: str) -> DataFrame:
+        found = df.select(c, F.size("w").alias("size"), F.explode("w").alias("word")).join(times, "word")
+        ranked = found.groupBy(c, "size").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("r"))  # a name's words
+        few = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+        return ranked.select(c, F.explode(F.slice("r", F.lit(1), few.cast("int"))).alias("r")).select(c, F.col("r.word").alias("word"))
+
+    met = rarest(a, "name").join(rarest(b, "known"), "word").select("name", "known").distinct()
+    pairs = met.join(a.withColumnRenamed("w", "x"), "name").join(b.withColumnRenamed("w", "y"), "known")
+    scored = pairs.withColumn("score", F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.size("y"))).where(F.col("score") >= least)
     best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "known")).alias("b"))
     return names.join(best.select("name", F.col("b.known").alias("match"), (-F.col("b.s")).alias("score")), "name", "left")
 
@@ -118,10 +147,43 @@ def actions(old: DataFrame, new: DataFrame, key: str, print_: str) -> DataFrame:
     return both.select(key, action.alias("action"))
 
 
+def quantile(rows: DataFrame, column: str, q: float, held: int = 50_000, bins: int = 1000) -> float | None:
+    """An exact, interpolated quantile: counts over ranges of values close in on it; no task or driver sees all values."""
+    x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    at = q * (n - 1)
+    first, last, before = int(at), min(int(at) + 1, n - 1), 0
+    while low < high:
+        width = (high - low) / bins
+        part = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")
+        counts = {r["b"]: r for r in x.where(F.col("x").between(low, high)).groupBy(part.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+        kept, passed = [], before
+        for b in sorted(counts):
+            if passed + counts[b]["n"] > first and passed <= last:
+                if not kept:
+                    before = passed
+                kept.append(counts[b])
+            passed += counts[b]["n"]
+        narrower = kept[0]["low"], kept[-1]["high"]
+        stuck, (low, high) = narrower == (low, high), narrower
+        if sum(r["n"] for r in kept) <= held or stuck:
+            break
+    values = x.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
+    upto, found = before, {}
+    for r in values:
+        for place in (first, last):
+            if upto <= place < upto + r["n"]:
+                found[place] = r["x"]
+        upto += r["n"]
+    return found[first] + (found[last] - found[first]) * (at - first)
+
+
 def filled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with missing values of the columns replaced by the columns' medians."""
-    medians = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])  # one row
-    return rows.join(F.broadcast(medians)).select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else c for c in rows.columns])
+    medians = {c: quantile(rows, c, 0.5) for c in columns}
+    return rows.select(*[F.coalesce(c, F.lit(medians[c]).cast(rows.schema[c].dataType)).alias(c) if c in columns else c for c in rows.columns])
 
 
 def bridged(forecasts: DataFrame, trades: DataFrame, key: str, picked: str, at: str, take: dict[str, str]) -> DataFrame:

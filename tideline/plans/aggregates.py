@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import DAY
 from ..operators import aggregates as A
+from ..operators import joins as J
 from ..registry import query, table
 from .joins import O, Q, orders, quotes
 from .scalars import DRAW_SQL, draws
@@ -46,7 +47,7 @@ def q_residuals(spark: SparkSession, sf: str) -> DataFrame:
     return f.agg(
         F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.avg((F.abs(e) <= 20).cast("int")), 6).alias("within"), F.round(F.avg(F.col("y").between(mu - 60, mu + 60).cast("int")), 6).alias("coverage"),
         F.round(F.greatest(F.lit(0.02), (F.avg(e * e) - F.avg(mu)) / F.pow(F.avg(mu), 2)), 6).alias("pooled"), F.round(F.greatest(F.lit(0.0), F.avg((e * e - mu) / (mu * mu))), 6).alias("mean_ratio"),
-        F.round(F.percentile(e, F.lit(0.1)), 6).alias("q10"), F.round(F.percentile(e, F.lit(0.9)), 6).alias("q90"),
+        *[F.round(F.lit(J.quantile(f.select(e.alias("e")), "e", q)), 6).alias(f"q{int(q * 100)}") for q in (0.1, 0.9)],
     )
 
 

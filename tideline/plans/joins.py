@@ -160,8 +160,9 @@ t AS (SELECT a.n AS x, b.n AS y, count(*) AS c FROM n a JOIN n b ON b.draw_id =
 SELECT x.n AS x, y.n AS y, coalesce(c, 0) + 1 AS times FROM range(1, 50) x(n) CROSS JOIN range(1, 50) y(n) LEFT JOIN t ON t.x = x.n AND t.y = y.n
 """)
 def q_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    d = draws(spark, sf).select("draw_id", F.explode("numbers").alias("n"))
-    pairs = d.select((F.col("draw_id") + 1).alias("draw_id"), F.col("n").alias("x")).join(d.withColumnRenamed("n", "y"), "draw_id").groupBy("x", "y").agg(F.count("*").alias("c"))
+    d = draws(spark, sf)
+    after = d.select((F.col("draw_id") + 1).alias("draw_id"), F.col("numbers").alias("before")).join(d, "draw_id")  # a row a draw, then at most 36 pairs of it
+    pairs = after.select(F.explode("before").alias("x"), "numbers").select("x", F.explode("numbers").alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
     grid = spark.range(49 * 49).select((F.col("id") % 49 + 1).alias("x"), (F.floor(F.col("id") / 49) + 1).alias("y"))  # 49 x 49, whatever the draws
     return grid.join(pairs, ["x", "y"], "left").select("x", "y", (F.coalesce("c", F.lit(0)) + 1).alias("times"))
 

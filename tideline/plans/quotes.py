@@ -18,7 +18,7 @@ def q_flat_quotes(spark: SparkSession, sf: str) -> DataFrame:
     line = F.struct(F.col("l_linenumber").cast("string").alias("line"), F.lit("AVAILABLE").alias("status"), F.array(combo("H", F.col("l_quantity")), combo("L", F.col("l_tax") * 100)).alias("combos"))
     match = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.array(F.struct(kind.alias("type"), F.array(line).alias("lines"))).alias("pools"))
     payload = table(spark, sf, "lineitem").select(F.to_json(F.array(match)).alias("payload"))
-    return payload.select(F.inline(readers.flat_quotes(F.col("payload")))).where("odds > 0")
+    return readers.flat_quotes(payload).drop("status")
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")

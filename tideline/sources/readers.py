@@ -28,12 +28,12 @@ def ragged_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
 
 
-def flat_quotes(payload: Column, kinds: tuple[str, ...] = ("CHL", "HAD")) -> Column:
-    """id, type, line, side, odds of each priced combination of the kinds asked for; others go."""
-    matches = F.from_json(payload, PAYLOAD)
-    pools = F.flatten(F.transform(matches, lambda m: F.transform(F.filter(m["pools"], lambda p: p["type"].isin(*kinds)), lambda p: F.struct(m["id"].alias("id"), p["type"].alias("type"), p["lines"].alias("lines")))))
-    lines = F.flatten(F.transform(pools, lambda p: F.transform(p["lines"], lambda x: F.struct(p["id"].alias("id"), p["type"].alias("type"), x["line"].alias("line"), x["combos"].alias("combos")))))
-    return F.flatten(F.transform(lines, lambda x: F.transform(x["combos"], lambda c: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["line"].alias("line"), c["side"].alias("side"), c["odds"].try_cast("double").alias("odds")))))
+def flat_quotes(payloads: DataFrame, column: str = "payload", kinds: tuple[str, ...] = ("CHL", "HAD")) -> DataFrame:
+    """id, type, line, status, side, odds of each combination of the kinds asked for whose odds are a number above 0; level by level."""
+    pools = payloads.select(F.inline(F.from_json(column, PAYLOAD))).select("id", F.inline("pools")).where(F.col("type").isin(*kinds))
+    lines = pools.select("id", "type", F.inline("lines"))
+    sides = lines.select("id", "type", "line", "status", F.inline("combos")).withColumn("odds", F.col("odds").try_cast("double"))
+    return sides.where("odds > 0")
 
 
 def draw_lines(lines: DataFrame, column: str = "value") -> DataFrame:
