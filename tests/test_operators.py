@@ -259,3 +259,29 @@ def test_rare_words_decide_who_meets(spark):
             s = sorted((-len(set(n.split()) & set(k.split())) / max(len(n.split()), len(k.split())), k) for k in names[1::2])
             want[n] = s[0][1] if s and -s[0][0] >= least else None
         assert {x.name: x.match for x in joins.resolved(a, b, least).collect()} == want
+
+
+def test_candidates_learn_and_are_selected_before_the_locked_seasons(spark):
+    from tideline.operators import candidates as C
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(900):
+        a = float(rng.random())
+        rows.append((i, i // 3, i // 180, a, None if i % 10 == 0 else float(rng.random()), 9.0, int(rng.poisson(4 + 12 * a))))
+    frame = spark.createDataFrame(rows, "id long, day long, season long, a double, b double, baseline double, total long")
+    names = ("dynamic", "poisson_all", "boosting_recent", "residual_recent", "ensemble_all")
+    got = C.walk_forward(frame, ["a", "b"], "total", "baseline", "season", "day", names, first=3, trees=8).cache()
+    assert got.count() == 360
+    mae = {r.candidate: r.mae for r in C.scores(got, "total", names).collect()}
+    assert all(mae[n] < mae["dynamic"] for n in names[1:])
+    assert C.selected(got, "total", "season", names, locked=1) != "dynamic"
+    p = spark.createDataFrame([(0.8, int(x < 0.6)) for x in rng.random(2000)] + [(0.2, int(x < 0.4)) for x in rng.random(2000)], "p double, won int")
+    intercept, slope = C.line_calibration(p, "p", "won")
+    assert abs(intercept) < 0.1 and abs(slope - np.log(1.5) / np.log(4)) < 0.06  # p is too sure of itself
+    runners = spark.createDataFrame([(r, i, float(rng.random())) for r in range(150) for i in range(4)], "race long, runner long, x double")
+    won = runners.withColumn("won", (F.col("x") > 0.7).cast("int"))
+    shares = C.winner_classifier(won, ["x"], "won", trees=3)(won)
+    assert abs(shares.agg(F.sum("p")).first()[0] - 150) < 1e-6
+    means = {r.won: r.m for r in shares.groupBy("won").agg(F.avg("p").alias("m")).collect()}
+    assert means[1] > means[0]

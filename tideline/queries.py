@@ -1,4 +1,4 @@
 """All queries over the supplied tables and the SQL that must give the same rows."""
 
-from .plans import aggregates, features, feeds, folds, joins, models, policy, quotes, rules, scalars, sets, windows  # noqa: F401
+from .plans import aggregates, candidates, features, feeds, folds, joins, models, policy, quotes, rules, scalars, sets, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
