@@ -298,16 +298,27 @@ def moves(counted: DataFrame, g: np.ndarray, classes: int, most: int) -> np.ndar
     worth = np.concatenate([np.log(g[:, :classes] + 0.5) - size, np.log(g[:classes, :].T + 0.5) - size])
     shared = counted.sparkSession.sparkContext.broadcast(worth)
 
+    def cells(blobs: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of a column of blobs, and where each blob's begin."""
+        edge = np.frombuffer(blobs.buffers()[1], dtype=np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(blobs.buffers()[2], dtype=kind, count=(edge[-1] - edge[0]) // width, offset=edge[0]), (edge[:-1] - edge[0]) // width
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worth = shared.value
-        gains: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for word, slots, times in zip(batch.column("word").to_pylist(), batch.column("slots"), batch.column("times"), strict=True):
-                slots, times = np.frombuffer(slots.as_buffer(), dtype=np.uint8), np.frombuffer(times.as_buffer(), dtype=np.uint32)
-                gain = times @ worth[slots]
-                gains[word] = gains[word] + gain if word in gains else gain
-        best = [int(np.argmax(x)) for x in gains.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(gains), pa.int64()), pa.array(best, pa.int64())], ["word", "class"])
+        gains, seen = np.zeros((most, classes)), np.zeros(most, dtype=bool)  # bounded by the words that are looked up
+        for whole in batches:
+            for i in range(0, len(whole), 2000):
+                batch = whole.slice(i, 2000)
+                word = batch.column("word").to_numpy()
+                (slots, starts), (times, _) = cells(batch.column("slots"), np.uint8), cells(batch.column("times"), np.uint32)
+                gain = np.add.reduceat(worth[slots] * times[:, None], starts, axis=0)  # no blob is empty
+                order = np.argsort(word, kind="stable")
+                own, first = np.unique(word[order], return_index=True)
+                gains[own] += np.add.reduceat(gain[order], first, axis=0)
+                seen[own] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(gains[at].argmax(axis=1), pa.int64())], ["word", "class"])
 
     out = np.full(most, -1)
     dealt = counted.where("word is not null").select("word", "slots", "times").repartition("word")
