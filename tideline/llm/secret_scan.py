@@ -133,21 +133,19 @@ def train(labelled: DataFrame, smooth: float = 0.5, backed: float = 20.0, false:
     return Model(ratios, high + max(0.0, low - high) / 4)
 
 
-def found(text: Column, pattern: str, kind: str) -> Column:
-    """Every match of a pattern, with the number of characters between it and the one before."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    one = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.struct(F.lit(kind).alias("kind"), one.alias("matches"))
-
-
 def located(documents: DataFrame, model: Model) -> DataFrame:
     """row, doc_id, kind, start, end, score of every match of a format, run or part; kind is null where a match fails or there is none."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
     # HEX16, RUN and PART leave out short runs, which fail and which no other match of their kind can overlap.
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX16, "random": RUN, "part": PART}
-    rows = rows.select("row", "doc_id", F.explode(F.array(*[found(F.col("text"), p, k) for k, p in patterns.items()])).alias("f"))
+    # first the matches and the lengths between them, so that no expression is evaluated twice
+    every = {f"m_{k}": F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in patterns.items()}
+    every |= {f"g_{k}": F.transform(F.split("text", p, -1), F.length) for k, p in patterns.items()}
+    rows = rows.select("row", "doc_id", *[c.alias(n) for n, c in every.items()])
+    pair = lambda g, m: F.struct(g.alias("gap"), m.alias("match"))
+    zipped = [F.struct(F.lit(k).alias("kind"), F.zip_with(F.slice(f"g_{k}", F.lit(1), F.size(f"m_{k}")), f"m_{k}", pair).alias("matches")) for k in patterns]
+    rows = rows.select("row", "doc_id", F.explode(F.array(*zipped)).alias("f"))
     rows = rows.select("row", "doc_id", "f.kind", F.posexplode_outer("f.matches").alias("nth", "m")).select("row", "doc_id", "kind", "nth", "m.*")
     fails = ((F.col("kind") == "assign") & (F.length(F.regexp_extract("match", ASSIGN, 2)) < 12)) | ((F.col("kind") == "access") & (F.length("match") < 18))
     scored = F.when(F.col("kind").isin("random", "part"), score(F.col("match"), model.ratios))
