@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, dart_minhash, decontaminate, maxscore, mixing, pii, quality, secret_scan, url_filter, warc
+from . import brown_lm, dart_minhash, decontaminate, maxscore, mixing, periodic_runs, pii, quality, secret_scan, toxicity, url_filter, warc, whitening
 from .common import table
 
 #: The rules that op1 judges by.
@@ -65,6 +65,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -121,6 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_secret_scans": op10_secret_scans,
+        "op11_toxicity": op11_toxicity,
+        "op12_whitening": op12_whitening,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
