@@ -88,7 +88,7 @@ def alarms(rows: DataFrame, delta: float = 0.005, threshold: float = 0.35, slack
 
 
 def hedged(rows: DataFrame, models: list[str], rate: float = 0.6, floor: float = 0.03) -> DataFrame:
-    """key, id and the weights of models before each row; none falls under the floor. rows: key, ts_us, id, y, models' probabilities."""
+    """key, id and the weights of models before each row; what falls under the floor is held there. rows: key, ts_us, id, y, models' probabilities."""
 
     def step(w: list[float], r: Any) -> list[tuple]:
         out = [(r.key, r.id, *w)]
@@ -100,16 +100,14 @@ def hedged(rows: DataFrame, models: list[str], rate: float = 0.6, floor: float =
 
 
 def floored(w: list[float], floor: float) -> list[float]:
-    """w scaled to sum 1, with what would fall under the floor held there."""
-    held: set[int] = set()
-    while True:
-        free = sum(x for i, x in enumerate(w) if i not in held)
-        room = 1 - floor * len(held)
-        scaled = [floor if i in held else x / free * room for i, x in enumerate(w)]
-        low = {i for i, x in enumerate(scaled) if x < floor - 1e-15} - held
-        if not low:
-            return scaled
-        held |= low
+    """w scaled to sum 1, with what would fall under the floor held there; what is not held shares the rest, once."""
+    whole = sum(w)
+    scaled = [x / whole for x in w] if 0 < whole < float("inf") else [1 / len(w)] * len(w)
+    held = [x <= floor for x in scaled]
+    rest, free = 1 - floor * sum(held), sum(x for x, h in zip(scaled, held, strict=True) if not h)
+    if not any(held):
+        return scaled
+    return [floor if h else x / free * rest for x, h in zip(scaled, held, strict=True)] if rest > 0 else [1 / len(w)] * len(w)
 
 
 def changed(last: tuple | None, at: int, value: float, heartbeat: int, tolerance: float) -> bool:

@@ -32,7 +32,16 @@ def q_alarms(spark: SparkSession, sf: str) -> DataFrame:
     return folds.alarms(quotes(spark, sf).select("key", "ts_us", "id", (F.col("price") / 500).alias("loss"), ((F.col("id") % 7 - 3) / 20.0).alias("difference")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {Q}, r AS (SELECT key, id, (kind = 'view')::DOUBLE AS y, (1 + id % 97) / 99.0::DOUBLE AS pa, 0.2::DOUBLE AS pb, key % 10 / 10.0::DOUBLE AS pc, row_number() OVER (PARTITION BY key ORDER BY ts_us, id) AS i FROM q),
+s AS (SELECT key, i, id, 1 / 3.0::DOUBLE AS a, 1 / 3.0::DOUBLE AS b, 1 / 3.0::DOUBLE AS c FROM r WHERE i = 1
+  UNION ALL SELECT key, i, id, CASE WHEN a <= 0.03 THEN 0.03 ELSE a / free * rest END, CASE WHEN b <= 0.03 THEN 0.03 ELSE b / free * rest END, CASE WHEN c <= 0.03 THEN 0.03 ELSE c / free * rest END
+  FROM (SELECT *, 1 - 0.03 * ((a <= 0.03)::INT + (b <= 0.03)::INT + (c <= 0.03)::INT) AS rest, CASE WHEN a <= 0.03 THEN 0 ELSE a END + CASE WHEN b <= 0.03 THEN 0 ELSE b END + CASE WHEN c <= 0.03 THEN 0 ELSE c END AS free
+    FROM (SELECT key, i, id, x / (x + y + z) AS a, y / (x + y + z) AS b, z / (x + y + z) AS c
+      FROM (SELECT n.key, n.i, n.id, s.a * exp(-0.6 * (r.pa - r.y) ** 2) AS x, s.b * exp(-0.6 * (r.pb - r.y) ** 2) AS y, s.c * exp(-0.6 * (r.pc - r.y) ** 2) AS z
+        FROM s JOIN r ON r.key = s.key AND r.i = s.i JOIN r n ON n.key = s.key AND n.i = s.i + 1))))
+SELECT key, id, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM s
+""")
 def q_hedge_weights(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf).select("key", "ts_us", "id", (F.col("kind") == "view").cast("double").alias("y"), ((1 + F.col("id") % 97) / 99.0).alias("a"), F.lit(0.2).alias("b"), (F.col("key") % 10 / 10.0).alias("c"))
     w = folds.hedged(q, ["a", "b", "c"])
