@@ -37,7 +37,7 @@ def written(symbols):
         ("ooI#", ["insult"]), ("YooI#", ["directed"]), ("IooY#", ["insult", "directed"]), ("Y#I", ["insult"]), ("SoI#", ["self"]), ("NoI#", ["negated"]),
         ("NoooI#", ["insult"]), ("NcI", ["insult"]), ("RoI#I", ["reported", "insult"]), ("QIQI", ["reported", "insult"]), ("QIPI", ["reported", "insult"]),
         ("SWTY#", ["threat"]), ("SWTooooY#", []), ("TY", []), ("TZ", ["threat"]), ("YWX#", ["threat"]), ("WYX", ["threat"]), ("YX#", []), ("SNWTY", ["negated"]), ("SNooWTY", ["threat"]),
-        ("SWNTY", ["negated"]), ("QSWTYQ", ["reported"]), ("oo#Po", []),
+        ("SWNTY", ["negated"]), ("QSWTYQ", ["reported"]), ("oo#Po", []), ("YWV#", ["threat"]), ("YWVo#", []), ("YV#", []), ("YNWooV#", ["threat"]), ("YWNVP", ["negated"]), ("oVoWY#", []),
     ],
 )
 def test_composed_transducers(symbols, want):
@@ -67,6 +67,23 @@ def test_clauses_of_a_text():
     assert scores == sorted(scores) and scores[1] < toxicity.BAR < scores[2]
 
 
+def test_only_texts_without_labels_are_passed_over():
+    model = toxicity.Grammar(toxicity.listed() | {"zwick-": 1.0, "b0b": 1.0})
+    r = random.Random(3)
+    parts = ["idiot", "1d10t", "IDI0TS", "stuuupid", "m'oron", "zwickel", "Zw1ckig", "zwi", "b0b", "bob", "die", "you", "will", "kill", "yourself", "not", "said", "die Sonne", "you'll", "fine", "day", "scümm", "tr@sh", "!m0ron", "1di0t!", "$cum", "a!diot", "m0r!on", "_scum_", "diiie", "d1e"]
+    seen = 0
+    for _ in range(3000):
+        text = "".join(r.choice(parts) + r.choice([" ", ". ", ", ", "\n", "! ", "", '"', "  \n", "-"]) for _ in range(r.randrange(1, 7)))
+        passed = not model.may_match(text)
+        model.may_match = lambda t: True
+        found = model.clauses(text)
+        del model.may_match
+        assert not (passed and found), (text, found)
+        seen += bool(found)
+    assert seen > 500 and not model.may_match("a fine day, die Sonne scheint, die") and not model.may_match("skilled scummy retort")
+    assert [c[2] for c in model.clauses("I hope you die.")] == [c[2] for c in model.clauses("I hope you die")] == ["threat"]
+
+
 def test_significance_is_the_likelihood_ratio(spark):
     rows = [(0, 3, 10, 20), (5, 0, 10, 20), (10, 20, 10, 20), (4, 4, 9, 11), (9, 0, 9, 11)]
     from pyspark.sql import functions as F

@@ -4,7 +4,7 @@ Each transducer reads a stream of symbols and writes one for each that it reads;
 with marks that earlier transducers put behind it. `composed` chains them and compiles the product of
 their reachable states into one table, so that a text costs one step a token however many there are.
 
-Classes: I an insult, T a threatening verb that takes an object, X one that takes none, W what announces
+Classes: I an insult, T a threatening verb that takes an object, X one that takes none, V one that does so at the end of a clause alone, W what announces
 a threat, Y somebody else as a target, Z the reflexive target, S the speaker, N a negation, R a verb that
 reports, Q a quotation mark, c a comma, # the end of a clause, P the end of a paragraph, o any other word.
 Marks: r reported, n negated, d directed at somebody else, s at the speaker. K is a complete threat; D says
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 
-CLASSES = "ITXWYZSNRQc#Po"
+CLASSES = "ITXVWYZSNRQc#Po"
 
 Step = Callable[[Hashable, str], tuple[Hashable, str]]
 
@@ -31,7 +31,7 @@ def reported(state: str, x: str) -> tuple[str, str]:
         return ("" if state == "quoted" else "quoted"), x
     if x == "#" and state == "said" or x == "R" and not state:
         return ("said" if x == "R" else ""), x
-    return state, x + "r" if state and x[0] in "ITX" else x
+    return state, x + "r" if state and x[0] in "ITXV" else x
 
 
 def negated(state: int, x: str) -> tuple[int, str]:
@@ -40,7 +40,7 @@ def negated(state: int, x: str) -> tuple[int, str]:
         return SCOPE, x
     if x in "#Pc":
         return 0, x
-    return max(state - 1, 0), x + "n" if state and x[0] in "ITX" else x
+    return max(state - 1, 0), x + "n" if state and x[0] in "ITXV" else x
 
 
 def targeted(state: str, x: str) -> tuple[str, str]:
@@ -56,25 +56,30 @@ def targeted(state: str, x: str) -> tuple[str, str]:
     return state, x
 
 
-def threatening(state: tuple[str, bool, int, str], x: str) -> tuple[tuple[str, bool, int, str], str]:
-    """Writes K where an announced verb meets a target: will T Y, T Z, and Y will X in either order. State: announced, target, words left, marks."""
-    announced, target, left, marks = state
+Threat = tuple[str, bool, int, str, bool]
+
+
+def threatening(state: Threat, x: str) -> tuple[Threat, str]:
+    """Writes K where an announced verb meets a target: will T Y, T Z, and Y will X in either order. State: announced, target, words left, marks, whether V waits for the end."""
+    announced, target, left, marks, waits = state
     if x in "#P":
-        return ("", False, 0, ""), x
+        return ("", False, 0, "", False), "K" + marks if waits and announced and target else x
     if x == "W":
-        return ("W", target, left, marks), x
+        return ("W", target, left, "" if waits else marks, False), x
+    if x[0] == "V":
+        return (announced, target, 0, x[1:], True), "o"
     if x[0] == "T":
-        return (announced, target, SCOPE, x[1:]), "o"
+        return (announced, target, SCOPE, x[1:], False), "o"
     if x[0] == "X":
-        return (announced, target, 0, ""), "K" + x[1:] if announced and target else "o"
+        return (announced, target, 0, "", False), "K" + x[1:] if announced and target else "o"
     if x[0] in "YZD":
         hit = left and (announced or x[0] == "Z")
-        return (announced, True, 0, ""), "K" + marks if hit else x
-    return (announced, target, max(left - 1, 0), marks if left > 1 else ""), x
+        return (announced, True, 0, "", False), "K" + marks if hit else x
+    return (announced, target, max(left - 1, 0), marks if left > 1 and not waits else "", False), x
 
 
 #: The cascade, and the state that each begins in.
-CASCADE: list[tuple[Step, Hashable]] = [(reported, ""), (negated, 0), (targeted, ""), (threatening, ("", False, 0, ""))]
+CASCADE: list[tuple[Step, Hashable]] = [(reported, ""), (negated, 0), (targeted, ""), (threatening, ("", False, 0, "", False))]
 
 
 def label(x: str) -> str | None:

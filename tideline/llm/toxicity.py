@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,13 +58,14 @@ PULL = np.array([1.0, 1.0, 0.7, 0.7, 0.7, 0.7, 0.7, 1.0, 1.0, 1.0])
 
 #: Fixed words of each class. Insults are strong or mild: how many of four texts that hold one would be toxic.
 STRONG = """idiot idiots idiotic moron morons moronic imbecile imbeciles stupid loser losers scum scumbag pathetic worthless bastard bastards asshole
-assholes bitch bitches cunt dumbass dickhead jackass douchebag wanker retard retarded kys arschloch trottel vollidiot hurensohn connard salope imbécile
+assholes bitch bitches cunt dumbass dickhead jackass douchebag wanker retarded kys arschloch trottel vollidiot hurensohn connard salope imbécile
 idiota idiotas estúpido estúpida gilipollas pendejo cabrón""".split()
 MILD = """disgusting trash clown clowns garbage dumb fool fools foolish ugly vermin filth filthy freak creep parasite lowlife coward cretin dimwit halfwit
 nitwit dunce brainless spineless despicable subhuman shit crap dumm blöd dummkopf stupide crétin abruti tonto basura""".split()
 WORDS = {
     "T": "kill murder hurt beat stab shoot destroy smash strangle burn punch crush slap choke attack töten umbringen tuer frapper matar golpear",
-    "X": "die rot suffer bleed hang perish sterben crever morir",
+    "X": "rot suffer bleed hang perish sterben crever morir",
+    "V": "die",
     "W": "will gonna shall going should must deserve deserves hope want 'll youll ill wanna werde wirst soll vais vas voy",
     "Y": "you your u ur ya youre yall he she they them him her their his these those du dich dir ihr euch tu te toi vous él ella ellos",
     "Z": "yourself yourselves urself themselves",
@@ -73,20 +75,40 @@ WORDS = {
 }
 
 #: Digits and signs that stand for letters.
-DISGUISE = str.maketrans("013457@$!", "oieastasi")
+DIGITS = dict(zip("013457", "oieast", strict=True))
+SIGNS = {"@": "a", "$": "s", "!": "i"}
+SIGN = re.compile(r"(?<=[^\W_])[@$!](?=[^\W_])|(?<![^\W_])[@$](?=[^\W_])")
 
-PIECE = re.compile(r"[^\W_]+(?:['’@$!][^\W_]+)*|[$@][^\W_]+")
-TOKEN = re.compile(r"(?P<P>\n[ \t]*\n|\n)|(?P<end>[.!?;:…]+(?=\s|$|[\"”»]))|(?P<c>[,，])|(?P<Q>[\"“”«»„])|(?P<w>[^\W_]+(?:['’@$!][^\W_]+)*|[$@][^\W_]+)")
+PIECE = re.compile(r"[$@]?[^\W_]+(?:['’@$!][^\W_]+)*")
+TOKEN = re.compile(r"(?P<P>\n[ \t]*\n|\n)|(?P<end>[.!?;:…]+(?=\s|$|[\"”»]))|(?P<c>[,，])|(?P<Q>[\"“”«»„])|(?P<w>[$@]?[^\W_]+(?:['’@$!][^\W_]+)*)")
+
+#: A verb of class V where a clause or the text may end.
+ENDING = re.compile(r"(?<![^\W_])(?:die)(?:(?![^\W_]|[,，\"“”«»„]).)*?(?:[\n.!?;:…]|$)")
+
+#: Drawn-out letters, and whether a text has any.
+RUN = re.compile(r"(.)\1{2,}")
+DRAWN = re.compile(r"(\w)\1\1")
 
 #: A task remembers so many spellings at a time.
-SPELLINGS = 1_000_000
+SPELLINGS = 50_000
+
+
+def plain_(word: str) -> str:
+    return word.lower().replace("’", "").replace("'", "")
 
 
 def spelled(word: str) -> list[str]:
     """A word as the lists would have it: lower case; without the apostrophe; undisguised; without drawn-out letters."""
-    plain = word.lower().replace("’", "").replace("'", "")
-    open_ = plain.translate(DISGUISE) if re.search(r"[^\W\d_]", plain) else plain
-    return list(dict.fromkeys([plain, open_, re.sub(r"(.)\1{2,}", r"\1\1", open_), re.sub(r"(.)\1{2,}", r"\1", open_)]))
+    plain = plain_(word)
+    open_ = undisguised(plain) if re.search(r"[^\W\d_]", plain) else plain
+    return list(dict.fromkeys([plain, open_, RUN.sub(r"\1\1", open_), RUN.sub(r"\1", open_)]))
+
+
+def undisguised(text: str) -> str:
+    """Digits, and signs within or before a word, as the letters that they stand for."""
+    for sign, letter in DIGITS.items():
+        text = text.replace(sign, letter)
+    return SIGN.sub(lambda m: SIGNS[m.group()], text) if "@" in text or "$" in text or "!" in text else text
 
 
 def patterns(word: str) -> list[str]:
@@ -105,9 +127,10 @@ class Grammar:
         self.classes = {w: k for k, words in WORDS.items() for w in words.split()} | dict.fromkeys(self.insults, "I")
         self.table = grammar.composed()
         self.known: dict[str, tuple[str, float]] = {}
+        self.places: ahocorasick.Automaton | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "places": None}
 
     def read(self, word: str) -> tuple[str, float]:
         """Class and strength of a word."""
@@ -120,8 +143,31 @@ class Grammar:
         return self.known[word]
 
     def may_match(self, text: str) -> bool:
-        """Whether a word of the text is an insult or a threatening verb; without one no transducer writes a label."""
-        return any(self.read(w)[0] in "ITX" for w in set(PIECE.findall(text)))
+        """False only where no transducer would write a label: the text has no insult, and no threatening verb that something announces.
+
+        Looks at the text as spelled() would, all words at a time.
+        """
+        if self.places is None:
+            self.places = ahocorasick.Automaton()
+            for form, kind in self.classes.items():
+                if kind in "ITXWZ":
+                    bare = form.removesuffix("-")
+                    self.places.add_word(undisguised(bare), [*self.places.get(undisguised(bare), []), (len(bare), form != bare, kind)])
+            self.places.make_automaton()
+        low = plain_(text)
+        open_ = undisguised(low)
+        looks = dict.fromkeys([low, open_])
+        if DRAWN.search(open_):
+            looks |= dict.fromkeys([RUN.sub(r"\1\1", open_), RUN.sub(r"\1", open_)])
+        verb = announced = False
+        for look in looks:
+            for last, forms in self.places.iter(look):
+                for size, stem, kind in forms:
+                    if (last < size or not look[last - size].isalnum()) and (stem or last + 1 == len(look) or not look[last + 1].isalnum()):
+                        if kind == "I":
+                            return True
+                        verb, announced = verb or kind in "TX", announced or kind in "WZ"
+        return announced and (verb or any(ENDING.search(x) for x in looks))
 
     def clauses(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, strength) of each labelled clause: its weightiest label, its strongest insult."""
@@ -144,12 +190,16 @@ class Grammar:
             k = place[x]
             said, state = writes[state][k], follows[state][k]
             if kind in ("P", "end"):
+                if said and start is not None:
+                    labels.add(said)
                 close()
                 continue
             start, end = (m.start() if start is None else start), m.end()
             if said:
                 labels.add(said)
                 strength = max(strength, weight)
+        if start is not None and (said := writes[state][place["P"]]):  # the text ends its last clause
+            labels.add(said)
         close()
         return out
 
@@ -212,7 +262,7 @@ def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def _words(text: str | None) -> set[str]:
-    return {spelled(w)[0] for w in set(PIECE.findall(text or "")) if not w.isdigit()}
+    return {plain_(w) for w in set(PIECE.findall(text or "")) if not w.isdigit()}
 
 
 def first_copies(texts: DataFrame) -> DataFrame:
@@ -227,21 +277,30 @@ def first_copies(texts: DataFrame) -> DataFrame:
     return texts.join(copies, "row", "left_anti")
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic and clean texts by word and stem; a name may come several times."""
-    times: dict[bool, Counter] = {True: Counter(), False: Counter()}
+def counted(texts: DataFrame, among: set[str] | None = None) -> DataFrame:
+    """name and n, the texts that hold a word or stem; only those of the names `among`, if given."""
+    shared = texts.sparkSession.sparkContext.broadcast(among)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = shared.value
+        times: Counter = Counter()
 
-    def out() -> pa.RecordBatch:
-        names = list(times[True].keys() | times[False].keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([times[t][w] for w in names], pa.int64()) for t in (True, False))], ["name", "a", "b"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(times.keys(), pa.string()), pa.array(times.values(), pa.int64())], ["name", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if among is None:
+                    times.update({p for w in _words(text) for p in patterns(w)})
+                else:  # where no name begins with a word's first letters, none of its patterns is among them
+                    words = (w for w in _words(text) if w in among or w[: STEM[0]] + "-" in among)
+                    times.update({p for w in words for p in patterns(w) if p in among})
+                if len(times) > 200_000:
+                    yield out()
+                    times = Counter()
+        yield out()
 
-    for batch in batches:
-        for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            times[toxic].update({p for w in _words(text) for p in patterns(w)})
-            if len(times[True]) + len(times[False]) > 500_000:
-                yield out()
-                times = {True: Counter(), False: Counter()}
-    yield out()
+    return texts.select("text").mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Grammar:
@@ -258,7 +317,10 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
         drop(marked, picked, texts, once)
         return Grammar(listed())
     a, b, listed_ = F.col("a"), F.col("b"), F.col("name").isin(*STRONG, *MILD)
-    counts = once.select("toxic", "text").mapInArrow(counted, "name string, a long, b long").groupBy("name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    hits = spool(counted(once.where("toxic")).where(listed_ | (F.col("n") >= TEXTS)), "hits")  # of at most `labelled` texts
+    among = {r.name for r in hits.select("name").collect()}
+    misses = counted(once.where("not toxic"), among)
+    counts = hits.select("name", F.col("n").alias("a")).join(misses.withColumnRenamed("n", "b"), "name", "left").fillna(0, ["b"])
     above = counts.select("name", "a", "b", significance(a, b, n, m).alias("value")).where(listed_ | (a >= TEXTS) & (a * m > LIFT * n * b) & (F.col("value") >= SIGNIFICANCE))
     order = [F.desc(listed_), F.desc("value"), F.col("name").endswith("-"), F.desc(F.length("name")), "name"]
     found = chosen([(r.name, r.a, r.b) for r in above.orderBy(*order).limit(CANDIDATES).collect()])
@@ -273,7 +335,7 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
 
     rows = texts.select("toxic", "text").mapInArrow(described, "toxic boolean, x array<double>").groupBy("toxic", "x").count().orderBy("x", "toxic").toPandas()
-    drop(marked, picked, texts, once)
+    drop(marked, picked, texts, once, hits)
     model.weights = fit(np.stack(rows["x"]), rows["toxic"].to_numpy(float), rows["count"].to_numpy(float))
     return model
 
