@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bootstrap import draws, interpolated
+
 #: The grid of policies.
 MAXIMUM_ODDS, MINIMUM_VALUE = (3.0, 5.0, 10.0), (0.0, 0.02, 0.05, 0.08, 0.1, 0.15)
 
@@ -52,7 +54,7 @@ def bootstrapped(days: pd.DataFrame, seed: int, iterations: int = 1000, level: f
 
 
 def lower_returns(days: DataFrame, iterations: int = 1000, day: str = "day") -> DataFrame:
-    """maximum_odds, minimum_value, bets, roi, lower of each policy of grid_days(); a group is a policy's days, never its rows."""
+    """maximum_odds, minimum_value, bets, roi, lower of each policy of grid_days(), the days drawn by numpy's generator; a group is a policy's days, never its rows."""
 
     def step(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         lower = bootstrapped(g, int(202607 + key[0] * 100 + key[1] * 1000), iterations, day=day)
@@ -61,6 +63,20 @@ def lower_returns(days: DataFrame, iterations: int = 1000, day: str = "day") ->
     return days.groupBy("maximum_odds", "minimum_value").applyInPandas(step, "maximum_odds double, minimum_value double, bets long, roi double, lower double")
 
 
+def drawn_returns(rows: DataFrame, iterations: int = 1000, seed: int = 202607, level: float = 0.1, day: str = "day") -> DataFrame:
+    """What lower_returns() says, from days that hashes draw: every policy and every draw in one aggregation over the days."""
+    net = F.when(F.col("won"), F.col("odds") - 1).otherwise(-1.0)
+    cells = [(m, v) for m in MAXIMUM_ODDS for v in MINIMUM_VALUE]
+    sums = {f"net_{i}": F.sum(F.when(taken(m, v), net).otherwise(0.0)) for i, (m, v) in enumerate(cells)} | {f"bets_{i}": F.count(F.when(taken(m, v), 1)) for i, (m, v) in enumerate(cells)}
+    days = rows.groupBy(day).agg(*[c.alias(k) for k, c in sums.items()])
+    drawn = draws(days, F.col(day), {k: F.col(k) for k in sums}, iterations, seed)
+    ratios = [F.sort_array(F.collect_list(F.when(F.col(f"bets_{i}") > 0, F.col(f"net_{i}") / F.col(f"bets_{i}")))).alias(f"v_{i}") for i in range(len(cells))]  # a value a draw
+    lower, whole = drawn.agg(*ratios), days.agg(*[F.sum(k).alias(k) for k in sums])
+    one = [F.struct(F.lit(m).alias("maximum_odds"), F.lit(v).alias("minimum_value"), F.col(f"bets_{i}").alias("bets"), (F.col(f"net_{i}") / F.col(f"bets_{i}")).alias("roi"), interpolated(F.col(f"v_{i}"), level).alias("lower")) for i, (m, v) in enumerate(cells)]
+    both = whole.crossJoin(F.broadcast(lower))  # a row each
+    return both.select(F.explode(F.filter(F.array(*[F.when(F.col(f"bets_{i}") > 0, c) for i, c in enumerate(one)]), lambda c: c.isNotNull())).alias("c")).select("c.*")
+
+
 def chosen(returns: DataFrame, least: int = 100) -> DataFrame:
     """The policy of the highest lower return among those of enough bets (of equals the first of the grid), whether it may trade, and why."""
     best = F.max_by(F.struct("maximum_odds", "minimum_value", "bets", "roi", "lower"), F.struct("lower", -F.col("maximum_odds"), -F.col("minimum_value")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import windows as W
+from ..operators.places import place_probabilities
 from ..registry import query, table
 from .aggregates import forecasts
 from .joins import O, orders
@@ -36,6 +37,19 @@ def q_place_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("race", "part", "supp", "line", F.round(M.second_place(F.col("p"), ["race"]), 6).alias("first_two"))
 
 
+@query(f"""
+WITH {LINES}, n AS (SELECT DISTINCT * FROM l), s AS (SELECT *, q / sum(q) OVER w AS a, power(q / sum(q) OVER w, 0.86) AS v, count(*) OVER w AS n, row_number() OVER (PARTITION BY race ORDER BY part, supp, line, p) AS i FROM n WINDOW w AS (PARTITION BY race)),
+t AS (SELECT *, sum(v) OVER (PARTITION BY race) AS t, CASE WHEN n >= 7 THEN 3 WHEN n >= 4 THEN 2 ELSE 0 END AS slots FROM s),
+two AS (SELECT x.race, x.i, sum(y.a * x.v / (y.t - y.v)) AS second FROM t x JOIN t y ON x.race = y.race AND x.i <> y.i GROUP BY 1, 2),
+three AS (SELECT x.race, x.i, sum(y.a * z.v / (y.t - y.v) * x.v / (y.t - y.v - z.v)) AS third FROM t x JOIN t y ON x.race = y.race AND x.i <> y.i JOIN t z ON z.race = x.race AND z.i NOT IN (x.i, y.i) WHERE x.slots = 3 GROUP BY 1, 2)
+SELECT race, part, supp, line, round(p, 2) AS p, CASE WHEN slots = 0 THEN 0 WHEN slots = 2 THEN round(a + second, 9) ELSE round(a + second + third, 9) END AS place FROM t LEFT JOIN two USING (race, i) LEFT JOIN three USING (race, i)
+""")
+def q_place_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    r = runners(spark, sf).distinct().withColumn("win", W.share(F.col("q"), ["race"]))
+    out = place_probabilities(r, ["race"], ["part", "supp", "line", "p"], "win", power=0.86)
+    return out.select("race", "part", "supp", "line", F.round("p", 2).alias("p"), F.round("place", 9).alias("place"))
+
+
 @query(f"""
 WITH {DRAW_SQL.replace('SELECT', 'd AS (SELECT', 1)}), s AS (SELECT list_sum(numbers)::BIGINT AS s, count(*) AS n FROM d GROUP BY 1)
 SELECT s, n, round((sum(n) OVER (ORDER BY s) - n) / (sum(n) OVER ())::DOUBLE, 6) AS below FROM s

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..operators import bootstrap
 from ..operators import policy as P
+from ..operators.bootstrap import uniform_sql, weight_sql
 from ..registry import query
 from .joins import O, orders
 
@@ -35,10 +37,33 @@ def q_policy_grid(spark: SparkSession, sf: str) -> DataFrame:
     return days.groupBy("maximum_odds", "minimum_value").agg(F.sum("bets").alias("bets"), F.round(F.sum("net") / F.sum("bets"), 6).alias("roi"), F.count("*").alias("days"))
 
 
-@query()
+@query(f"""
+WITH {S}, g AS (SELECT * FROM (SELECT unnest([3.0::DOUBLE, 5.0, 10.0]) AS maximum_odds) CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.02, 0.05, 0.08, 0.1, 0.15]) AS minimum_value)),
+t AS (SELECT maximum_odds, minimum_value, day, sum(CASE WHEN won THEN odds - 1 ELSE -1 END) AS net, count(*) AS bets FROM g JOIN s ON value >= minimum_value AND odds > 1 AND odds <= maximum_odds GROUP BY 1, 2, 3),
+u AS MATERIALIZED (SELECT day, draw, {uniform_sql("day", "draw", 202607)} AS u FROM (SELECT DISTINCT day FROM s) CROSS JOIN range(1, 1001) r(draw)), w AS (SELECT day, draw, {weight_sql("u")} AS w FROM u),
+x AS (SELECT maximum_odds, minimum_value, draw, sum(w * net) / sum(w * bets) AS roi FROM t JOIN w USING (day) WHERE w > 0 GROUP BY 1, 2, 3),
+l AS (SELECT maximum_odds, minimum_value, quantile_cont(roi, 0.1) AS lower FROM x GROUP BY 1, 2),
+p AS (SELECT maximum_odds, minimum_value, sum(bets)::BIGINT AS bets, sum(net) / sum(bets) AS roi FROM t GROUP BY 1, 2)
+SELECT maximum_odds, minimum_value, bets, round(roi, 6) AS roi, round(lower, 6) AS lower, lower > 0 AS enabled, CASE WHEN lower > 0 THEN 'passed' ELSE 'lower return not positive' END AS reason
+FROM p JOIN l USING (maximum_odds, minimum_value) WHERE bets >= 100 ORDER BY lower DESC, maximum_odds, minimum_value LIMIT 1
+""")
 def q_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Drawn days follow numpy's generator, which SQL does not have."""
-    return P.chosen(P.lower_returns(P.grid_days(selections(spark, sf)), iterations=200))
+    """The policy that a thousand bootstraps of the days favour: one row."""
+    out = P.chosen(P.drawn_returns(selections(spark, sf)))
+    return out.withColumns({"roi": F.round("roi", 6), "lower": F.round("lower", 6)})
+
+
+@query(f"""
+WITH {S}, t AS (SELECT day, id % 2 AS sport, sum(CASE WHEN won THEN odds - 1 ELSE -1 END * (1 + id % 3)) AS gain, sum(1 + id % 3) AS stake FROM s WHERE value >= 0.05 GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT draw, gain, stake, {uniform_sql("day || '-' || sport", "draw", 20260713)} AS u FROM t CROSS JOIN range(1, 2001) r(draw)), w AS (SELECT *, {weight_sql("u")} AS w FROM u),
+d AS (SELECT draw, CASE WHEN sum(w * stake) <> 0 THEN sum(w * gain) / sum(w * stake) ELSE 0 END AS roi FROM w GROUP BY draw), l AS (SELECT list(roi ORDER BY roi) AS v FROM d)
+SELECT (SELECT count(*) FROM t) AS blocks, round((SELECT sum(gain) / sum(stake) FROM t), 6) AS roi, round(v[101], 6) AS p50, round(v[1900], 6) AS p950, round(v[51], 6) AS p25, round(v[1950], 6) AS p975 FROM l
+""")
+def q_return_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """The return of all bets worth taking with its 90 and 95 % intervals, over two thousand bootstraps of meetings: one row."""
+    rows = selections(spark, sf).where("value >= 0.05").select("day", (F.col("id") % 2).alias("sport"), (1 + F.col("id") % 3).alias("stake"), F.when(F.col("won"), F.col("odds") - 1).otherwise(-1.0).alias("r"))
+    out = bootstrap.intervals(rows, ["day", "sport"], F.col("r") * F.col("stake"), F.col("stake"))
+    return out.select("blocks", *[F.round(c, 6).alias(c) for c in ("roi", "p50", "p950", "p25", "p975")])
 
 
 @query("SELECT o_orderkey AS id, round(6 + o_orderkey % 90 / 10.0::DOUBLE, 4) AS mean FROM orders")
