@@ -6,6 +6,7 @@ All take and return Columns. Missing or unusable inputs give null unless a defau
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -228,3 +229,8 @@ def longest_run(numbers: Column) -> Column:
         return F.struct(x.cast("int").alias("last"), now.alias("now"), F.greatest(s["best"], now).alias("best"))
 
     return F.aggregate(numbers, state, step, lambda s: s["best"])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

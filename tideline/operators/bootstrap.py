@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
+
 #: The chance that a Poisson count of mean 1 is at most 0, 1, 2, ...
 UP_TO = [math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1)) for n in range(12)]
 
@@ -20,8 +22,8 @@ UP_TO = [math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1)) for n i
 def weight(block: Column, draw: Column, seed: int) -> Column:
     """How often a draw takes a block: 0, 1, 2, ... with mean 1. block: text."""
     word = F.substring(F.md5(F.concat_ws(":", F.lit(seed), block, draw)), 1, 8)
-    share = F.array(F.conv(word, 16, 10).cast("double") / 2.0**32)  # an array of one, so that it is made once
-    return F.element_at(F.transform(share, lambda u: sum((F.when(u >= c, 1.0).otherwise(0.0) for c in UP_TO), F.lit(0.0))), 1)
+    share = F.conv(word, 16, 10).cast("double") / 2.0**32
+    return let(share, lambda u: sum((F.when(u >= c, 1.0).otherwise(0.0) for c in UP_TO), F.lit(0.0)))
 
 
 def uniform_sql(block: str, draw: str, seed: int) -> str:
@@ -36,7 +38,8 @@ def weight_sql(u: str) -> str:
 
 def draws(blocks: DataFrame, block: Column, sums: dict[str, Column], n: int, seed: int) -> DataFrame:
     """draw, and the sums over all blocks of each draw. blocks: a row a block, already added up."""
-    drawn = blocks.select(block.cast("string").alias("__b"), *[c.cast("double").alias(k) for k, c in sums.items()], F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    spread = blocks.repartition(blocks.sparkSession.sparkContext.defaultParallelism)  # few small rows become many
+    drawn = spread.select(block.cast("string").alias("__b"), *[c.cast("double").alias(k) for k, c in sums.items()], F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
     weighed = drawn.withColumn("__w", weight(F.col("__b"), F.col("draw"), seed)).where("__w > 0")
     found = weighed.groupBy("draw").agg(*[F.sum(F.col("__w") * F.col(k)).alias(k) for k in sums])
     every = blocks.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("draw"))

@@ -42,10 +42,18 @@ def asof(
 
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left with right's other columns of the row that has the same keys; a null key equals a null key. right has each key once."""
-    named = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return left.join(named, same, "left").drop(*[f"__{k}" for k in keys])
+    """left with right's other columns of the row that has the same keys; a null key equals a null key. right has each key once.
+
+    Rows whose keys are all known meet by plain equality; only the others pay for comparing nulls.
+    """
+    others = [c for c in right.columns if c not in keys]
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    plain = left.where(whole).join(right, keys, "left").select(*left.columns, *others)
+    odd = right.where(~whole).select(*[F.col(k).alias(f"__{k}") for k in keys], *others)
+    rest = left.where(~whole).join(odd, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left")
+    return plain.unionAll(rest.select(*left.columns, *others))
 
 
 def first_key(left: DataFrame, right: DataFrame, id_: str, tries: list[Column], key: str, value: str) -> DataFrame:
@@ -147,37 +155,49 @@ def actions(old: DataFrame, new: DataFrame, key: str, print_: str) -> DataFrame:
     return both.select(key, action.alias("action"))
 
 
-def quantile(rows: DataFrame, column: str, q: float, held: int = 50_000, bins: int = 1000) -> float | None:
-    """An exact, interpolated quantile: counts over ranges of values close in on it; no task or driver sees all values."""
-    x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null")
+def quantile(rows: DataFrame, column: str, q: float, held: int = 1000, bins: int = 1000) -> float | None:
+    """An exact, interpolated quantile: counts over ranges of values close in on each of its two ranks.
+
+    A range splits into bins, of which the one that holds a rank is next, from its least to its greatest value, until
+    it holds `held` rows or one value. No task or driver sees more than `held` values, or the counts of 2 * bins bins.
+    Nulls and NaN are left out, infinite values count as 1e308.
+    """
+    x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    x = x.select(F.least(F.greatest("x", F.lit(-1e308)), F.lit(1e308)).alias("x"))
     n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
     if not n:
         return None
     at = q * (n - 1)
-    first, last, before = int(at), min(int(at) + 1, n - 1), 0
-    while low < high:
-        width = (high - low) / bins
-        part = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).cast("int")
-        counts = {r["b"]: r for r in x.where(F.col("x").between(low, high)).groupBy(part.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()}
-        kept, passed = [], before
-        for b in sorted(counts):
-            if passed + counts[b]["n"] > first and passed <= last:
-                if not kept:
-                    before = passed
-                kept.append(counts[b])
-            passed += counts[b]["n"]
-        narrower = kept[0]["low"], kept[-1]["high"]
-        stuck, (low, high) = narrower == (low, high), narrower
-        if sum(r["n"] for r in kept) <= held or stuck:
-            break
-    values = x.where(F.col("x").between(low, high)).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
-    upto, found = before, {}
-    for r in values:
-        for place in (first, last):
-            if upto <= place < upto + r["n"]:
-                found[place] = r["x"]
-        upto += r["n"]
-    return found[first] + (found[last] - found[first]) * (at - first)
+    ranks = sorted({int(at), min(int(at) + 1, n - 1)})
+    ranges = {r: (low, high, 0, n) for r in ranks}  # by rank: a range that holds it, the rows below the range and in it
+
+    def wide(r: int) -> bool:
+        return ranges[r][0] < ranges[r][1] and ranges[r][3] > held
+
+    while open_ := sorted({ranges[r] for r in ranks if wide(r)}):
+        cell = F.lit(None)
+        for i, (low, high, _, _) in enumerate(open_):
+            width = high / bins - low / bins
+            part = F.least(F.floor((F.col("x") / bins - low / bins) / width * bins), F.lit(bins - 1)).cast("int") if width > 0 else (F.col("x") > low).cast("int")
+            cell = F.when(F.col("x").between(low, high), F.struct(F.lit(i).alias("i"), part.alias("b"))).otherwise(cell)
+        found = x.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where("c is not null").collect()
+        cells = {i: sorted((c for c in found if c["c"]["i"] == i), key=lambda c: c["low"]) for i in range(len(open_))}
+        for r in ranks:
+            if wide(r):
+                i = open_.index(ranges[r])
+                passed = ranges[r][2]
+                for c in cells[i]:
+                    if passed <= r < passed + c["n"]:
+                        ranges[r] = (c["low"], c["high"], passed, c["n"])
+                    passed += c["n"]
+    values = {}
+    for r, (low, high, below, _) in ranges.items():
+        if low == high:
+            values[r] = low
+        else:  # `held` rows at most
+            values[r] = sorted(v["x"] for v in x.where(F.col("x").between(low, high)).collect())[r - below]
+    first, last = values[ranks[0]], values[ranks[-1]]
+    return first + (last - first) * (at - int(at))
 
 
 def filled(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import let
+
 #: Chances below this count as this.
 LEAST = 1e-9
 
@@ -29,24 +31,31 @@ def placed(win: Column, slots: Column, power: float = 1.0) -> Column:
     Runners are at most a few dozen; the work grows with the square of their number.
     """
     first = F.transform(win, lambda p: F.greatest(F.coalesce(p.cast("double"), F.lit(0.0)), F.lit(LEAST)))
-    # a, v: the weight for the first and for later places; w: what is left for the others once this one has finished
-    each = F.transform(first, lambda p: F.struct((p / _total(first)).alias("a"), F.pow(p, F.lit(power)).alias("v")))
-    v = F.transform(each, lambda r: r["v"])
-    each = F.transform(each, lambda r, i: F.struct(r["a"].alias("a"), r["v"].alias("v"), _total(F.transform(v, lambda x, j: F.when(i == j, 0.0).otherwise(x))).alias("w")))
-    second = _total(F.transform(each, lambda r: r["a"] / r["w"]))
+
+    def weighed(first: Column, total: Column) -> Column:
+        # a, v: the weight for the first and for later places; w: what is left for the others once this one has finished
+        v = F.transform(first, lambda p: F.pow(p, F.lit(power)))
+        rest = lambda v: F.transform(v, lambda x, i: F.struct((F.get(first, i) / total).alias("a"), x.alias("v"), _total(F.transform(v, lambda y, j: F.when(i == j, 0.0).otherwise(y))).alias("w")))
+        return let(v, rest)
+
     # of every pair (i before j): the chance of that beginning, over what the two leave
     pair = lambda i, j: i["a"] * j["v"] / i["w"] / F.greatest(i["w"] - j["v"], F.lit(LEAST**2))
-    begins = F.transform(each, lambda r, i: _total(F.transform(each, lambda s, j: F.when(i == j, 0.0).otherwise(pair(r, s) + pair(s, r)))))
-    whole = _total(begins) / 2
 
-    def chance(r: Column, i: Column) -> Column:
-        two = r["a"] + r["v"] * (second - r["a"] / r["w"])
-        three = two + r["v"] * (whole - F.element_at(begins, i + 1))
-        p = F.when(slots == 1, r["a"]).when(slots == 2, two).when(slots == 3, three)
-        return F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    def by_two(each: Column) -> Column:
+        return let(_total(F.transform(each, lambda r: r["a"] / r["w"])), lambda second: F.transform(each, lambda r: r["a"] + r["v"] * (second - r["a"] / r["w"])))
+
+    def by_three(each: Column) -> Column:
+        begins = F.transform(each, lambda r, i: _total(F.transform(each, lambda s, j: F.when(i == j, 0.0).otherwise(pair(r, s) + pair(s, r)))))
+        third = lambda begins, whole, two: F.transform(each, lambda r, i: F.get(two, i) + r["v"] * (whole - F.get(begins, i)))
+        return let(begins, lambda b: let(_total(b) / 2, lambda whole: let(by_two(each), lambda two: third(b, whole, two))))
+
+    def chances(each: Column) -> Column:
+        return F.when(slots == 1, F.transform(each, lambda r: r["a"])).when(slots == 2, by_two(each)).when(slots == 3, by_three(each))
 
+    found = let(first, lambda f: let(_total(f), lambda total: let(weighed(f, total), chances)))
     n = F.size(win)
-    return F.when(slots <= 0, F.transform(win, lambda _: F.lit(0.0))).when(slots >= n, F.transform(win, lambda _: F.lit(1.0))).otherwise(F.transform(each, chance))
+    bounded = F.transform(found, lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+    return F.when(slots <= 0, F.transform(win, lambda _: F.lit(0.0))).when(slots >= n, F.transform(win, lambda _: F.lit(1.0))).otherwise(bounded)
 
 
 def place_probabilities(runners: DataFrame, race: list[str], runner: list[str], win: str, name: str = "place", slots=paid, power: float = 1.0) -> DataFrame:

@@ -46,6 +46,23 @@ def normalised_matches(rows: DataFrame, season: str, divisions: list[str]) -> Da
     return out.withColumns({"Season": F.lit(season), "Division": F.col("Div"), "HC": F.col("HC").cast("int"), "AC": F.col("AC").cast("int")})
 
 
+def seasons(files: DataFrame, wanted: list[str], others: list[str] = ()) -> DataFrame:
+    """The matches of season_files(), each under the season of its file, of the divisions wanted and others.
+
+    A row of another division than its file's goes. ValueError where a wanted division has no match, or a needed column
+    is in no file.
+    """
+    missing = [c for c in MATCH if c not in files.columns]
+    if missing:
+        raise ValueError(f"no file has {', '.join(missing)}")
+    rows = files.where((F.col("Div") == F.col("__division")) & F.col("Div").isin([*wanted, *others]))
+    out = _typed(rows, COUNTS + PRICES, MATCH).withColumns({"Season": F.col("__season"), "Division": F.col("Div"), "HC": F.col("HC").cast("int"), "AC": F.col("AC").cast("int")}).drop("__season", "__division")
+    found = {r.Div for r in out.select("Div").distinct().collect()}  # as many as divisions
+    if empty := [d for d in wanted if d not in found]:
+        raise ValueError(f"no match of {', '.join(empty)}")
+    return out
+
+
 def normalised_fixtures(rows: DataFrame, divisions: list[str]) -> DataFrame | None:
     """The fixtures of some divisions by date. None where a needed column is missing."""
     if not set(FIXTURE) <= set(rows.columns):

@@ -8,24 +8,54 @@ from pyspark.sql import functions as F
 PAYLOAD = "array<struct<id:string,pools:array<struct<type:string,lines:array<struct<line:string,status:string,combos:array<struct<side:string,odds:string>>>>>>>>"
 
 
-def ragged_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns text: header names repeated get .1, .2, ...; rows are cut or padded with null; blank lines go.
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, at, value: the lines of text files; at orders the lines of a file."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+
 
-    One file layout a call: the header is the first line of the first file.
+def ragged_lines(lines: DataFrame) -> DataFrame:
+    """file, and the columns of all files by name, all text: CSV files of differing layouts as one table.
+
+    lines: file, at, value. A file's first line is its header (a byte-order mark goes, names may be quoted); a name
+    that it repeats gets .1, .2, ...; rows are cut or padded with null, as are columns that a file does not have;
+    rows without anything but blanks go. Values do not span lines.
     """
-    lines = spark.read.text(path)
-    header = lines.first()  # one line
-    if header is None:
-        return spark.createDataFrame([], "line string")
-    seen: dict[str, int] = {}
-    names = []
-    for name in header[0].lstrip("﻿").split(","):
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        names.append(f"{name}.{n}" if n else name)
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"mode": "PERMISSIVE"})
-    rows = lines.where((F.trim("value") != "") & (F.col("value") != header[0])).select(cells.alias("r"))
-    return rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where("value is not null")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"))
+    plain = F.regexp_replace("head", '"[^"]*"', "")
+    heads = heads.withColumn("width", F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit(""))) + 1)
+    widest = heads.agg(F.max("width")).first()[0]
+    if widest is None:
+        return lines.select("file")
+    fields = ", ".join(f"c{i} string" for i in range(widest))
+    cells = lambda c: F.from_csv(c, F.lit(fields), {"mode": "PERMISSIVE", "escape": '"'})
+    listed = lambda r: F.array(*[F.col(f"{r}.c{i}") for i in range(widest)])
+    names = F.transform(F.slice(listed("r"), F.lit(1), F.col("width")), lambda n: F.coalesce(n, F.lit("")))
+    heads = heads.select("file", "first", "width", cells("head").alias("r")).select("file", "first", names.alias("names"))
+    seen = lambda n, i: F.size(F.filter(F.slice("names", F.lit(1), i), lambda x: x == n))
+    unique = F.transform("names", lambda n, i: F.when(seen(n, i) > 0, F.concat_ws(".", n, seen(n, i).cast("string"))).otherwise(n))
+    heads = heads.select("file", "first", unique.alias("names"))
+    # one row a column of any file
+    known = heads.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").collect()
+    rows = lines.join(heads, "file").where((F.col("at") != F.col("first")) & (F.regexp_replace("value", r'[,"\s]', "") != ""))
+    values = F.transform("names", lambda n, i: F.get("cells", i))
+    rows = rows.select("file", "names", cells("value").alias("r")).select("file", "names", listed("r").alias("cells"))
+    rows = rows.select("file", F.map_from_arrays("names", values).alias("m"))
+    return rows.select("file", *[F.try_element_at("m", F.lit(k.name)).alias(k.name) for k in known])
+
+
+def ragged_csv(spark: SparkSession, path: str) -> DataFrame:
+    """ragged_lines() of the files of a path."""
+    return ragged_lines(file_lines(spark, path)).drop("file")
+
+
+def season_files(lines: DataFrame) -> DataFrame:
+    """ragged_lines() of files named <division>_<season>.csv (E0_2425.csv), with __division and __season (2024/25); other files go."""
+    rows = ragged_lines(lines)
+    part = lambda k: F.regexp_extract("file", r"(?:^|/)([A-Z]+[0-9]*)_(\d\d)(\d\d)\.csv$", k)
+    century = F.when(part(2).try_cast("int") >= 69, "19").otherwise("20")
+    return rows.where(part(1) != "").select("*", part(1).alias("__division"), F.concat(century, part(2), F.lit("/"), part(3)).alias("__season")).drop("file")
 
 
 def flat_quotes(payloads: DataFrame, column: str = "payload", kinds: tuple[str, ...] = ("CHL", "HAD")) -> DataFrame:
