@@ -8,7 +8,7 @@ learner has no Poisson loss), on the logarithm of the count, so that they, too,
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -97,13 +97,30 @@ def selected(predicted: DataFrame, target: str, season: str, names: tuple[str, .
     return scores(open_, target, names).orderBy("mae", order).first()["candidate"]
 
 
-def line_calibration(rows: DataFrame, p: str, won: str, strength: float = 0.5) -> tuple[float, float]:
-    """Intercept and slope of a logistic regression of the outcome on the logit of p; strength: the inverse penalty of all rows together."""
+def line_calibration(rows: DataFrame, p: str, won: str, strength: float = 0.5, steps: int = 25) -> tuple[float, float]:
+    """Intercept and slope of a logistic regression of the outcome on the logit of p, by Newton's method; strength: the inverse penalty of the slope.
+
+    A step is one aggregation; only its five sums reach the driver. (0, 0) without rows.
+    """
     q = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col(p)))
-    x = rows.select(F.log(q / (1 - q)).alias("z"), F.col(won).cast("double").alias("y"))
-    n = x.count()
-    model = LogisticRegression(featuresCol="v", labelCol="y", regParam=1 / (strength * max(n, 1)), standardization=False, maxIter=200).fit(VectorAssembler(inputCols=["z"], outputCol="v").transform(x))
-    return float(model.intercept), float(model.coefficients[0])
+    x = rows.select(F.log(q / (1 - q)).alias("z"), F.col(won).cast("double").alias("y")).where("z is not null and y is not null").persist()
+    a = b = 0.0
+    try:
+        for _ in range(steps):
+            chance = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("z"))))
+            z, off, bend = F.col("z"), chance - F.col("y"), chance * (1 - chance)
+            ga, gb, haa, hab, hbb = (v or 0.0 for v in x.agg(F.sum(off), F.sum(off * z), F.sum(bend), F.sum(bend * z), F.sum(bend * z * z)).first())
+            gb, hbb = gb + b / strength, hbb + 1 / strength
+            size = haa * hbb - hab * hab
+            if size <= 0:
+                break
+            step = (hbb * ga - hab * gb) / size, (haa * gb - hab * ga) / size
+            a, b = a - step[0], b - step[1]
+            if max(map(abs, step)) < 1e-12:
+                break
+    finally:
+        x.unpersist()
+    return a, b
 
 
 def winner_classifier(train: DataFrame, features: list[str], won: str, trees: int = 140):

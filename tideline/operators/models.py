@@ -47,27 +47,40 @@ def temperature(rows: DataFrame, p: str, y: str, steps: int = 60, grid: int = 10
     return 2 / (low + high)
 
 
+def gradient_step(rows: DataFrame, x: list[str], y: str, w: list[float], rate: float, l2: float) -> list[float]:
+    """One step of count_regression(): an aggregation over the rows."""
+    mean = F.exp(w[0] + sum((F.col(c) * v for c, v in zip(x, w[1:], strict=True)), F.lit(0.0)))
+    error = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col(y) - mean))
+    grads = rows.agg(F.avg(error), *[F.avg(error * F.col(c)) for c in x]).first()
+    return [v + rate * (g - l2 * v * (i > 0)) for i, (v, g) in enumerate(zip(w, grads, strict=True))]
+
+
 def count_regression(rows: DataFrame, x: list[str], y: str, epochs: int = 30, rate: float = 0.025, l2: float = 0.003) -> list[float]:
-    """Intercept and weights of log E[y] by gradient steps; errors clipped to +-4. One aggregation an epoch."""
-    w = [float(np.log(max(rows.agg(F.avg(y)).first()[0], 1e-6)))] + [0.0] * len(x)
-    for _ in range(epochs):
-        mean = F.exp(w[0] + sum((F.col(c) * v for c, v in zip(x, w[1:], strict=True)), F.lit(0.0)))
-        error = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.col(y) - mean))
-        grads = rows.agg(F.avg(error), *[F.avg(error * F.col(c)) for c in x]).first()
-        w = [v + rate * (g - l2 * v * (i > 0)) for i, (v, g) in enumerate(zip(w, grads, strict=True))]
-    return w
-
-
-def conditional_logit(rows: DataFrame, group: str, x: list[str], won: str, epochs: int = 20, rate: float = 0.045, l2: float = 0.004) -> list[float]:
-    """Weights of the softmax within groups; one window and one aggregation an epoch."""
+    """Intercept and weights of log E[y] by gradient steps; errors clipped to +-4. One aggregation an epoch over rows that are kept, not made again."""
+    rows = rows.select(*x, y).persist()
+    try:
+        w = [float(np.log(max(rows.agg(F.avg(y)).first()[0] or 0.0, 1e-6)))] + [0.0] * len(x)
+        for _ in range(epochs):
+            w = gradient_step(rows, x, y, w, rate, l2)
+        return w
+    finally:
+        rows.unpersist()
+
+
+def conditional_logit(rows: DataFrame, group: str, x: list[str], won: str, epochs: int = 60, rate: float = 0.045, l2: float = 0.004) -> list[float]:
+    """Weights of the softmax within groups; one window and one aggregation an epoch, over rows that lie together by group."""
     w, g = [0.0] * len(x), Window.partitionBy(group)
-    for _ in range(epochs):
-        u = sum((F.col(c) * v for c, v in zip(x, w, strict=True)), F.lit(0.0))
-        e = rows.withColumn("__u", u).withColumn("__e", F.exp(F.col("__u") - F.max("__u").over(g)))
-        e = e.withColumn("__d", F.col(won) - F.col("__e") / F.sum("__e").over(g))
-        grads = e.agg(*[F.sum(F.col("__d") * F.col(c)) for c in x], F.sum(won)).first()
-        w = [v + rate * (d / max(grads[-1], 1) * 10 - l2 * v) for v, d in zip(w, grads[:-1], strict=True)]
-    return w
+    rows = rows.select(group, *x, won).repartition(group).persist()
+    try:
+        for _ in range(epochs):
+            u = sum((F.col(c) * v for c, v in zip(x, w, strict=True)), F.lit(0.0))
+            e = rows.withColumn("__u", u).withColumn("__e", F.exp(F.col("__u") - F.max("__u").over(g)))
+            e = e.withColumn("__d", F.col(won) - F.col("__e") / F.sum("__e").over(g))
+            grads = e.agg(*[F.sum(F.col("__d") * F.col(c)) for c in x], F.sum(won)).first()
+            w = [v + rate * (d / max(grads[-1], 1) * 10 - l2 * v) for v, d in zip(w, grads[:-1], strict=True)]
+        return w
+    finally:
+        rows.unpersist()
 
 
 def folds(rows: DataFrame, day: str, n: int = 4, purge: int = 10, embargo: int = 3, first: float = 0.5) -> DataFrame:

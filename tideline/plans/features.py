@@ -63,13 +63,13 @@ def q_division_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {T}, d AS (SELECT DISTINCT team, day FROM t), g AS (SELECT team, day, count(*) FILTER (WHERE (division = 'E0')) AS top, count(*) FILTER (WHERE (division = 'E1')) AS low FROM t GROUP BY 1, 2),
-s AS (SELECT d.team, d.day, coalesce(sum(top), 0) AS top, coalesce(sum(low), 0) AS low, coalesce(sum(top) FILTER (WHERE (g.day >= d.day - 5)), 0) AS top_now, coalesce(sum(low) FILTER (WHERE (g.day >= d.day - 5)), 0) AS low_now
-  FROM d LEFT JOIN g ON g.team = d.team AND g.day BETWEEN d.day - 30 AND d.day - 1 GROUP BY 1, 2)
-SELECT team, day, round(CASE WHEN top + low > 0 THEN low / (top + low)::DOUBLE ELSE 0 END, 6) AS share, (low_now >= 2 AND top_now < 2)::INT AS promoted FROM s
+s AS (SELECT d.team, d.day, coalesce(sum(top), 0) AS top, coalesce(sum(low), 0) AS low, coalesce(sum(top) FILTER (WHERE (g.day >= d.day - 420)), 0) AS top_now, coalesce(sum(low) FILTER (WHERE (g.day >= d.day - 420)), 0) AS low_now
+  FROM d LEFT JOIN g ON g.team = d.team AND g.day BETWEEN d.day - 900 AND d.day - 1 GROUP BY 1, 2)
+SELECT team, day, round(CASE WHEN top + low > 0 THEN low / (top + low)::DOUBLE ELSE 0 END, 6) AS share, (low_now >= 8 AND top_now < 8)::INT AS promoted FROM s
 """)
 def q_standing(spark: SparkSession, sf: str) -> DataFrame:
     t = X.sides(matches(spark, sf))
-    return X.standing(t, "E1", long=30, short=5, least=2).withColumn("share", F.round("share", 6))
+    return X.standing(t, "E1").withColumn("share", F.round("share", 6))
 
 
 @query(f"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query, table
-from ..sources import exchange, matches, readers, writers
+from ..sources import exchange, matches, readers, store, writers
 from ..streaming import quotes as S
 from .joins import Q, quotes
 
@@ -157,3 +157,17 @@ def q_archived(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT substr(sha256('{"id":' || s_suppkey || ',"name":"' || s_name || '"}'), 1, 20) AS version, '{"id":' || s_suppkey || ',"name":"' || s_name || '"}' AS payload FROM supplier""")
 def q_versioned(spark: SparkSession, sf: str) -> DataFrame:
     return writers.versioned(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+
+
+@query(f"""
+{FILE_SQL}, r AS (SELECT div, id, day, '["' || day || '",' || CASE WHEN home IS NULL THEN 'null' ELSE '"' || home || '"' END || ',' || coalesce(hc::BIGINT::VARCHAR, 'null') || ',' || ac::BIGINT || ',' || coalesce(round(avg_h * 100, 5)::VARCHAR, 'null') || ']' AS line FROM f WHERE day IS NOT NULL),
+g AS (SELECT div AS division, count(*) AS n, max(day) AS trained_through, '[' || string_agg(line, ',' ORDER BY day, id) || ']' AS payload FROM r GROUP BY 1)
+SELECT division, n, trained_through, length(payload)::INT AS size, substr(sha256(payload), 1, 16) AS version FROM g
+""")
+def q_seed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches of each division as a compact seed: whole numbers whole, decimals to five places."""
+    o = table(spark, sf, "orders")
+    i, k = F.col("o_orderkey"), F.col("o_custkey")
+    rows = o.select(F.when(k % 4 == 0, "E0").when(k % 4 == 1, "E1").otherwise("SP1").alias("division"), i.alias("id"), F.when(i % 19 > 0, F.col("o_orderdate").cast("date")).alias("day"), F.when(i % 23 > 0, F.concat(F.lit("T"), k % 20)).alias("home"), F.when(i % 29 > 0, i % 14).alias("hc"), (i % 9).alias("ac"), F.when(i % 7 > 0, F.col("o_totalprice") / 1000).alias("avg_h")).where("day is not null")
+    through = rows.groupBy("division").agg(F.max("day").alias("trained_through"))
+    return store.seeds(rows, ["division"], ["day", "id"], ["day", "home", "hc", "ac", "avg_h"]).join(through, "division").select("division", "n", "trained_through", F.length("payload").alias("size"), "version")

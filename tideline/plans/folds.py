@@ -10,7 +10,16 @@ from ..registry import query, table
 from .joins import O, Q, orders, quotes
 
 
-@query()
+# a row of s holds a league's ratings as of its day's start and what the day has moved so far, as lists over teams
+@query(f"""
+WITH RECURSIVE {O}, m AS (SELECT key % 5 AS league, day, id, key % 40 + 1 AS home, (key * 7 + id) % 40 + 41 AS away, CASE WHEN price > 300000 THEN 1.0 WHEN price > 200000 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY day, id) AS i FROM m), z AS (SELECT list_transform(range(80), lambda x: 1500.0::DOUBLE) AS start, list_transform(range(80), lambda x: 0.0::DOUBLE) AS zero),
+s AS (SELECT DISTINCT league, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS day, start AS now, zero AS moved, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM r, z
+  UNION ALL SELECT league, i, id, day, now, list_transform(moved, lambda v, k: CASE k WHEN home THEN v + 20 * (score - 1 / (1 + 10 ** ((y - x - 60) / 400))) WHEN away THEN v - 20 * (score - 1 / (1 + 10 ** ((y - x - 60) / 400))) ELSE v END), x, y
+  FROM (SELECT *, now[home] AS x, now[away] AS y FROM (SELECT r.*, CASE WHEN r.day IS DISTINCT FROM s.day THEN list_transform(s.now, lambda v, k: v + s.moved[k]) ELSE s.now END AS now,
+      CASE WHEN r.day IS DISTINCT FROM s.day THEN list_transform(s.moved, lambda v: 0.0::DOUBLE) ELSE s.moved END AS moved FROM s JOIN r ON r.league = s.league AND r.i = s.i + 1)))
+SELECT id, round(x, 4) AS before_home, round(y, 4) AS before_away FROM s WHERE i > 0
+""")
 def q_ratings(spark: SparkSession, sf: str) -> DataFrame:
     o = orders(spark, sf)
     rows = o.select((F.col("key") % 5).alias("league"), "day", "id", (F.col("key") % 40).alias("home"), ((F.col("key") * 7 + F.col("id")) % 40 + 40).alias("away"), F.when(F.col("price") > 300000, 1.0).when(F.col("price") > 200000, 0.5).otherwise(0.0).alias("score"))

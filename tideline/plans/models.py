@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..operators import models as M
 from ..operators import windows as W
 from ..operators.places import place_probabilities
 from ..registry import query, table
-from .aggregates import forecasts
+from ..sources import store
+from .aggregates import P_SQL, forecasts
 from .joins import O, orders
 from .scalars import DRAW_SQL, draws
 from .windows import LINES, runners
@@ -75,12 +78,27 @@ def q_number_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("n", F.round(0.5 * part("a") + 0.3 * part("b") + 0.2 * part("g"), 6).alias("score"))
 
 
-@query()
+#: Forecasts, by league, pooled on the grid that the fits use.
+GRID = f"{P_SQL.strip()}, c AS (SELECT key % 5 AS league, round(p * 10000) / 10000 AS p, count(*) AS n, sum(y)::DOUBLE AS h FROM p GROUP BY 1, 2)"
+
+
+@query(GRID + """,
+cum AS (SELECT league, p, n, row_number() OVER w AS i, sum(n) OVER w AS sn, sum(h) OVER w AS sh FROM c WINDOW w AS (PARTITION BY league ORDER BY p)),
+part AS (SELECT a.league, coalesce(b.i, 0) + 1 AS j, a.i AS k, (a.sh - coalesce(b.sh, 0)) / (a.sn - coalesce(b.sn, 0)) AS v FROM cum a JOIN (SELECT league, i, sn, sh FROM cum UNION ALL SELECT DISTINCT league, 0, 0, 0 FROM cum) b ON a.league = b.league AND b.i < a.i),
+low AS (SELECT league, j, k AS i, min(v) OVER (PARTITION BY league, j ORDER BY k DESC) AS v FROM part)
+SELECT cum.league, cum.p, cum.n, round(max(low.v), 6) AS fitted FROM low JOIN cum USING (league, i) GROUP BY 1, 2, 3
+""")
 def q_isotonic(spark: SparkSession, sf: str) -> DataFrame:
     return M.isotonic(forecasts(spark, sf).withColumn("league", F.col("key") % 5), ["league"], "p", "y").withColumn("fitted", F.round("fitted", 6))
 
 
-@query()
+@query(GRID.replace("WITH", "WITH RECURSIVE", 1) + """,
+a AS (SELECT list(ln(p / (1 - p))) AS z, list(n) AS n, sum(h * ln(p / (1 - p))) AS hz FROM (SELECT p, sum(n) AS n, sum(h) AS h FROM c GROUP BY p)),
+t AS (SELECT 0 AS step, 1 / 6.0::DOUBLE AS low, 4.0::DOUBLE AS high
+  UNION ALL SELECT step + 1, CASE WHEN slope > 0 THEN low ELSE b END, CASE WHEN slope > 0 THEN b ELSE high END
+  FROM (SELECT *, list_sum(list_transform(range(1, len(z) + 1), lambda i: z[i] * n[i] / (1 + exp(-b * z[i])))) - hz AS slope FROM (SELECT *, (low + high) / 2 AS b FROM t, a WHERE step < 60)))
+SELECT id, round(1 / (1 + exp(-ln(p / (1 - p)) * (low + high) / 2)), 6) AS calibrated FROM p, t WHERE step = 60
+""")
 def q_temperature(spark: SparkSession, sf: str) -> DataFrame:
     f = forecasts(spark, sf)
     t = M.temperature(f, "p", "y")
@@ -88,17 +106,52 @@ def q_temperature(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("id", F.round(p, 6).alias("calibrated"))
 
 
-@query()
+REGRESSION = """
+WITH RECURSIVE r AS (SELECT l_orderkey AS k, count(*)::DOUBLE AS y, avg(l_discount * 10) AS a, avg(l_tax * 10) AS b FROM lineitem GROUP BY 1),
+w AS (SELECT 0 AS step, ln(greatest((SELECT avg(y) FROM r), 1e-6)) AS c, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
+  UNION ALL SELECT step + 1, c + 0.025 * g0, u + 0.025 * (g1 - 0.003 * u), v + 0.025 * (g2 - 0.003 * v)
+  FROM (SELECT step, c, u, v, avg(e) AS g0, avg(e * a) AS g1, avg(e * b) AS g2 FROM (SELECT w.*, r.a, r.b, greatest(-4, least(4, y - exp(c + u * r.a + v * r.b))) AS e FROM w, r WHERE step < 30) GROUP BY step, c, u, v))
+SELECT k, round(exp(c + u * a + v * b), 6) AS expected FROM r, w WHERE step = 30
+"""
+
+
+@query(REGRESSION)
 def q_count_regression(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").cast("double").alias("y"), F.avg(F.col("l_discount") * 10).alias("a"), F.avg(F.col("l_tax") * 10).alias("b"))
-    w = M.count_regression(rows, ["a", "b"], "y", epochs=10)
+    w = M.count_regression(rows, ["a", "b"], "y")
     return rows.select("k", F.round(F.exp(w[0] + F.col("a") * w[1] + F.col("b") * w[2]), 6).alias("expected"))
 
 
-@query()
+@query(REGRESSION)
+def q_resumed_training(spark: SparkSession, sf: str) -> DataFrame:
+    """The same regression by steps that are kept in the shared folder, stopped half way, taken up again and activated."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").cast("double").alias("y"), F.avg(F.col("l_discount") * 10).alias("a"), F.avg(F.col("l_tax") * 10).alias("b"))
+    kept, data = store.Store(spark, store.shared(spark, "training")), store.fingerprint(rows.select("k", "y"))
+    few = rows.select("a", "b", "y").persist()
+    try:
+        start = lambda: {"w": [float(math.log(max(few.agg(F.avg("y")).first()[0] or 0.0, 1e-6))), 0.0, 0.0]}
+        step = lambda s: {"w": M.gradient_step(few, ["a", "b"], "y", s["w"], 0.025, 0.003)}
+        for epochs in (15, 30):
+            model = store.resumed(kept, data, start, step, epochs)
+    finally:
+        few.unpersist()
+    store.activate(kept, model, data, store.fingerprint(rows.select("k", "y")), lambda m: len(m["w"]) == 3)
+    w = store.active(kept)["model"]["w"]
+    kept.delete()
+    return rows.select("k", F.round(F.exp(w[0] + F.col("a") * w[1] + F.col("b") * w[2]), 6).alias("expected"))
+
+
+@query(f"""
+WITH RECURSIVE {LINES}, x AS (SELECT *, q / 50 AS a, p / 100000 AS b, max((p, part, supp, line)) OVER (PARTITION BY race) AS top FROM l), r AS (SELECT race, part, supp, line, a, b, ((p, part, supp, line) = top)::INT AS won FROM x),
+w AS (SELECT 0 AS step, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
+  UNION ALL SELECT step + 1, u + 0.045 * (g1 / n * 10 - 0.004 * u), v + 0.045 * (g2 / n * 10 - 0.004 * v)
+  FROM (SELECT step, u, v, sum((won - e / s) * a) AS g1, sum((won - e / s) * b) AS g2, greatest(sum(won), 1) AS n
+    FROM (SELECT *, sum(e) OVER (PARTITION BY race) AS s FROM (SELECT w.*, r.race, r.a, r.b, r.won, exp(u * r.a + v * r.b) AS e FROM w, r WHERE step < 60)) GROUP BY step, u, v))
+SELECT race, part, supp, line, round(exp(u * a + v * b) / sum(exp(u * a + v * b)) OVER (PARTITION BY race), 6) AS p FROM r, w WHERE step = 60
+""")
 def q_conditional_logit(spark: SparkSession, sf: str) -> DataFrame:
     r = runners(spark, sf).withColumns({"a": F.col("q") / 50, "b": F.col("p") / 100000})
     top = F.max(F.struct("p", "part", "supp", "line")).over(Window.partitionBy("race"))
     r = r.withColumn("won", (F.struct("p", "part", "supp", "line") == top).cast("int"))
-    w = M.conditional_logit(r, "race", ["a", "b"], "won", epochs=5)
+    w = M.conditional_logit(r, "race", ["a", "b"], "won")
     return r.select("race", "part", "supp", "line", F.round(W.softmax(F.col("a") * w[0] + F.col("b") * w[1], ["race"]), 6).alias("p"))
