@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..operators import numbers
 from ..operators import windows as W
 from ..operators.places import place_probabilities
 from ..registry import query, table
@@ -155,3 +156,21 @@ def q_conditional_logit(spark: SparkSession, sf: str) -> DataFrame:
     r = r.withColumn("won", (F.struct("p", "part", "supp", "line") == top).cast("int"))
     w = M.conditional_logit(r, "race", ["a", "b"], "won")
     return r.select("race", "part", "supp", "line", F.round(W.softmax(F.col("a") * w[0] + F.col("b") * w[1], ["race"]), 6).alias("p"))
+
+
+def dated_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """The draws in order, with the weekday and price of their order as day and turnover."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw_id"), F.weekday("o_orderdate").alias("weekday"), F.col("o_totalprice").alias("turnover"))
+    return numbers.numbered(draws(spark, sf).join(o, "draw_id"), "draw_id")
+
+
+@query()
+def q_number_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every draw from the hundredth on as nine models, weighed by their past, would have guessed it."""
+    return numbers.backtest(numbers.scored(dated_draws(spark, sf)))
+
+
+@query()
+def q_backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with weights that stay: one row."""
+    return numbers.summary(numbers.backtest(numbers.scored(dated_draws(spark, sf)), correcting=False))
