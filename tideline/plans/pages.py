@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..sources import html as H
+from ..sources import pools as P
 
 
 @query("""
@@ -71,3 +72,51 @@ def q_headed_tables(spark: SparkSession, sf: str) -> DataFrame:
     rows = H.headed(H.html_rows(result_pages(spark, sf).select("page", headed.alias("html")), "page"), "page")
     v = F.col("values")
     return rows.select("page", v["Pla."].cast("long").alias("row"), v["Horse_No."].alias("number"), v["Wt._Act."].alias("weight"))
+
+
+@query(f"""
+WITH {R}, k AS (SELECT page, place, CASE WHEN x[1] % 3 > 0 THEN 'K' || x[2] ELSE lpad(place::VARCHAR, 2, '0') END AS key, x[2] % 7 = 0 AS gone, x[3]::DOUBLE AS odds FROM r),
+c AS (SELECT page, key, arg_max(odds, place) AS odds FROM k WHERE NOT gone AND odds > 1 GROUP BY 1, 2), cw AS (SELECT page, count(*) AS n, sum(odds) AS odds FROM c GROUP BY 1),
+q AS (SELECT page, key, arg_max(odds / 2, place) AS odds FROM k WHERE NOT gone AND odds / 2 > 1 AND page % 5 > 0 GROUP BY 1, 2), qw AS (SELECT page, count(*) AS n, sum(odds) AS odds FROM q GROUP BY 1),
+p AS (SELECT page, count(*) AS n FROM (SELECT DISTINCT page, key FROM k WHERE NOT gone AND odds / 10 > 1 AND page % 5 > 0) GROUP BY 1)
+SELECT 'HK:' || strftime(o_orderdate, '%Y-%m-%d') || ':V' || o_orderkey || ':' || (o_orderkey % 12 + 1) AS race_id, count(*)::INT AS runners, count(*) FILTER (WHERE gone)::INT AS scratched,
+  coalesce(any_value(qw.n), any_value(cw.n), 0)::INT AS priced, round(coalesce(any_value(qw.odds), any_value(cw.odds), 0), 6) AS odds, coalesce(any_value(p.n), 0)::INT AS placed, any_value(qw.n) IS NOT NULL AND o_orderkey % 4 = 0 AS pool_closed
+FROM k JOIN orders ON o_orderkey = k.page LEFT JOIN cw ON cw.page = k.page LEFT JOIN qw ON qw.page = k.page LEFT JOIN p ON p.page = k.page GROUP BY o_orderkey, o_orderdate
+""")
+def q_priced_races(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as race cards, four of five with a win and a place pool, a payload each."""
+    o, x = F.col("page"), F.col("x")
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("place")).agg(
+        F.min(F.struct("l_suppkey", "l_partkey", F.floor("l_quantity").cast("long").alias("q"), F.round(F.col("l_tax") * 100).cast("long").alias("t"))).alias("x"))
+    no, odds = F.col("place").cast("string"), x["q"]
+    horse = F.struct(F.when(x["l_suppkey"] % 3 > 0, F.concat(F.lit("K"), x["l_partkey"])).otherwise("").alias("code"))
+    runner = F.struct("place", F.struct(no.alias("no"), F.when(x["l_partkey"] % 7 == 0, "Scratched (vet)").otherwise("Declared").alias("status"), odds.cast("string").alias("winOdds"), horse.alias("horse")).alias("r"))
+    node = lambda by: F.struct("place", F.struct(no.alias("combString"), (odds / by).cast("string").alias("oddsValue")).alias("r"))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda r: r["r"])
+    races = items.groupBy(o).agg(listed(runner).alias("runners"), listed(node(2)).alias("win"), listed(node(10)).alias("place"))  # an order's items
+    races = races.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("page"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")), "page")
+    race = F.struct((o % 12 + 1).cast("int").alias("no"), F.col("runners"))
+    card = F.struct(F.struct(F.array(F.struct("date", F.concat(F.lit("V"), o).alias("venueCode"), F.array(race).alias("races"))).alias("raceMeetings")).alias("data"))
+    pool = lambda kind, nodes: F.struct(F.lit(kind).alias("oddsType"), F.when(o % 4 > 0, "AVAILABLE").otherwise("STOP_SELL").alias("sellStatus"), F.col(nodes).alias("oddsNodes"))
+    told = F.struct(F.struct(F.array(F.struct(F.when(o % 5 > 0, F.array(pool("WIN", "win"), pool("PLA", "place"))).alias("pmPools"))).alias("raceMeetings")).alias("data"))
+    cards = P.race_cards(races.select(F.to_json(card).alias("payload")))
+    payloads = races.select(F.concat_ws(":", F.lit("HK"), "date", F.concat(F.lit("V"), o), o % 12 + 1).alias("race_id"), F.to_json(told).alias("payload"))
+    out = P.with_pools(cards, payloads)
+    total = F.aggregate(F.map_values("win_odds"), F.lit(0.0), lambda a, v: a + v)
+    return out.select("race_id", F.size("runners").alias("runners"), F.size(F.filter("runners", lambda r: r["scratched"])).alias("scratched"), F.size("win_odds").alias("priced"), F.round(total, 6).alias("odds"), F.size("place_odds").alias("placed"), "pool_closed")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS s, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey % 12 END AS h, l_partkey % 7 AS a FROM lineitem WHERE l_suppkey % 2 = 0 AND l_linenumber % 4 > 0)
+SELECT id::VARCHAR AS match_id, arg_max(coalesce(h, -1), (n, s, a))::INT AS home, arg_max(a, (n, s, coalesce(h, -1)))::INT AS away FROM (SELECT id, n, s, max(coalesce(h, -1)) AS h, max(a) AS a FROM l GROUP BY ALL HAVING count(*) = 1) GROUP BY 1 HAVING home >= 0
+""")
+def q_corner_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as matches with several results of several kinds and stages; the last final one counts."""
+    l = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey").agg(F.count("*").alias("c"), F.max("l_partkey").alias("p"))
+    n, p = F.col("l_linenumber"), F.col("p")
+    l = l.where((F.col("c") == 1) | (F.col("l_suppkey") % 2 > 0) | (n % 4 == 0))
+    result = F.struct(F.when(F.col("l_suppkey") % 2 == 0, 2).otherwise(1).alias("resultType"), F.when(n % 4 > 0, 5).otherwise(4).alias("stageId"), F.when(n % 3 > 0, p % 12).cast("int").alias("homeResult"), (p % 7).cast("int").alias("awayResult"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", result.alias("r")))), lambda x: x["r"])
+    match = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.lit("2026-07-01T12:00:00Z").alias("kickOffTime"), F.col("results"))
+    payloads = l.groupBy("l_orderkey").agg(ordered.alias("results")).select(F.to_json(F.struct(F.struct(F.array(match).alias("matches")).alias("data"))).alias("payload"))
+    return P.corner_results(payloads).select("match_id", "home", "away")
