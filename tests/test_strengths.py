@@ -206,3 +206,51 @@ def test_the_anchor_learns_whom_to_trust(spark):
     out = {(r.key, r.id): r for r in replay.anchored(spark.createDataFrame(right + wrong + odd, schema)).collect()}
     assert len(out) == 400 and out[1, 28].share == 0.55 and out[1, 199].share > 0.85 and out[2, 199].share < 0.45
     assert out[1, 199].loss < out[1, 199].market_loss < out[2, 199].loss
+
+
+# shots --------------------------------------------------------------------------------------------
+
+SHOTS = "league string, day long, id long, home string, away string, home_n int, away_n int, home_shots int, away_shots int, judge string, top boolean"
+
+
+def shot_history(spark, days=40, judge="J", extra=()):
+    from tideline.operators import shots
+
+    rows = []
+    for k in range(days):
+        rows.append(("E", 7 * k, 2 * k, "city", "mid", 10, 4, 20, 8, judge, True))
+        rows.append(("E", 7 * k, 2 * k + 1, "rovers", "other", 2, 3, 7, 9, "K", True))
+    return {r.id: r for r in shots.two_stage(spark.createDataFrame([*rows, *extra], SHOTS)).collect()}
+
+
+def test_two_stages_separate_shots_from_what_comes_of_them(spark):
+    end = 7 * 39
+    ask = lambda i, day, home, away, judge=None: ("E", day, i, home, away, None, None, None, None, judge, True)
+    out = shot_history(spark, extra=[ask(900, end + 3, "city", "mid"), ask(901, end + 3, "rovers", "other"), ask(902, end + 300, "city", "mid"), ask(903, end + 3, "city", "nobody"), ask(904, end + 3, "city", "mid", "J"), ask(905, end + 3, "city", "mid", "new")])
+    assert out[900].home_mean > out[901].home_mean and out[902].home_mean < out[900].home_mean and out[903].home_mean is None and out[0].home_mean is None
+    assert out[900].team_matches == 40 and out[900].log_variance == pytest.approx(0.036 * (1 - 40 / 48 * 0.85))
+    assert out[904].home_mean > out[900].home_mean == out[905].home_mean  # the judge of many counts
+
+
+def test_two_stages_do_not_see_their_own_day_nor_rows_without_shots(spark):
+    last = [("E", 500, 950, "city", "mid", 5, 5, 10, 10, "J", True), ("E", 500, 951, "city", "mid", 9, 9, 30, 1, "J", True), ("E", 501, 952, "city", "mid", 9, 9, None, 1, "J", True), ("E", 501, 953, "city", "mid", 9, 9, 0, 1, "J", True), ("E", 502, 954, "city", "mid", None, None, None, None, "J", True), (None, 1, 955, "a", "b", 1, 1, 1, 1, None, True), ("E", 503, 956, None, "mid", 1, 1, 1, 1, None, True)]
+    out = shot_history(spark, extra=last)
+    assert out[950][1:] == out[951][1:] and out[952][1:] == out[953][1:] and out[954].team_matches == 42
+    assert out[955].home_mean is None and out[956].home_mean is None
+
+
+def test_counts_against_tight_defences_weigh_more(spark):
+    from tideline.operators import shots
+
+    rows = [(k, k, "E0", "tight", "a", 5, 1) for k in range(30)] + [(100 + k, k, "E0", "leaky", "b", 5, 9) for k in range(30)] + [(200, 50, "E0", "x", "tight", 6, 1), (201, 50, "E0", "y", "leaky", 6, 1), (202, 60, "E0", "x", "y", 0, 0), (203, 70, "E1", "z", "w", 1, 1)]
+    out = {(r.id, r.team): r for r in shots.adjusted(spark.createDataFrame(rows, "id long, day long, division string, home string, away string, home_n int, away_n int")).collect()}
+    assert out[200, "x"].scale == 1.4 and out[201, "y"].scale == 0.7 and out[202, "x"].adjusted == pytest.approx(6 * 1.4) and out[202, "y"].adjusted == pytest.approx(6 * 0.7)
+    assert out[0, "tight"].scale == 1.0 and len(out) == 2 * len(rows) and out[203, "z"].adjusted > 0
+
+
+def test_the_quality_of_shots(spark):
+    from tideline.operators import shots
+
+    rows = spark.createDataFrame([(10, 4), (3, 5), (None, 1), (2, None)], "s int, t int")
+    got = [r[0] for r in rows.select(shots.quality(F.col("s"), F.col("t"))).collect()]
+    assert got[0] == pytest.approx(0.32 * 4 + 0.09 * 6) and got[1] == pytest.approx(1.6) and got[2:] == [None, None]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import joins as J
+from ..operators import shots
 from ..registry import query, table
 from .joins import O, orders
 from .scalars import DRAW_SQL, draws
@@ -136,3 +137,23 @@ def q_log_gamma(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.special import log_gamma
 
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(log_gamma((F.col("p_size") % 50 + 1) / 4.0), 6).alias("log_gamma"), F.round(log_gamma(F.col("p_partkey") + 1.0), 4).alias("log_factorial"))
+
+
+RECENCY = "w * CASE WHEN n > 1 THEN power(0.45::DOUBLE, (r - 1) / (n - 1)::DOUBLE) ELSE 0.45 END"
+
+
+@query(f"""
+WITH {T}, d AS (SELECT DISTINCT day FROM m),
+l AS (SELECT d.day, home_n, away_n, row_number() OVER (PARTITION BY d.day ORDER BY m.day DESC, m.id DESC) AS r FROM d JOIN m ON m.division = 'E0' AND m.day < d.day),
+v AS (SELECT d.day, (coalesce(avg(home_n), 5.5) + coalesce(avg(away_n), 4.8)) / 2 AS level FROM d LEFT JOIN (SELECT * FROM l WHERE r <= 100) l USING (day) GROUP BY 1),
+s AS (SELECT a.id, a.day, a.team, a.scored, CASE WHEN a.division = 'E1' THEN 0.55 ELSE 1.0 END::DOUBLE AS w, b.team AS opponent, b.scored AS conceded FROM t a JOIN t b ON a.id = b.id AND a.at_home <> b.at_home),
+td AS (SELECT DISTINCT team, day FROM t), p AS (SELECT td.team, td.day, conceded, w, row_number() OVER (PARTITION BY td.team, td.day ORDER BY s.day DESC, s.id DESC) AS r FROM td JOIN s ON s.team = td.team AND s.day < td.day),
+g AS (SELECT *, max(r) OVER (PARTITION BY team, day) AS n FROM p WHERE r <= 20), c AS (SELECT team, day, sum(conceded * {RECENCY}) / sum({RECENCY}) AS given FROM g GROUP BY 1, 2),
+x AS (SELECT s.*, level, greatest(0.7, least(1.4, level / greatest(coalesce(given, level), 0.5))) AS scale FROM s JOIN v USING (day) LEFT JOIN c ON c.team = s.opponent AND c.day = s.day),
+q AS (SELECT td.team, td.day, scored * scale AS y, w, row_number() OVER (PARTITION BY td.team, td.day ORDER BY x.day DESC, x.id DESC) AS r FROM td JOIN x ON x.team = td.team AND x.day < td.day),
+h AS (SELECT *, max(r) OVER (PARTITION BY team, day) AS n FROM q WHERE r <= 5), e AS (SELECT team, day, sum(y * {RECENCY}) / sum({RECENCY}) AS adjusted FROM h GROUP BY 1, 2)
+SELECT x.id, x.team, round(scale, 6) AS scale, round(coalesce(adjusted, level), 6) AS adjusted FROM x LEFT JOIN e USING (team, day)
+""")
+def q_adjusted_counts(spark: SparkSession, sf: str) -> DataFrame:
+    a = shots.adjusted(matches(spark, sf))
+    return a.select("id", "team", F.round("scale", 6).alias("scale"), F.round("adjusted", 6).alias("adjusted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kalman, replay
+from ..operators import kalman, replay, shots
 from ..registry import query
 from .joins import O, Q, orders, quotes
 
@@ -143,3 +143,48 @@ def q_anchor(spark: SparkSession, sf: str) -> DataFrame:
     rows = quotes(spark, sf).select((F.col("key") % 20).alias("key"), "ts_us", "id", (F.col("kind") == "view").cast("double").alias("y"), ((1 + F.col("id") % 97) / 99.0).alias("model"), ((F.col("id") % 21) / 20.0).alias("market"))
     out = replay.anchored(rows)
     return out.select("key", "id", "used", *[F.round(c, 9).alias(c) for c in ("share", "loss", "market_loss")])
+
+
+B = M.replace("id % 4 <> 0 AS top FROM o)", "id % 4 <> 0 AS top, CASE WHEN id % 17 <> 0 THEN (5 + id % 13)::DOUBLE END AS home_shots, (3 + id // 2 % 11)::DOUBLE AS away_shots, (key % 7 + 1)::INT AS judge FROM o)")
+GAIN = "(1 - power(0.5::DOUBLE, 1 / 26.0::DOUBLE))"
+
+
+@query(f"""
+WITH RECURSIVE {B}, r AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY day, id) AS i FROM matches),
+z AS (SELECT list_transform(range(80), lambda x: 0.0::DOUBLE) AS zero, list_transform(range(80), lambda x: NULL::BIGINT) AS never, list_transform(range(7), lambda x: 0.0::DOUBLE) AS none),
+s AS (
+  SELECT DISTINCT league, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS day, NULL::BIGINT AS home, NULL::BIGINT AS away, NULL::INT AS judge, zero AS a, zero AS d, zero AS c, zero AS m, never AS l, none AS jt, none AS jn,
+    13.5::DOUBLE AS hs, 11.5::DOUBLE AS s2, 5.5::DOUBLE AS hn, 4.8::DOUBLE AS an, 4.0::DOUBLE AS lw, 0.0::DOUBLE AS n, 0.0::DOUBLE AS e,
+    zero AS a0, zero AS d0, zero AS c0, zero AS m0, never AS l0, none AS jt0, none AS jn0, 13.5::DOUBLE AS hs0, 11.5::DOUBLE AS s20, 5.5::DOUBLE AS hn0, 4.8::DOUBLE AS an0, 0.0::DOUBLE AS n0, 0.0::DOUBLE AS e0
+  FROM r, z
+  UNION ALL
+  SELECT league, i, id, day, home, away, judge,
+    CASE WHEN played THEN list_transform(a, lambda x, k: CASE k WHEN home THEN ha WHEN away THEN x + g * (ln(greatest(away_shots, 0.5) / greatest(t2, 0.5)) - hd - x) ELSE x END) ELSE a END,
+    CASE WHEN played THEN list_transform(d, lambda x, k: CASE k WHEN home THEN hd WHEN away THEN x + g * (ln(greatest(home_shots, 0.5) / greatest(t1, 0.5)) - ha - x) ELSE x END) ELSE d END,
+    CASE WHEN played THEN list_transform(c, lambda x, k: CASE k WHEN home THEN x + g * (ln((home_n + 0.5) / (greatest(home_shots, 0.5) * u1 / greatest(t1, 0.001) + 0.5)) - x) WHEN away THEN x + g * (ln((away_n + 0.5) / (greatest(away_shots, 0.5) * u2 / greatest(t2, 0.001) + 0.5)) - x) ELSE x END) ELSE c END,
+    CASE WHEN played THEN list_transform(m, lambda x, k: CASE WHEN k IN (home, away) THEN x + w ELSE x END) ELSE m END, CASE WHEN played THEN list_transform(l, lambda x, k: CASE WHEN k IN (home, away) THEN day ELSE x END) ELSE l END,
+    CASE WHEN played AND top THEN list_transform(jt, lambda x, k: CASE WHEN k = judge THEN x + ln((home_n + away_n + 0.5) / (greatest(u1 + u2, 0.5) + 0.5)) ELSE x END) ELSE jt END, CASE WHEN played AND top THEN list_transform(jn, lambda x, k: CASE WHEN k = judge THEN x + 1 ELSE x END) ELSE jn END,
+    t1, t2, u1, u2, CASE WHEN played AND top THEN least(lw + 1, 300) ELSE lw END, CASE WHEN played AND top THEN n + 1 ELSE n END,
+    CASE WHEN played AND top THEN e + ((home_n + away_n - mu) * (home_n + away_n - mu) - mu) / (mu * mu) ELSE e END, a0, d0, c0, m0, l0, jt0, jn0, hs0, s20, hn0, an0, n0, e0
+  FROM (SELECT *, a[home] + g * (ln(greatest(home_shots, 0.5) / greatest(t1, 0.5)) - d[away] - a[home]) AS ha, d[home] + g * (ln(greatest(away_shots, 0.5) / greatest(t2, 0.5)) - a[away] - d[home]) AS hd
+    FROM (SELECT *, greatest(hn * exp(a[home] + d[away] + c[home]) + an * exp(a[away] + d[home] + c[away]), 0.001) AS mu,
+        CASE WHEN played AND top THEN (hs * lw + home_shots) / (lw + 1) ELSE hs END AS t1, CASE WHEN played AND top THEN (s2 * lw + away_shots) / (lw + 1) ELSE s2 END AS t2,
+        CASE WHEN played AND top THEN (hn * lw + home_n) / (lw + 1) ELSE hn END AS u1, CASE WHEN played AND top THEN (an * lw + away_n) / (lw + 1) ELSE an END AS u2
+      FROM (SELECT r.*, r.home_n IS NOT NULL AND r.home_shots IS NOT NULL AS played, CASE WHEN r.top THEN 1.0 ELSE 0.55 END AS w, CASE WHEN r.top THEN 1.0 ELSE 0.55 END * {GAIN} AS g,
+          s.a, s.d, s.c, s.m, s.l, s.jt, s.jn, s.hs, s.s2, s.hn, s.an, s.lw, s.n, s.e,
+          CASE WHEN same THEN s.a0 ELSE s.a END AS a0, CASE WHEN same THEN s.d0 ELSE s.d END AS d0, CASE WHEN same THEN s.c0 ELSE s.c END AS c0, CASE WHEN same THEN s.m0 ELSE s.m END AS m0, CASE WHEN same THEN s.l0 ELSE s.l END AS l0,
+          CASE WHEN same THEN s.jt0 ELSE s.jt END AS jt0, CASE WHEN same THEN s.jn0 ELSE s.jn END AS jn0, CASE WHEN same THEN s.hs0 ELSE s.hs END AS hs0, CASE WHEN same THEN s.s20 ELSE s.s2 END AS s20,
+          CASE WHEN same THEN s.hn0 ELSE s.hn END AS hn0, CASE WHEN same THEN s.an0 ELSE s.an END AS an0, CASE WHEN same THEN s.n0 ELSE s.n END AS n0, CASE WHEN same THEN s.e0 ELSE s.e END AS e0
+        FROM (SELECT s.*, n.day IS NOT DISTINCT FROM s.day AS same FROM s JOIN r n ON n.league = s.league AND n.i = s.i + 1) s JOIN r ON r.league = s.league AND r.i = s.i + 1)))),
+p AS (SELECT *, l0[home] IS NOT NULL AND l0[away] IS NOT NULL AS known, m0[home] / (m0[home] + 8) * exp(-least(day - l0[home], 400) / 260.0) AS kh, m0[away] / (m0[away] + 8) * exp(-least(day - l0[away], 400) / 260.0) AS ka,
+  CASE WHEN jn0[judge] >= 12 THEN exp(jt0[judge] / (jn0[judge] + 25)) ELSE 1 END AS f, least(m0[home], m0[away]) AS k FROM s WHERE i > 0)
+SELECT id, CASE WHEN known THEN round(hs0 * exp(a0[home] * kh + d0[away] * ka) * hn0 / hs0 * exp(c0[home] * kh) * f, 6) END AS home_mean, CASE WHEN known THEN round(s20 * exp(a0[away] * ka + d0[home] * kh) * an0 / s20 * exp(c0[away] * ka) * f, 6) END AS away_mean,
+  CASE WHEN known THEN round(0.036 * (1 - k / (k + 8) * 0.85), 9) END AS log_variance, CASE WHEN known THEN round(CASE WHEN n0 >= 30 THEN greatest(e0 / n0, 0) ELSE 0 END, 6) END AS dispersion, CASE WHEN known THEN round(k, 6) END AS team_matches FROM p
+""")
+def q_two_stage(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("id")
+    keys = orders(spark, sf).select("id", (F.col("key") % 7 + 1).alias("judge"))
+    rows = matches(spark, sf).withColumns({"home_shots": F.when(i % 17 != 0, 5 + i % 13), "away_shots": 3 + F.floor(i / 2) % 11}).join(keys, "id")
+    out = shots.two_stage(rows)
+    digits = {"home_mean": 6, "away_mean": 6, "log_variance": 9, "dispersion": 6, "team_matches": 6}
+    return out.select("id", *[F.round(c, n).alias(c) for c, n in digits.items()])
