@@ -72,12 +72,28 @@ def conditional_logit(rows: DataFrame, group: str, x: list[str], won: str, epoch
     w, g = [0.0] * len(x), Window.partitionBy(group)
     rows = rows.select(group, *x, won).repartition(group).persist()
     try:
+        groups = max(rows.select(group).distinct().count(), 1)
         for _ in range(epochs):
             u = sum((F.col(c) * v for c, v in zip(x, w, strict=True)), F.lit(0.0))
             e = rows.withColumn("__u", u).withColumn("__e", F.exp(F.col("__u") - F.max("__u").over(g)))
             e = e.withColumn("__d", F.col(won) - F.col("__e") / F.sum("__e").over(g))
-            grads = e.agg(*[F.sum(F.col("__d") * F.col(c)) for c in x], F.sum(won)).first()
-            w = [v + rate * (d / max(grads[-1], 1) * 10 - l2 * v) for v, d in zip(w, grads[:-1], strict=True)]
+            grads = e.agg(*[F.sum(F.col("__d") * F.col(c)) for c in x]).first()
+            w = [v + rate * ((d or 0.0) / groups - l2 * v) for v, d in zip(w, grads, strict=True)]
+        return w
+    finally:
+        rows.unpersist()
+
+
+def logistic(rows: DataFrame, x: list[str], y: str, epochs: int = 60, rate: float = 0.045, l2: float = 0.004) -> list[float]:
+    """Intercept and weights of the log odds by gradient steps from 0; the intercept is not drawn back. One aggregation an epoch."""
+    rows = rows.select(*x, F.col(y).cast("double").alias(y)).persist()
+    try:
+        w = [0.0] * (1 + len(x))
+        for _ in range(epochs):
+            u = sum((F.col(c) * v for c, v in zip(x, w[1:], strict=True)), F.lit(w[0]))
+            error = 1 / (1 + F.exp(-u)) - F.col(y)
+            grads = rows.agg(F.avg(error), *[F.avg(error * F.col(c)) for c in x]).first()
+            w = [v - rate * ((g or 0.0) + l2 * v * (i > 0)) for i, (v, g) in enumerate(zip(w, grads, strict=True))]
         return w
     finally:
         rows.unpersist()

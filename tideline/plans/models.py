@@ -7,10 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import champion
 from ..operators import models as M
 from ..operators import numbers
 from ..operators import windows as W
-from ..operators.places import place_probabilities
+from ..operators.places import paid, place_probabilities
 from ..registry import query, table
 from ..sources import store
 from .aggregates import P_SQL, forecasts
@@ -41,19 +42,45 @@ def q_place_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("race", "part", "supp", "line", F.round(M.second_place(F.col("p"), ["race"]), 6).alias("first_two"))
 
 
-@query(f"""
+PLACES = f"""
 WITH {LINES}, n AS (SELECT DISTINCT * FROM l), s AS (SELECT *, q / sum(q) OVER w AS a, power(q / sum(q) OVER w, 0.86) AS v, count(*) OVER w AS n, row_number() OVER (PARTITION BY race ORDER BY part, supp, line, p) AS i FROM n WINDOW w AS (PARTITION BY race)),
 t AS (SELECT *, sum(v) OVER (PARTITION BY race) AS t, CASE WHEN n >= 7 THEN 3 WHEN n >= 4 THEN 2 ELSE 0 END AS slots FROM s),
 two AS (SELECT x.race, x.i, sum(y.a * x.v / (y.t - y.v)) AS second FROM t x JOIN t y ON x.race = y.race AND x.i <> y.i GROUP BY 1, 2),
 three AS (SELECT x.race, x.i, sum(y.a * z.v / (y.t - y.v) * x.v / (y.t - y.v - z.v)) AS third FROM t x JOIN t y ON x.race = y.race AND x.i <> y.i JOIN t z ON z.race = x.race AND z.i NOT IN (x.i, y.i) WHERE x.slots = 3 GROUP BY 1, 2)
-SELECT race, part, supp, line, round(p, 2) AS p, CASE WHEN slots = 0 THEN 0 WHEN slots = 2 THEN round(a + second, 9) ELSE round(a + second + third, 9) END AS place FROM t LEFT JOIN two USING (race, i) LEFT JOIN three USING (race, i)
-""")
+"""
+
+
+@query(PLACES + """SELECT race, part, supp, line, round(p, 2) AS p, CASE WHEN slots = 0 THEN 0 WHEN slots = 2 THEN round(a + second, 9) ELSE round(a + second + third, 9) END AS place FROM t LEFT JOIN two USING (race, i) LEFT JOIN three USING (race, i)""")
 def q_place_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     r = runners(spark, sf).distinct().withColumn("win", W.share(F.col("q"), ["race"]))
     out = place_probabilities(r, ["race"], ["part", "supp", "line", "p"], "win", power=0.86)
     return out.select("race", "part", "supp", "line", F.round("p", 2).alias("p"), F.round("place", 9).alias("place"))
 
 
+@query(PLACES + """, f AS (SELECT race, part, supp, line, p, a AS win, CASE WHEN slots = 0 THEN 0 WHEN slots = 2 THEN a + second ELSE a + second + third END AS place FROM t LEFT JOIN two USING (race, i) LEFT JOIN three USING (race, i))
+SELECT race, (row_number() OVER (PARTITION BY race ORDER BY win DESC, part, supp, line, p) - 1)::INT AS rank, part, supp, line, round(win, 6) AS win, round(place, 6) AS place FROM f
+""")
+def q_race_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every race's runners with their chances, the likeliest winner first."""
+    r = runners(spark, sf).distinct().withColumn("win", W.share(F.col("q"), ["race"]))
+    out = place_probabilities(r, ["race"], ["part", "supp", "line", "p"], "win", power=0.86)
+    cards = champion.assembled(out, ["race"], ["part", "supp", "line", "p"])
+    return cards.select("race", F.posexplode("runners").alias("rank", "r")).select("race", "rank", "r.part", "r.supp", "r.line", "r.win", "r.place")
+
+
+@query()
+def q_champion(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a challenger passes the gates against the baseline, for winners and places: one row."""
+    r = runners(spark, sf).distinct().join(orders(spark, sf).select(F.col("id").alias("race"), "day"), "race")
+    w = Window.partitionBy("race")
+    finish = F.row_number().over(w.orderBy(F.desc(F.col("p") + 40000 * F.sin(F.col("part"))), "part", "supp", "line", "p"))
+    r = r.withColumns({"finish": finish, "size": F.count("*").over(w)}).where("size > 1")
+    known = {c: F.abs(F.sin(F.col("part") * (i + 1))) for i, c in enumerate(champion.BASELINE)}
+    r = r.withColumns({"won": (F.col("finish") == 1).cast("int"), "placed": (F.col("finish") <= paid(F.col("size"))).cast("int"), "place_rate": (1 + F.col("supp") % 5) / 10, **known})
+    figures, _ = champion.trained(r, ["p", "q"], "race", "day", "won", "placed", "place_rate")
+    return spark.createDataFrame([tuple(figures.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'long' if isinstance(v, int) else 'double'}" for k, v in figures.items()))
+
+
 @query(f"""
 WITH {DRAW_SQL.replace('SELECT', 'd AS (SELECT', 1)}), s AS (SELECT list_sum(numbers)::BIGINT AS s, count(*) AS n FROM d GROUP BY 1)
 SELECT s, n, round((sum(n) OVER (ORDER BY s) - n) / (sum(n) OVER ())::DOUBLE, 6) AS below FROM s
@@ -145,8 +172,8 @@ def q_resumed_training(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH RECURSIVE {LINES}, x AS (SELECT *, q / 50 AS a, p / 100000 AS b, max((p, part, supp, line)) OVER (PARTITION BY race) AS top FROM l), r AS (SELECT race, part, supp, line, a, b, ((p, part, supp, line) = top)::INT AS won FROM x),
 w AS (SELECT 0 AS step, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
-  UNION ALL SELECT step + 1, u + 0.045 * (g1 / n * 10 - 0.004 * u), v + 0.045 * (g2 / n * 10 - 0.004 * v)
-  FROM (SELECT step, u, v, sum((won - e / s) * a) AS g1, sum((won - e / s) * b) AS g2, greatest(sum(won), 1) AS n
+  UNION ALL SELECT step + 1, u + 0.045 * (g1 / n - 0.004 * u), v + 0.045 * (g2 / n - 0.004 * v)
+  FROM (SELECT step, u, v, sum((won - e / s) * a) AS g1, sum((won - e / s) * b) AS g2, count(DISTINCT race) AS n
     FROM (SELECT *, sum(e) OVER (PARTITION BY race) AS s FROM (SELECT w.*, r.race, r.a, r.b, r.won, exp(u * r.a + v * r.b) AS e FROM w, r WHERE step < 60)) GROUP BY step, u, v))
 SELECT race, part, supp, line, round(exp(u * a + v * b) / sum(exp(u * a + v * b)) OVER (PARTITION BY race), 6) AS p FROM r, w WHERE step = 60
 """)
