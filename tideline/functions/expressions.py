@@ -33,7 +33,7 @@ def day_number(ts: str) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as X
 from ..operators import joins as J
-from ..operators import shots
+from ..operators import numbers, shots
 from ..registry import query, table
 from .joins import O, orders
 from .scalars import DRAW_SQL, draws
@@ -81,10 +81,7 @@ SELECT cut, number, count(*) AS seen, count(*) * 49 / (cut * 6.0::DOUBLE) AS bia
 def q_expanding_bias(spark: SparkSession, sf: str) -> DataFrame:
     d = draws(spark, sf)
     n = d.count()
-    # places of draws: their ids are ranges' ends, so blocks of a hundred are numbered by counts before them
-    at = d.select("draw_id", "numbers", (F.floor(F.col("draw_id") / 100)).alias("b"))
-    sizes = at.groupBy("b").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = at.join(sizes.select("b", "before"), "b").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("draw_id")))
+    at = numbers.numbered(d, "draw_id").withColumn("i", F.col("i") + 1)
     # each number's count in the step that a draw falls in, then added up over steps
     step = F.greatest(F.lit(200), F.ceil(F.col("i") / 100) * 100).alias("cut")
     by_step = at.where(F.col("i") <= n - n % 100).select(step, F.explode("numbers").alias("number")).groupBy("cut", "number").agg(F.count("*").alias("n"))

@@ -186,12 +186,14 @@ def draws(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(key.alias("draw_id"), F.array_sort(F.array_distinct(made)).alias("numbers"))
 
 
-@query("""
-SELECT k::INT AS k, CASE WHEN k < 0 OR k > 49 THEN 0 ELSE round(exp(lgamma(50) - lgamma(k + 1) - lgamma(50 - k)))::BIGINT END AS ways
-FROM range(0, 7) t(k)
+@query(f"""
+WITH d AS ({DRAW_SQL}), k AS (SELECT len(numbers) AS k, count(*) AS n FROM d GROUP BY 1)
+SELECT k::INT AS k, n, round(exp(lgamma(50) - lgamma(k + 1) - lgamma(50 - k)))::BIGINT AS ways FROM k
 """)
 def q_combinations(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(7).select(F.col("id").cast("int").alias("k"), E.choose(49, F.col("id").cast("int")).alias("ways"))
+    """Draws by how many numbers they have, and in how many ways those could have been drawn."""
+    k = draws(spark, sf).groupBy(F.size("numbers").alias("k")).agg(F.count("*").alias("n"))
+    return k.select("k", "n", E.choose(49, F.col("k")).alias("ways"))
 
 
 @query("""

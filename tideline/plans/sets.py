@@ -17,18 +17,18 @@ def q_union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query(f"WITH {Q}, u AS (SELECT *, 0 AS arrival FROM q UNION ALL SELECT id, key, kind, ts_us, price + 1, 1 FROM q WHERE id % 3 = 0) SELECT id, arg_max(price, arrival) AS price FROM u GROUP BY 1")
+@query(f"WITH {Q}, u AS (SELECT *, 0 AS arrival FROM q UNION ALL SELECT id, key, kind, ts_us, price + 1, 1 FROM q WHERE kind = 'view' OR price > 40) SELECT id, arg_max(price, arrival) AS price FROM u GROUP BY 1")
 def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     q = quotes(spark, sf).withColumn("arrival", F.lit(0))
-    u = q.unionByName(q.where("id % 3 = 0").withColumns({"price": F.col("price") + 1, "arrival": F.lit(1)}))
+    u = q.unionByName(q.where("kind = 'view' or price > 40").withColumns({"price": F.col("price") + 1, "arrival": F.lit(1)}))
     return u.groupBy("id").agg(F.max_by("price", "arrival").alias("price"))
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 < 2), b AS (SELECT c_custkey AS k, c_acctbal * 2 AS v FROM customer WHERE c_custkey % 3 > 0)
+@query("""WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 0), b AS (SELECT c_custkey AS k, c_acctbal * 2 AS v FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v FROM a FULL JOIN b ON a.k = b.k""")
 def q_overlay(spark: SparkSession, sf: str) -> DataFrame:
     c, k = table(spark, sf, "customer"), F.col("c_custkey")
-    a, b = c.where(k % 3 < 2).select(k.alias("k"), F.col("c_acctbal").alias("a")), c.where(k % 3 > 0).select(k.alias("k"), (F.col("c_acctbal") * 2).alias("b"))
+    a, b = c.where("c_acctbal > 0").select(k.alias("k"), F.col("c_acctbal").alias("a")), c.where("c_mktsegment <> 'BUILDING'").select(k.alias("k"), (F.col("c_acctbal") * 2).alias("b"))
     return a.join(b, "k", "full").select("k", F.coalesce("b", "a").alias("v"))
 
 
