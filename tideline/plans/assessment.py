@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
+from ..operators import track_record as T
 from ..registry import query
 from .joins import O, Q, orders, quotes
 
@@ -61,3 +62,43 @@ def q_open_first(spark: SparkSession, sf: str) -> DataFrame:
     """Views as open trades, clicks as settled ones: the open ones of a key first."""
     q = quotes(spark, sf).where("kind like 'v%' or kind like 'c%'").withColumns({"settled": F.when(F.col("kind") != "view", F.col("ts_us")), "created": F.struct("ts_us", "id")})
     return L.open_first(q, ["key"], "settled", "price", "created").select("id", "kind", "key", F.col("place").cast("long").alias("place"))
+
+
+AS_OF = 1_720_000_000_000_000
+
+#: Purchases as forecasts, a third of them picks on a line of their own, and views and clicks as quotes on two lines.
+RECORD = f"""{Q}, fc AS (SELECT id, key AS match_id, ts_us AS captured, ts_us + id % 40 * 3600000000 AS kick_off, CASE WHEN id % 11 > 0 THEN (20 + id % 61) / 100.0::DOUBLE END AS probability, CASE WHEN id % 7 > 0 THEN id % 20 END AS actual, id % 3 = 0 AS picked FROM q WHERE kind = 'purchase'),
+qt AS (SELECT key AS match_id, CASE WHEN id % 2 = 0 THEN 9.5 ELSE 10.5 END AS line, ts_us AS captured, 0.9 + id % 23 / 10.0::DOUBLE AS o, 1.3 + id % 17 / 10.0::DOUBLE AS u FROM q WHERE kind = 'view'),
+f AS (SELECT *, CASE WHEN picked THEN 10.5 ELSE 9.5 END AS line FROM fc), a AS (SELECT f.*, t.o AS ao, t.u AS au, t.captured AS at_ FROM f ASOF LEFT JOIN qt t ON f.match_id = t.match_id AND f.line = t.line AND f.captured >= t.captured),
+b AS (SELECT a.*, t.o AS co, t.u AS cu FROM a ASOF LEFT JOIN qt t ON a.match_id = t.match_id AND a.line = t.line AND a.kick_off > t.captured), n AS (SELECT DISTINCT match_id, line, true AS known FROM qt),
+r AS (SELECT b.*, CASE WHEN picked THEN NULL WHEN probability IS NULL THEN 'no side' WHEN known IS NULL THEN 'no timeline' WHEN at_ IS NULL THEN 'no quote' WHEN NOT (ao > 1 AND au > 1) THEN 'unusable odds' END AS refused, CASE WHEN picked THEN id % 2 = 0 ELSE probability * ao - 1 >= (1 - probability) * au - 1 END AS high FROM b LEFT JOIN n USING (match_id, line)),
+e AS (SELECT id, kick_off, line, refused, high, CASE WHEN picked THEN 0.5 WHEN high THEN probability ELSE 1 - probability END AS p, CASE WHEN picked THEN 0.45 WHEN high THEN 1 / ao / (1 / ao + 1 / au) ELSE 1 / au / (1 / ao + 1 / au) END AS market, CASE WHEN picked THEN 2.1 WHEN high THEN ao ELSE au END AS odds,
+    CASE WHEN picked THEN (id % 9 - 3) / 50.0::DOUBLE ELSE greatest(probability * ao - 1, (1 - probability) * au - 1) END AS edge, picked, CASE WHEN {AS_OF} > kick_off AND co > 1 AND cu > 1 THEN CASE WHEN high THEN co ELSE cu END END AS closing_odds, actual, CASE WHEN high THEN actual > line ELSE NOT actual > line END AS won FROM r),
+g AS (SELECT *, coalesce(CASE WHEN picked THEN id % 5 > 0 AND edge >= 0.02 ELSE edge >= 0.02 END, false) AND refused IS NULL AS recommended, odds / closing_odds - 1 AS value, CASE WHEN won THEN odds - 1 WHEN NOT won THEN -1 END AS units FROM e)"""
+
+
+def record(spark: SparkSession, sf: str) -> DataFrame:
+    q, i = quotes(spark, sf), F.col("id")
+    pick = F.struct(F.lit(10.5).alias("line"), F.when(i % 2 == 0, "high").otherwise("low").alias("direction"), F.lit(0.5).alias("probability"), F.lit(0.45).alias("market"), F.lit(2.1).alias("odds"), ((i % 9 - 3) / 50.0).alias("edge"), (i % 5 > 0).alias("recommended"))
+    f = q.where("kind = 'purchase'").select("id", F.col("key").alias("match_id"), F.col("ts_us").alias("captured"), (F.col("ts_us") + i % 40 * 3_600_000_000).alias("kick_off"), F.when(i % 11 > 0, (20 + i % 61) / 100.0).alias("probability"), F.when(i % 7 > 0, i % 20).alias("actual"), F.when(i % 3 == 0, pick).alias("pick"))
+    t = q.where("kind = 'view'").select(F.col("key").alias("match_id"), F.when(i % 2 == 0, 9.5).otherwise(10.5).alias("line"), F.col("ts_us").alias("captured"), F.lit(False).alias("in_play"), (0.9 + i % 23 / 10.0).alias("over_odds"), (1.3 + i % 17 / 10.0).alias("under_odds"))
+    return T.entries(f, t, AS_OF)
+
+
+@query(f"""
+WITH {RECORD} SELECT id, refused, CASE WHEN refused IS NULL THEN CASE WHEN high THEN 'high' ELSE 'low' END END AS direction, CASE WHEN refused IS NULL THEN round(p, 6) END AS probability, CASE WHEN refused IS NULL THEN round(market, 6) END AS market, CASE WHEN refused IS NULL THEN round(odds, 6) END AS odds,
+  CASE WHEN refused IS NULL THEN round(edge, 6) END AS edge, recommended, CASE WHEN refused IS NULL THEN round(value, 6) END AS closing_value, CASE WHEN refused IS NULL THEN won END AS won, CASE WHEN refused IS NULL THEN round(units, 6) END AS units FROM g
+""")
+def q_track_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Every forecast with the quote that stood when it was made, its close and its outcome, or why it has none."""
+    return record(spark, sf).select("id", "refused", "direction", "recommended", "won", *[F.round(c, 6).alias(c) for c in ("probability", "market", "odds", "edge", "closing_value", "units")])
+
+
+@query(f"""
+WITH {RECORD}, w AS (SELECT * FROM g WHERE recommended), c AS (SELECT *, sum(units) OVER (ORDER BY kick_off, id) AS x FROM w WHERE actual IS NOT NULL), d AS (SELECT *, greatest(0, max(x) OVER (ORDER BY kick_off, id)) - x AS fall FROM c)
+SELECT count(*) AS recommended, count(actual) AS settled, count(*) FILTER (WHERE won) AS hits, round(avg((p - won::INT) ** 2), 6) AS brier, round(avg((market - won::INT) ** 2), 6) AS market_brier, round(coalesce(avg(value), 0), 6) AS closing_value, round(coalesce(avg((value > 0)::INT), 0), 6) AS beat_closing,
+  count(value) AS closing_samples, round((SELECT sum(units) FROM c), 6) AS net, round((SELECT max(fall) FROM d), 6) AS drawdown FROM w
+""")
+def q_record_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s = T.summary(record(spark, sf))
+    return s.select("recommended", "settled", "hits", "closing_samples", *[F.round(c, 6).alias(c) for c in ("brier", "market_brier", "closing_value", "beat_closing", "net", "drawdown")])
