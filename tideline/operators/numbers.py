@@ -116,26 +116,30 @@ def rhythm(n: int, sums: np.ndarray) -> np.ndarray:
     return np.clip((np.maximum((repeats / (n - np.array(LAGS))[:, None]).max(axis=0), 0) - 0.015) * 40, 0, 1)
 
 
-def by_structure(base: np.ndarray, marks: np.ndarray) -> tuple[list[int], int]:
-    """Six numbers, and a seventh, by falling chance, that keep to the commonest structure of the last draws (of equals the later)."""
+def structures(marks: np.ndarray) -> np.ndarray:
+    """Of each draw how many numbers are odd, how many above 24, and the class of their sum."""
     n = np.arange(1, NUMBERS + 1)
-    kinds = [(int(m[n % 2 == 1].sum()), int(m[n > 24].sum()), int(np.digitize(m @ n, [100, 140, 180]))) for m in marks]
+    return np.stack([marks[:, n % 2 == 1].sum(axis=1), marks[:, n > 24].sum(axis=1), np.digitize(marks @ n, [100, 140, 180])], axis=1).astype(int)
+
+
+def by_structure(base: np.ndarray, kinds: np.ndarray) -> tuple[list[int], int]:
+    """Six numbers, and a seventh, by falling chance, that keep to the commonest structure of some draws (of equals the one that came up last)."""
     best = []
     for k in range(3):
-        times: dict[int, int] = {}
-        for x in kinds:
-            times[x[k]] = times.get(x[k], 0) + 1
-        best.append([v for v, c in times.items() if c == max(times.values())][-1])
+        values, first, times = np.unique(kinds[:, k], return_index=True, return_counts=True)
+        most = times == times.max()
+        best.append(int(values[most][first[most].argmax()]))
     odd, big, top = best[0], best[1], (99, 139, 179, 250)[best[2]]
-    order = sorted(n.tolist(), key=lambda v: (-base[v - 1], v))
+    order = np.lexsort((np.arange(NUMBERS), -base)) + 1
     taken: list[int] = []
-    for v in order:
-        odds, bigs = sum(x % 2 for x in taken), sum(x > 24 for x in taken)
+    odds = bigs = total = 0
+    for v in order.tolist():
         full = odds >= odd if v % 2 else len(taken) - odds >= PICKS - odd
         full = full or (bigs >= big if v > 24 else len(taken) - bigs >= PICKS - big)
-        if len(taken) < PICKS and not full and not (sum(taken) + v > top and len(taken) >= 4):
+        if len(taken) < PICKS and not full and not (total + v > top and len(taken) >= 4):
             taken.append(v)
-    return sorted(taken), next(v for v in order if v not in taken)
+            odds, bigs, total = odds + v % 2, bigs + (v > 24), total + v
+    return sorted(taken), next(v for v in order.tolist() if v not in taken)
 
 
 def scored(draws: DataFrame, least: int = LEAST, size: int = BLOCK) -> DataFrame:
@@ -173,6 +177,7 @@ def scored(draws: DataFrame, least: int = LEAST, size: int = BLOCK) -> DataFrame
         sums[start["at"][small].to_numpy(dtype=int)] = start["x"][small]
         seen[start["at"][~small].to_numpy(dtype=int) - AT[-1]] = start["seen"][~small]
         marks, index = _marks(list(g["numbers"])), g["i"].to_numpy()
+        kinds = structures(marks)
         dated, turnover, numbers = g["dated"].to_numpy(dtype=bool), g["turnover"].to_numpy(dtype=float), list(g["numbers"])
         out = []
         for k in range(int(np.argmax(index >= key[0] * size)) if (index >= key[0] * size).any() else len(g), len(g)):
@@ -180,14 +185,13 @@ def scored(draws: DataFrame, least: int = LEAST, size: int = BLOCK) -> DataFrame
             if n >= least:
                 low = max(0, k - RECENT)
                 p = probabilities(n, sums, seen, marks[low:k], dated[low:k], turnover[low:k], centre)
-                pattern, special = by_structure(p["freq"] * (1 + rhythm(n, sums) * 2), marks[max(0, k - STRUCTURE) : k])
+                pattern, special = by_structure(p["freq"] * (1 + rhythm(n, sums) * 2), kinds[max(0, k - STRUCTURE) : k])
                 out.append((n, list(map(int, numbers[k])), list(map(int, numbers[k - 1])), *(p[m].tolist() for m in MODELS), pattern, special))
             sums[AT[0] : AT[1]] += marks[k]
             if k:
                 sums[AT[1] : AT[2]] += np.outer(marks[k - 1], marks[k]).ravel()
-            for j, lag in enumerate(LAGS):
-                if k >= lag:
-                    sums[AT[2] + j * NUMBERS : AT[2] + (j + 1) * NUMBERS] += marks[k] * marks[k - lag]
+            lags = np.array([lag for lag in LAGS if lag <= k], dtype=int)
+            sums[AT[2] : AT[2] + len(lags) * NUMBERS] += (marks[k] * marks[k - lags]).ravel()
             if turnover[k] > 0:
                 sums[AT[3] :] += 1, turnover[k] - centre, (turnover[k] - centre) ** 2
             seen[marks[k] > 0] = n
