@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DAY
 from .calibration import earliest
 from .candidates import winner_classifier
-from .models import conditional_logit, logistic
 from .places import paid
 from .windows import capped, share, softmax
 
@@ -38,17 +38,64 @@ def scaled(rows: DataFrame, features: list[str]) -> dict[str, Column]:
     return {f"__{c}": F.coalesce((F.col(c) - F.lit(m[f"m{i}"])) / F.lit(m[f"s{i}"] or 1.0), F.lit(0.0)) for i, c in enumerate(features)}
 
 
-def by_choice(rows: DataFrame, features: list[str], target: str, race: str, epochs: int = 60) -> Callable[[DataFrame], DataFrame]:
-    """Learns who wins a race by a softmax over its runners."""
+def newton(terms: Callable[[list[float]], tuple[DataFrame, list[Column], list[list[Column]]]], k: int, ridge: float, steps: int = 20) -> list[float]:
+    """Weights of the least loss with a ridge, by Newton's method: an aggregation a step.
+
+    terms: from weights to rows, the gradient's and the upper half of the Hessian's terms of a row.
+    """
+    w = [0.0] * k
+    for _ in range(steps):
+        frame, slope, bend = terms(w)
+        cells = [(i, j) for i in range(k) for j in range(i, k)]
+        r = frame.agg(*[F.sum(c) for c in slope], *[F.sum(bend[i][j]) for i, j in cells]).first()
+        g = np.array([x or 0.0 for x in r[:k]]) + ridge * np.array(w)
+        h = ridge * np.eye(k)
+        for (i, j), x in zip(cells, r[k:], strict=True):
+            h[i, j] += x or 0.0
+            h[j, i] = h[i, j]
+        step = np.linalg.solve(h, g)
+        step = step / max(1.0, float(np.abs(step).max()) / 4)
+        w = (np.array(w) - step).tolist()
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def by_choice(rows: DataFrame, features: list[str], target: str, race: str, l2: float = 0.004) -> Callable[[DataFrame], DataFrame]:
+    """Learns who wins a race by a softmax over its runners; l2: the ridge of a race's loss."""
     columns = scaled(rows, features)
-    w = conditional_logit(rows.withColumns(columns), race, list(columns), target, epochs)
+    x, g = list(columns), Window.partitionBy(race)
+    lain = rows.withColumns(columns).select(race, *x, target).repartition(race).persist()  # a race's runners lie together
+
+    def terms(w: list[float]) -> tuple[DataFrame, list[Column], list[list[Column]]]:
+        u = sum((F.col(c) * v for c, v in zip(x, w, strict=True)), F.lit(0.0))
+        f = lain.withColumn("__p", softmax(u, [race])).withColumns({f"{c}m": F.sum(F.col("__p") * F.col(c)).over(g) for c in x})
+        off = [F.col(c) - F.col(f"{c}m") for c in x]
+        return f, [(F.col("__p") - F.col(target)) * F.col(c) for c in x], [[F.col("__p") * a * b for b in off] for a in off]
+
+    try:
+        w = newton(terms, len(x), l2 * max(lain.select(race).distinct().count(), 1))
+    finally:
+        lain.unpersist()
     return lambda new: new.withColumn("__raw", F.exp(sum((c * v for c, v in zip(columns.values(), w, strict=True)), F.lit(0.0))))
 
 
-def by_odds(rows: DataFrame, features: list[str], target: str, race: str, epochs: int = 60) -> Callable[[DataFrame], DataFrame]:
-    """Learns each runner's own chance."""
+def by_odds(rows: DataFrame, features: list[str], target: str, race: str, l2: float = 0.004) -> Callable[[DataFrame], DataFrame]:
+    """Learns each runner's own chance; l2: the ridge of a row's loss."""
     columns = scaled(rows, features)
-    w = logistic(rows.withColumns(columns), list(columns), target, epochs)
+    x = ["__one", *columns]
+    lain = rows.withColumns({"__one": F.lit(1.0)} | columns).select(*x, target).persist()
+
+    def terms(w: list[float]) -> tuple[DataFrame, list[Column], list[list[Column]]]:
+        p = 1 / (1 + F.exp(-sum((F.col(c) * v for c, v in zip(x, w, strict=True)), F.lit(0.0))))
+        f = lain.withColumn("__p", p)
+        bend = F.col("__p") * (1 - F.col("__p"))
+        return f, [(F.col("__p") - F.col(target)) * F.col(c) for c in x], [[bend * F.col(a) * F.col(b) for b in x] for a in x]
+
+    try:
+        w = newton(terms, len(x), l2 * max(lain.count(), 1))
+    finally:
+        lain.unpersist()
     u = sum((c * v for c, v in zip(columns.values(), w[1:], strict=True)), F.lit(w[0]))
     return lambda new: new.withColumn("__raw", 1 / (1 + F.exp(-u)))
 
