@@ -1,5 +1,7 @@
 """Files of many layouts, joins and quantiles at their edges, and what is said of streams, over streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,20 @@ def test_rows_beside_each_other_with_null_keys(spark):
     assert plan.count("Join") == 2 and "((a#" in plan and plan.count("<=>") == 2  # null-safe on the rows with null keys alone
 
 
+def test_what_is_known_is_carried_over_buckets(spark):
+    r = random.Random(5)
+    rows = [(k, t, i, r.choice([None, None, float(i)]), r.choice([None, i])) for i, (k, t) in enumerate((r.choice([1, 2, None]), r.randrange(60)) for _ in range(300))]
+    frame = spark.createDataFrame(rows, "k long, t long, id long, v double, w long").repartition(4)
+    got = {x.id: (x.last_v, x.big) for x in joins.carried(frame, ["k"], F.floor(F.col("t") / 7), ["t", "id"], {"last_v": F.col("v"), "big": F.when(F.col("w") > 50, F.col("w"))}).collect()}
+    for key in (1, 2, None):
+        v = w = None
+        for _, t, i, a, b in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1], x[2])):
+            v, w = a if a is not None else v, b if b is not None and b > 50 else w
+            assert got[i] == (v, w)
+    out = joins.carried(frame, ["k"], F.floor(F.col("t") / 7), ["t", "id"], {"last_v": F.col("v")})
+    assert out.columns == [*frame.columns, "last_v"] and joins.carried(frame.limit(0), ["k"], F.floor("t"), ["t"], {"x": F.col("v")}).count() == 0
+
+
 # streams ------------------------------------------------------------------------------------------
 
 QUOTES = "key long, kind string, ts timestamp, value double, at long, flag boolean"

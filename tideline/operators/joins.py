@@ -56,6 +56,23 @@ def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return plain.unionAll(rest.select(*left.columns, *others))
 
 
+def carried(rows: DataFrame, keys: list[str], bucket: Column, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows with further columns: the last known (not null) value of each of `values` in a key's rows up to this one, in order.
+
+    bucket: a column that rises with the order, such as the day: a window looks back inside a bucket, and one row a key and
+    bucket brings what was known before it. So a large key is spread over its buckets. Rows whose bucket is null see each other alone.
+    """
+    rows = rows.withColumn("__b", bucket)
+    here = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.struct(*order)
+    ends = rows.groupBy(*keys, "__b").agg(*[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"__{n}") for n, v in values.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "__b", *[F.when(F.col("__b").isNotNull(), F.last(f"__{n}", ignorenulls=True).over(earlier)).alias(f"__before_{n}") for n in values])
+    seen = rows.withColumns({f"__here_{n}": F.last(v, ignorenulls=True).over(here) for n, v in values.items()})
+    both = beside(seen, before, [*keys, "__b"])
+    return both.withColumns({n: F.coalesce(f"__here_{n}", f"__before_{n}") for n in values}).drop("__b", *[f"__{w}_{n}" for n in values for w in ("here", "before")])
+
+
 def first_key(left: DataFrame, right: DataFrame, id_: str, tries: list[Column], key: str, value: str) -> DataFrame:
     """id_ and the value of the first of several spellings of a key that right knows; null if it knows none."""
     spelled = F.array(*[F.struct(F.lit(i).alias("rank"), k.alias(key)) for i, k in enumerate(tries)])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds
+from ..functions.expressions import DAY
+from ..operators import folds, joins
 from ..registry import query, table
 from .joins import O, Q, orders, quotes
 
@@ -74,10 +75,10 @@ WITH {Q}, s AS (SELECT id, last_value(CASE WHEN kind = 'view' THEN price END IGN
 SELECT id, back, lay, closing::INT AS closing FROM s WHERE back IS NOT NULL AND lay IS NOT NULL
 """)
 def q_merged_state(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    side = lambda k: F.last(F.when(F.col("kind") == k, F.col("price")), ignorenulls=True).over(w)
-    s = quotes(spark, sf).select("id", side("view").alias("back"), side("click").alias("lay"), F.max((F.col("kind") == "purchase").cast("int")).over(w).alias("closing"))
-    return s.where("back is not null and lay is not null")
+    kind, price = F.col("kind"), F.col("price")
+    state = {"back": F.when(kind == "view", price), "lay": F.when(kind == "click", price), "played": F.when(kind == "purchase", 1)}
+    s = joins.carried(quotes(spark, sf), ["key"], F.floor(F.col("ts_us") / DAY), ["ts_us", "id"], state)
+    return s.where("back is not null and lay is not null").select("id", "back", "lay", F.coalesce("played", F.lit(0)).alias("closing"))
 
 
 @query(f"""

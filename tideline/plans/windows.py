@@ -139,8 +139,9 @@ def q_time_split(spark: SparkSession, sf: str) -> DataFrame:
 SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations
 """)
 def q_fill_down(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
+    asked = {"asked": F.when(F.col("role") == "user", F.col("turn"))}
+    c = J.carried(table(spark, sf, "conversations"), ["conv_id"], F.floor(F.col("turn") / 64), ["turn", "role", "text"], asked)
+    return c.select("conv_id", "turn", "asked")
 
 
 @query(f"""
