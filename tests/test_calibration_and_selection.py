@@ -211,3 +211,27 @@ def test_intervals_like_those_of_drawn_blocks(spark):
     assert [again[k] for k in ("p50", "p975")] == pytest.approx([got[k] for k in ("p50", "p975")])
     none = bootstrap.intervals(spark.createDataFrame(rows).limit(0), ["day"], F.col("gain"), F.col("stake")).first()
     assert tuple(none) == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def sided(spark, chances, days=100, bets=10, seed=3):
+    """Bets at even odds that win with a chance by part of the days: development, validation, locked."""
+    r = random.Random(seed)
+    rows = []
+    for d in range(days):
+        p = chances[0 if d < days * 0.7 else 1 if d < days * 0.85 else 2]
+        rows += [(d, 0.1, 2.0, r.random() < p) for _ in range(bets)]
+    return spark.createDataFrame(rows, "day long, value double, odds double, won boolean")
+
+
+def test_the_locked_days_have_the_last_word(spark):
+    from tideline.operators import policy
+
+    ask = lambda *a, **k: policy.gate(sided(spark, *a, **k), iterations=200).first()
+    good = ask((0.5, 0.7, 0.7))
+    assert good.enabled and good.reason == "passed" and good.validation_bets == 150 and good.locked_bets == 150 and 0 < good.locked_lower < good.locked_roi
+    assert ask((0.7, 0.7, 0.3)).reason == "locked lower return not positive" and ask((0.7, 0.3, 0.9)).reason == "lower return not positive"
+    assert ask((0.7, 0.7, 0.7), days=19).reason == "too few days" and ask((0.7, 0.7, 0.7), bets=1).reason == "too few bets"
+    few = sided(spark, (0.7, 0.8, 0.8)).where("day < 85 or day = 99")
+    assert policy.gate(few, iterations=200, least=60).first().reason in ("passed", "too few locked bets")
+    none = policy.gate(sided(spark, (0.5, 0.5, 0.5)).limit(0), iterations=20).first()
+    assert not none.enabled and none.locked_bets == 0 and none.locked_lower == -1.0

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bootstrap import draws, interpolated
@@ -89,6 +89,40 @@ def chosen(returns: DataFrame, least: int = 100) -> DataFrame:
     )
 
 
+def parted(rows: DataFrame, day: str, cuts: tuple[float, float] = (0.7, 0.85)) -> DataFrame:
+    """rows with part (development, validation, locked) by days in order, and days, how many there are."""
+    days = rows.select(day).distinct()  # one row a day from here on
+    ranked = days.select(day, F.row_number().over(Window.orderBy(day)).alias("__n"), F.count("*").over(Window.partitionBy()).alias("days"))
+    first = F.greatest(F.lit(1), F.floor(F.col("days") * cuts[0] + 1e-9))
+    second = F.greatest(first + 1, F.floor(F.col("days") * cuts[1] + 1e-9))
+    part = F.when(F.col("__n") <= first, "development").when(F.col("__n") <= second, "validation").otherwise("locked")
+    return rows.join(ranked.select(day, "days", part.alias("part")), day)
+
+
+def gate(rows: DataFrame, day: str = "day", least: int = 30, least_days: int = 20, iterations: int = 1000, seeds: tuple[int, int] = (202607, 202608)) -> DataFrame:
+    """One row: enabled, reason, the policy, and its bets, return and lower return on the validation days and on the locked ones.
+
+    The policy is chosen on the validation days. The locked days, the latest, are read for that one policy alone: it may trade only
+    if it finds enough bets there, too, and its lower return stays positive. rows: sided().
+    """
+    held = parted(rows, day)
+    policy = chosen(drawn_returns(held.where("part = 'validation'"), iterations, seeds[0], day=day), least)
+    names = {"enabled": "__passed", "reason": "__why", "bets": "validation_bets", "roi": "validation_roi", "lower": "validation_lower"}
+    one = F.broadcast(policy.withColumnsRenamed(names))  # one row
+    takes = (F.col("value") >= F.col("minimum_value")) & (F.col("odds") > 1) & (F.col("odds") <= F.col("maximum_odds")) & (F.col("validation_bets") > 0)
+    locked = held.where("part = 'locked'").join(one, takes)
+    net = F.when(F.col("won"), F.col("odds") - 1).otherwise(-1.0)
+    days = locked.groupBy(day).agg(F.sum(net).alias("net"), F.count("*").cast("double").alias("bets"))
+    ratio = F.when(F.col("bets") > 0, F.col("net") / F.col("bets"))
+    lower = draws(days, F.col(day), {"net": F.col("net"), "bets": F.col("bets")}, iterations, seeds[1]).agg(F.sort_array(F.collect_list(ratio)).alias("v"))  # a value a draw
+    sums = days.agg(F.coalesce(F.sum("bets"), F.lit(0.0)).cast("long").alias("locked_bets"), F.coalesce(F.try_divide(F.sum("net"), F.sum("bets")), F.lit(0.0)).alias("locked_roi"))
+    all_ = held.agg(F.coalesce(F.max("days"), F.lit(0)).alias("days"))
+    out = policy.withColumnsRenamed(names).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(lower)).crossJoin(F.broadcast(all_))  # a row each
+    out = out.withColumn("locked_lower", F.when(F.size("v") > 0, interpolated(F.col("v"), 0.1)).otherwise(-1.0))
+    reason = F.when(F.col("days") < least_days, "too few days").when(~F.col("__passed"), F.col("__why")).when(F.col("locked_bets") < least, "too few locked bets").when(F.col("locked_lower") <= 0, "locked lower return not positive").otherwise("passed")
+    return out.select((reason == "passed").alias("enabled"), reason.alias("reason"), "maximum_odds", "minimum_value", "validation_bets", "validation_roi", "validation_lower", "locked_bets", "locked_roi", "locked_lower")
+
+
 def implied_means(rows: DataFrame, id_: str, lines: str = "lines", shares: str = "shares", weights: str = "weights", low: float = 0.5, high: float = 30.0, steps: int = 60) -> DataFrame:
     """id_, mean: the Poisson mean whose chances above a row's half lines fit their market shares best on the whole, by bisection.
 

@@ -53,6 +53,27 @@ def q_policy(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"roi": F.round("roi", 6), "lower": F.round("lower", 6)})
 
 
+@query(f"""
+WITH {S}, dd AS (SELECT day, row_number() OVER (ORDER BY day) AS n, count(*) OVER () AS days FROM (SELECT DISTINCT day FROM s)), cut AS (SELECT *, greatest(1, floor(days * 0.7 + 1e-9)) AS a FROM dd),
+pt AS (SELECT day, CASE WHEN n <= a THEN 'development' WHEN n <= greatest(a + 1, floor(days * 0.85 + 1e-9)) THEN 'validation' ELSE 'locked' END AS part FROM cut), h AS (SELECT s.*, part FROM s JOIN pt USING (day)),
+g AS (SELECT * FROM (SELECT unnest([3.0::DOUBLE, 5.0, 10.0]) AS maximum_odds) CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.02, 0.05, 0.08, 0.1, 0.15]) AS minimum_value)),
+t AS (SELECT maximum_odds, minimum_value, day, sum(CASE WHEN won THEN odds - 1 ELSE -1 END) AS net, count(*) AS bets FROM g JOIN h ON value >= minimum_value AND odds > 1 AND odds <= maximum_odds AND part = 'validation' GROUP BY 1, 2, 3),
+u AS MATERIALIZED (SELECT day, draw, {uniform_sql("day", "draw", 202607)} AS u FROM (SELECT day FROM pt WHERE part = 'validation') CROSS JOIN range(1, 1001) r(draw)), w AS (SELECT day, draw, {weight_sql("u")} AS w FROM u),
+x AS (SELECT maximum_odds, minimum_value, draw, sum(w * net) / sum(w * bets) AS roi FROM t JOIN w USING (day) WHERE w > 0 GROUP BY 1, 2, 3), l AS (SELECT maximum_odds, minimum_value, quantile_cont(roi, 0.1) AS lower FROM x GROUP BY 1, 2),
+p AS (SELECT maximum_odds, minimum_value, sum(bets)::BIGINT AS bets, sum(net) / sum(bets) AS roi FROM t GROUP BY 1, 2),
+one AS (SELECT * FROM p JOIN l USING (maximum_odds, minimum_value) WHERE bets >= 30 ORDER BY lower DESC, maximum_odds, minimum_value LIMIT 1),
+k AS (SELECT day, sum(CASE WHEN won THEN odds - 1 ELSE -1 END) AS net, count(*) AS bets FROM h, one WHERE part = 'locked' AND value >= minimum_value AND odds > 1 AND odds <= maximum_odds GROUP BY 1),
+lv AS MATERIALIZED (SELECT k.*, draw, {uniform_sql("day", "draw", 202608)} AS u FROM k CROSS JOIN range(1, 1001) r(draw)), y AS (SELECT draw, sum(w * net) / sum(w * bets) AS roi FROM (SELECT *, {weight_sql("u")} AS w FROM lv) WHERE w > 0 GROUP BY 1),
+z AS (SELECT (SELECT count(*) FROM pt) AS days, (SELECT coalesce(sum(bets), 0)::BIGINT FROM k) AS locked_bets, (SELECT sum(net) / sum(bets) FROM k) AS locked_roi, (SELECT quantile_cont(roi, 0.1) FROM y) AS locked_lower),
+q AS (SELECT *, CASE WHEN days < 20 THEN 'too few days' WHEN NOT lower > 0 THEN 'lower return not positive' WHEN locked_bets < 30 THEN 'too few locked bets' WHEN locked_lower <= 0 THEN 'locked lower return not positive' ELSE 'passed' END AS reason FROM one, z)
+SELECT reason = 'passed' AS enabled, reason, maximum_odds, minimum_value, bets AS validation_bets, round(roi, 6) AS validation_roi, round(lower, 6) AS validation_lower, locked_bets, round(coalesce(locked_roi, 0), 6) AS locked_roi, round(coalesce(locked_lower, -1), 6) AS locked_lower FROM q
+""")
+def q_policy_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the policy chosen on the validation days holds on the locked ones: one row."""
+    out = P.gate(selections(spark, sf))
+    return out.withColumns({c: F.round(c, 6) for c in ("validation_roi", "validation_lower", "locked_roi", "locked_lower")})
+
+
 @query(f"""
 WITH {S}, t AS (SELECT day, id % 2 AS sport, sum(CASE WHEN won THEN odds - 1 ELSE -1 END * (1 + id % 3)) AS gain, sum(1 + id % 3) AS stake FROM s WHERE value >= 0.05 GROUP BY 1, 2),
 u AS MATERIALIZED (SELECT draw, gain, stake, {uniform_sql("day || '-' || sport", "draw", 20260713)} AS u FROM t CROSS JOIN range(1, 2001) r(draw)), w AS (SELECT *, {weight_sql("u")} AS w FROM u),
