@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..registry import query, table
 from ..sources import html as H
 from ..sources import pools as P
+from ..sources import texts as X
+from .scalars import DRAW_SQL, draws
 
 
 @query("""
@@ -120,3 +122,51 @@ def q_corner_results(spark: SparkSession, sf: str) -> DataFrame:
     match = F.struct(F.col("l_orderkey").cast("string").alias("id"), F.lit("2026-07-01T12:00:00Z").alias("kickOffTime"), F.col("results"))
     payloads = l.groupBy("l_orderkey").agg(ordered.alias("results")).select(F.to_json(F.struct(F.struct(F.array(match).alias("matches")).alias("data"))).alias("payload"))
     return P.corner_results(payloads).select("match_id", "home", "away")
+
+
+@query(f"""
+WITH d AS ({DRAW_SQL}) SELECT draw_id::VARCHAR AS draw_number, o_orderdate::DATE AS draw_date, list_sum(numbers)::BIGINT AS total, (draw_id % 50)::INT AS special, CASE WHEN draw_id % 3 = 2 THEN 0 ELSE (o_custkey % 1000)::DOUBLE END AS turnover
+FROM d JOIN orders ON o_orderkey = draw_id WHERE len(numbers) = 6 AND draw_id > 0
+""")
+def q_draw_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Draws as flat, nested and loosely typed JSON, read back."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw_id"), F.col("o_orderdate").cast("date").alias("day"), (F.col("o_custkey") % 1000).alias("money"))
+    d, i = draws(spark, sf).join(o, "draw_id"), F.col("draw_id")
+    flat = F.to_json(F.struct(i.cast("string").alias("drawNumber"), F.date_format("day", "dd/MM/yyyy").alias("drawDate"), F.col("numbers"), (i % 50).alias("specialNumber"), F.col("money").alias("totalTurnover")))
+    result = F.struct(F.transform("numbers", lambda n: n.cast("string")).alias("drawnNo"), (i % 50).cast("string").alias("xDrawnNo"))
+    nested = F.to_json(F.struct(i.cast("string").alias("id"), F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("+08:00")).alias("drawDate"), result.alias("drawResult"), F.struct(F.col("money").cast("string").alias("totalInvestment")).alias("lotteryPool")))
+    loose = F.to_json(F.struct(i.alias("DrawNo"), F.date_format("day", "yyyyMMdd").alias("date"), F.array_join(F.transform("numbers", lambda n: n.cast("string")), " + ").alias("Numbers"), (i % 50).alias("extraNumber")))
+    got = X.draw_payloads(d.where("draw_id > 0").select(F.when(i % 3 == 0, flat).when(i % 3 == 1, nested).otherwise(loose).alias("payload")))
+    return got.select("draw_number", "draw_date", F.aggregate("numbers", F.lit(0).cast("long"), lambda a, n: a + n).alias("total"), "special", "turnover")
+
+
+@query("""
+SELECT o_orderdate::DATE AS day, 'Team "' || o_orderkey || '"' AS home_team, 'é' || o_custkey AS away_team, o_orderkey % 40 / 10.0::DOUBLE AS home_xg, (o_orderkey % 20)::INT AS home_shots, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_custkey % 9)::INT END AS away_deep
+FROM orders WHERE o_orderkey % 10 > 0
+""")
+def q_shot_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as matches in a page's script, escaped as scripts escape JSON; a tenth without a readable date."""
+    i, k = F.col("o_orderkey"), F.col("o_custkey")
+    home = F.struct(F.concat(F.lit('Team "'), i, F.lit('"')).alias("title"), (i % 40 / 10.0).cast("string").alias("xG"), (i % 20).alias("shots"))
+    away = F.struct(F.concat(F.lit("é"), k).alias("title"), F.when(i % 3 > 0, k % 9).alias("deep"))
+    text = F.to_json(F.array(F.struct(F.when(i % 10 > 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise("soon").alias("date"), home.alias("h"), away.alias("a"))))
+    text = F.replace(F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\x5C")), F.lit('"'), F.lit("\\x22")), F.lit("{"), F.lit("\\x7B")), F.lit("}"), F.lit("\\x7D"))
+    pages = table(spark, sf, "orders").select(F.concat(F.lit("<html><script>var m = JSON.parse('"), text, F.lit("');</script></html>")).alias("html"))
+    return X.shot_records(pages).select(F.col("date").cast("date").alias("day"), "home_team", "away_team", "home_xg", "home_shots", "away_deep")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, c_name AS team, c_custkey % 4 AS s, c_custkey % 3 AS d, c_custkey % 5 AS a FROM customer)
+SELECT k, team, s::INT AS suspended, d::INT AS doubtful, a::INT AS absent FROM c UNION ALL SELECT k, team || ' B', 0, 0, 1 FROM c WHERE k % 2 = 0
+""")
+def q_absences(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as teams with notes of who cannot play, some twice, of which the last counts."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    players = lambda n: F.when(n == 0, "／").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.concat(F.lit("P"), i)), "、"))
+    heading = lambda s, d, a: F.concat(F.lit(f"{X.SUSPENDED}："), players(s), F.lit(f"<br>{X.DOUBTFUL}："), players(d), F.lit(f"<br/>{X.ABSENT}："), players(a))
+    old = F.when(k % 7 == 0, F.concat(F.lit("<div>"), name, F.lit("</div>"), heading(F.lit(3), F.lit(3), F.lit(3)))).otherwise("")
+    new = F.concat(F.lit("<div>"), name, F.lit("</div>"), heading(k % 4, k % 3, F.greatest(k % 5, F.lit(0))))
+    second = F.when(k % 2 == 0, F.concat(F.lit("<p>"), name, F.lit(f" B</p>{X.ABSENT}：Q"))).otherwise("")
+    pages = table(spark, sf, "customer").select(k.alias("k"), F.concat(F.lit(f"<h1>{X.NOTES}</h1>"), old, new, second).alias("html"))
+    got = X.absences(pages, keep=("k",))
+    return got.select("k", "team", *[F.size(c).alias(c) for c in ("suspended", "doubtful", "absent")])
