@@ -83,13 +83,18 @@ def usable_pair(over: Column, under: Column) -> Column:
     return F.coalesce(ok & (1 / over + 1 / under >= 1 - 1e-9), F.lit(False))
 
 
+def shares(*odds: Column) -> list[Column]:
+    """The reciprocals as shares of their sum, whatever the prices."""
+    total = sum((1 / o for o in odds[1:]), 1 / odds[0])
+    return [(1 / o) / total for o in odds]
+
+
 def fair(*odds: Column) -> list[Column]:
     """Probabilities without the margin, in proportion to the reciprocals; null unless all prices exceed 1."""
-    total = sum((1 / o for o in odds[1:]), 1 / odds[0])
     ok = odds[0] > 1
     for o in odds[1:]:
         ok = ok & (o > 1)
-    return [F.when(ok, (1 / o) / total) for o in odds]
+    return [F.when(ok, p) for p in shares(*odds)]
 
 
 def expected_value(p: Column, odds: Column) -> Column:
