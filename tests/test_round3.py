@@ -9,3 +9,10 @@ def test_two_way_prices_of_one_and_none(spark, tmp_path):
     assert got[1] == (0.962963, 0.037037, 1.038462, False)
     assert got[2] == (None, None, None, None)
     assert got[3][3] is True
+
+
+def test_a_book_of_exactly_one_is_not_over_full(spark, tmp_path):
+    rows = [(7, q, 0.05) for q in (1.0, 44.0, 2.0, 8.0, 29.0)] + [(8, 0.5, 0.05), (8, 1.0, 0.05)]  # 1/2 + 1/45 + 1/3 + 1/9 + 1/30; 2/3 + 1/2
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.race: (r.book, r.violations) for r in QUERIES["q_contract_violations"](spark, str(tmp_path)).collect()}
+    assert got == {7: (1.0, ""), 8: (1.166667, "over full")}

@@ -112,8 +112,9 @@ def q_daily_ratio(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT l_orderkey AS race, sum(1 / (1 + l_quantity)) AS book, count(*) AS n, max(l_discount) AS most FROM lineitem GROUP BY 1)
 SELECT race, n, round(book, 6) AS book, array_to_string(list_filter([CASE WHEN n < 2 THEN 'too few' END, CASE WHEN book > 1 THEN 'over full' END, CASE WHEN most > 0.09 THEN 'odd price' END], lambda x: x IS NOT NULL), ',') AS violations FROM r""")
 def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A book of exactly 1 is full, not over full, in whatever order its shares are added up."""
     r = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("race")).agg(F.sum(1 / (1 + F.col("l_quantity"))).alias("book"), F.count("*").alias("n"), F.max("l_discount").alias("most"))
-    found = F.array_compact(F.array(F.when(F.col("n") < 2, "too few"), F.when(F.col("book") > 1, "over full"), F.when(F.col("most") > 0.09, "odd price")))
+    found = F.array_compact(F.array(F.when(F.col("n") < 2, "too few"), F.when(F.round("book", 12) > 1, "over full"), F.when(F.col("most") > 0.09, "odd price")))
     return r.select("race", "n", F.round("book", 6).alias("book"), F.array_join(found, ",").alias("violations"))
 
 
