@@ -194,10 +194,10 @@ def dated_draws(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def q_number_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Every draw from the hundredth on as nine models, weighed by their past, would have guessed it."""
-    return numbers.backtest(numbers.scored(dated_draws(spark, sf)))
+    return numbers.tested(dated_draws(spark, sf))
 
 
 @query()
 def q_backtest_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The same with weights that stay: one row."""
-    return numbers.summary(numbers.backtest(numbers.scored(dated_draws(spark, sf)), correcting=False))
+    return numbers.summary(numbers.tested(dated_draws(spark, sf), correcting=False))
