@@ -1,5 +1,8 @@
 """Rows that the supplied tables hold seldom or not at all."""
 
+from pyspark.sql import functions as F
+
+from tideline.operators import joins
 from tideline.queries import QUERIES
 
 
@@ -16,3 +19,18 @@ def test_a_book_of_exactly_one_is_not_over_full(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.race: (r.book, r.violations) for r in QUERIES["q_contract_violations"](spark, str(tmp_path)).collect()}
     assert got == {7: (1.0, ""), 8: (1.166667, "over full")}
+
+
+def test_rows_of_a_day_make_no_pairs(spark):
+    left = [(i, i % 3, 10 + i % 4) for i in range(60)]
+    right = [(i % 3, 10 + i % 5, None if i % 7 == 0 else float(i)) for i in range(0, 60, 2) if i % 5 != 1]
+    l, r = spark.createDataFrame(left, "id long, k long, d long"), spark.createDataFrame(right, "k long, d long, v double")
+    out = joins.by_shift(l, r, ["k"], "id", F.col("d"), F.col("d"), F.col("v"))
+    want = {}
+    for i, k, d in left:
+        cells = [[v for k2, d2, v in right if (k2, d2) == (k, d + s)] for s in (0, -1, 1)]
+        cell = next((c for c in cells if c), [])
+        want[i] = min((v for v in cell if v is not None), default=None)
+    assert {x.id: x.value for x in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") >= 3  # both sides are one row a key and day before they meet

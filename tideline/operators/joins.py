@@ -7,6 +7,8 @@ a large share of all rows is thus spread over its days.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,11 +136,48 @@ def only_candidate(left: DataFrame, right: DataFrame, keys: list[str], left_id:
 
 
 def by_shift(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_day: Column, right_day: Column, value: Column, shifts: tuple[int, ...] = (0, -1, 1)) -> DataFrame:
-    """left_id and right's value at the first shift in days that has one; of several the smallest."""
-    tries = F.array(*[F.struct(F.lit(i).alias("rank"), (left_day + s).alias("day")) for i, s in enumerate(shifts)])
-    asked = left.select(*keys, left_id, F.explode(tries).alias("__s")).select(*keys, left_id, "__s.rank", F.col("__s.day").alias("__d"))
-    found = asked.join(right.select(*keys, right_day.alias("__d"), value.alias("__v")), [*keys, "__d"])
-    return left.select(left_id).join(found.groupBy(left_id).agg(F.min(F.struct("rank", "__v")).alias("b")).select(left_id, F.col("b.__v").alias("value")), left_id, "left")
+    """left_id and right's value at the first shift in days that has one; of several the smallest.
+
+    Rows of a key and day ask and answer as one, so that many rows a day make no pairs.
+    """
+    right = right.select(*keys, right_day.alias("__d"), value.alias("__v")).groupBy(*keys, "__d").agg(F.min("__v").alias("__v"))
+    left = left.select(*keys, left_id, left_day.alias("__at"))
+    tries = F.array(*[F.struct(F.lit(i).alias("rank"), (F.col("__at") + s).alias("day")) for i, s in enumerate(shifts)])
+    asked = left.select(*keys, "__at").distinct().select(*keys, "__at", F.explode(tries).alias("__s")).select(*keys, "__at", "__s.rank", F.col("__s.day").alias("__d"))
+    found = asked.join(right, [*keys, "__d"]).groupBy(*keys, "__at").agg(F.min(F.struct("rank", "__v")).alias("b")).select(*keys, "__at", F.col("b.__v").alias("value"))
+    return left.join(found, [*keys, "__at"], "left").select(left_id, "value")
+
+
+def lag_correlations(rows: DataFrame, at: str, value: str, lags: range, block: int = 4096) -> DataFrame:
+    """lag, r, n: the correlation of a whole-numbered value with the one so many steps of `at` later, over the n pairs there are.
+
+    Rows of equal `at` are added up first; a block of steps comes with the first steps of the next, and works out the sums of
+    all lags, which are whole numbers and exact. Lags reach no further than a block.
+    """
+    if max(lags) > block:
+        raise ValueError("a lag reaches no further than a block")
+    x, own = F.col(value).cast("long"), F.floor(F.col(at) / block).cast("long")
+    steps = rows.where(F.col(at).isNotNull()).groupBy(at).agg(F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0)).alias("x"), F.coalesce(F.sum(x * x), F.lit(0)).alias("xx"), F.count("*").alias("all"))
+    near = F.when(F.pmod(F.col(at), F.lit(block)) < max(lags), F.array(own, own - 1)).otherwise(F.array(own))
+    placed = steps.select(F.explode(near).alias("block"), F.col(at).alias("at"), "n", "x", "xx", "all")
+    names = ["lag", "all", "n", "a", "b", "aa", "bb", "ab"]
+
+    def add(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros((4, block + max(lags)), dtype=np.int64)
+        held[:, g["at"].to_numpy() - key[0] * block] = g[["n", "x", "xx", "all"]].to_numpy().T
+        (n, x, xx, every), out = held[:, :block], []
+        for lag in lags:
+            m, y, yy, others = held[:, lag : lag + block]
+            out.append((lag, int(every @ others), int(n @ m), int(x @ m), int(n @ y), int(xx @ m), int(n @ yy), int(x @ y)))
+        return pd.DataFrame(out, columns=names)
+
+    sums = placed.groupBy("block").applyInPandas(add, ", ".join(f"{c} long" for c in names)).groupBy("lag").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names[1:]])
+    total = {c: F.col(c).cast("double") for c in names[1:]}
+    n = total["n"]
+    spread = lambda p, q, pq: total[pq] / n - total[p] / n * (total[q] / n)
+    wide = F.sqrt(spread("a", "a", "aa") * spread("b", "b", "bb"))
+    r = F.when((F.col("n") > 1) & (wide > 0), spread("a", "b", "ab") / wide)
+    return sums.where(F.col("all") > 0).select(F.col("lag").cast("int").alias("lag"), r.alias("r"), F.col("all").cast("long").alias("n"))
 
 
 def resolved(names: DataFrame, known: DataFrame, least: float = 0.5) -> DataFrame:
