@@ -1,5 +1,6 @@
 """Rows that the supplied tables hold seldom or not at all."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tideline.operators import joins
@@ -34,3 +35,13 @@ def test_rows_of_a_day_make_no_pairs(spark):
     assert {x.id: x.value for x in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") >= 3  # both sides are one row a key and day before they meet
+
+
+def test_lag_correlations_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    at = np.sort(rng.integers(-40, 200, 180))  # gaps and steps that come twice
+    x = rng.integers(6, 280, 180)
+    got = {r.lag: r for r in joins.lag_correlations(spark.createDataFrame([(int(a), int(b)) for a, b in zip(at, x, strict=True)], "at long, x long"), "at", "x", range(3, 31), block=32).collect()}
+    for lag in range(3, 31):
+        pairs = np.array([(x[i], x[j]) for i in range(180) for j in range(180) if at[j] == at[i] + lag])
+        assert got[lag].n == len(pairs) and abs(got[lag].r - np.corrcoef(pairs.T)[0, 1]) < 1e-9

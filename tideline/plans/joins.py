@@ -172,9 +172,8 @@ WITH {DRAW_SQL.replace('SELECT', 'd AS (SELECT', 1)}), s AS (SELECT draw_id, lis
 SELECT k::INT AS lag, round(corr(a.s, b.s), 6) AS r, count(*) AS n FROM s a CROSS JOIN range(3, 31) t(k) JOIN s b ON b.draw_id = a.draw_id + k GROUP BY 1
 """)
 def q_lag_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    s = draws(spark, sf).select("draw_id", F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x).alias("s"))
-    ahead = s.select(F.explode(F.sequence(F.lit(3), F.lit(30))).alias("lag"), "draw_id", F.col("s").alias("a")).withColumn("draw_id", F.col("draw_id") + F.col("lag"))
-    return ahead.join(s, "draw_id").groupBy("lag").agg(F.round(F.corr("a", "s"), 6).alias("r"), F.count("*").alias("n"))
+    s = draws(spark, sf).select("draw_id", F.aggregate("numbers", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+    return J.lag_correlations(s, "draw_id", "s", range(3, 31)).withColumn("r", F.round("r", 6))
 
 
 @query("""
