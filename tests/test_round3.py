@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import joins
 from tideline.queries import QUERIES
+from tideline.sources import readers
 
 
 def test_two_way_prices_of_one_and_none(spark, tmp_path):
@@ -45,3 +46,11 @@ def test_lag_correlations_over_blocks(spark):
     for lag in range(3, 31):
         pairs = np.array([(x[i], x[j]) for i in range(180) for j in range(180) if at[j] == at[i] + lag])
         assert got[lag].n == len(pairs) and abs(got[lag].r - np.corrcoef(pairs.T)[0, 1]) < 1e-9
+
+
+def test_lines_of_files_are_read_once_and_meet_their_heads_without_a_shuffle(spark):
+    lines = spark.createDataFrame([("E0_2425.csv", 0, "Div,HC"), ("E0_2425.csv", 1, "E0,4")], "file string, at long, value string")
+    rows = readers.season_files(lines).where("HC > 3 and Div = 'E0' and HC < 9")
+    assert [tuple(r) for r in rows.collect()] == [("E0", "4", "E0", "2024/25")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "broadcast" in plan.lower()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Heads are broadcast only after they have been counted.
+BROADCAST_FILES = 10_000
+
 PAYLOAD = "array<struct<id:string,pools:array<struct<type:string,lines:array<struct<line:string,status:string,combos:array<struct<side:string,odds:string>>>>>>>>"
 
 
@@ -22,7 +25,7 @@ def ragged_lines(lines: DataFrame) -> DataFrame:
     rows without anything but blanks go. Values do not span lines.
     """
     lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where("value is not null")
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first")).persist()  # a row a file
     plain = F.regexp_replace("head", '"[^"]*"', "")
     heads = heads.withColumn("width", F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit(""))) + 1)
     widest = heads.agg(F.max("width")).first()[0]
@@ -35,13 +38,16 @@ def ragged_lines(lines: DataFrame) -> DataFrame:
     heads = heads.select("file", "first", "width", cells("head").alias("r")).select("file", "first", names.alias("names"))
     seen = lambda n, i: F.size(F.filter(F.slice("names", F.lit(1), i), lambda x: x == n))
     unique = F.transform("names", lambda n, i: F.when(seen(n, i) > 0, F.concat_ws(".", n, seen(n, i).cast("string"))).otherwise(n))
-    heads = heads.select("file", "first", unique.alias("names"))
+    heads = heads.select("file", "first", unique.alias("names")).persist()
     # one row a column of any file
     known = heads.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").collect()
+    if heads.count() <= BROADCAST_FILES:  # else a file's lines meet its head where they lie, which makes a task of a large file
+        heads = F.broadcast(heads)
     rows = lines.join(heads, "file").where((F.col("at") != F.col("first")) & (F.regexp_replace("value", r'[,"\s]', "") != ""))
     values = F.transform("names", lambda n, i: F.get("cells", i))
     rows = rows.select("file", "names", cells("value").alias("r")).select("file", "names", listed("r").alias("cells"))
-    rows = rows.select("file", F.map_from_arrays("names", values).alias("m"))
+    # an explode of one: what is asked of the columns later is not asked before it, which would read a line anew for each cell
+    rows = rows.select("file", F.explode(F.array(F.map_from_arrays("names", values))).alias("m"))
     return rows.select("file", *[F.try_element_at("m", F.lit(k.name)).alias(k.name) for k in known])
 
 
