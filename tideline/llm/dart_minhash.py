@@ -9,15 +9,18 @@ the signature, and two documents agree in a coordinate with probability their we
 similarity. A document with an empty coordinate throws again, twice as far.
 
 Documents with the same words are one node. Nodes whose signatures agree in a band of coordinates
-share a bucket. Classes grow in three turns. In each, every class sends one representative, another
+share a bucket. Classes grow in three turns. In the first two, every class sends one representative, another
 one a turn, to each bucket that it shares with others; there it is verified, by the exact weighted
 Jaccard similarity of the shingles (their 64-bit hashes), against the bucket's pivots of other classes:
 one in the first turn, where classes are single nodes and the node of the smallest hash is the pivot,
-which many buckets of a group share; about 4 and 8 drawn nodes, hence whole small buckets, in the others. Links become larger classes by
-alternating large and small stars. So a text costs some 13 comparisons a bucket at most, however large
-its group is; no pairs of a bucket are enumerated, and no task sees a bucket. What this leaves out: a
-link between two classes that none of their representatives and pivots showed (see the README for the
-share that was measured). Nothing else is dropped: every text is in all its buckets, in every turn.
+which many buckets of a group share; about 4 drawn nodes in the second. Links become larger classes by
+alternating large and small stars. This joins nearly all of a large group at little cost. The third turn
+is exact: in buckets that still hold several classes it looks at all pairs of different ones. A node has a sketch there,
+as many bits as it has regions or up to twice as many, each the parity of the regions that fall on it. Every region that
+only one of two nodes has turns one bit at most, so the bits that differ are a lower bound of those regions, and a
+pair whose bound is beyond what the similarity allows is no link; the others are verified as before. Large buckets are
+dealt out by pairs of their chunks, so no task sees more than two chunks. So the classes are the components of all links
+between nodes that share a bucket: none is left out. The last turn is quadratic in what remains unlinked of a bucket.
 
 Defined cases: words are runs of non-space characters, lower-cased; a text of one to four words is
 one shingle; a null, empty or blank text is a class of its own; rows that repeat an id or a text
@@ -39,16 +42,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, spool, unlink
+from .common import few_rows, small, spool, unlink
 
 #: Words of a shingle; similarity of a link; bands and coordinates of each (of pairs at 0.8, 0.997 meet, at 0.85 all but 1 in 20,000).
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 32, 8
 
-#: Pivots of a bucket in each turn.
-PIVOTS = (1, 4, 8)
+#: Pivots of a bucket in each turn before the exact one.
+PIVOTS = (1, 4)
 
-#: Bytes of text that are signed at a time; words whose hashes a task remembers.
-STEP_BYTES, KNOWN = 1 << 19, 200_000
+#: Nodes of a bucket's chunk; words of sketches that are compared at a time.
+CHUNK, AT_ONCE = 1024, 1 << 19
+
+#: Bytes of text that are signed at a time; words whose hashes a task remembers; rows with texts or regions that come to Python at a time.
+STEP_BYTES, KNOWN, ROWS_AT_ONCE = 1 << 19, 100_000, 500
 
 SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("md5", pa.string()), ("digest", pa.binary()), ("regions", pa.binary()), ("bands", pa.list_(pa.int64()))])
 SIGNED_DDL = "row long, doc_id long, md5 string, digest binary, regions binary, bands array<long>"
@@ -179,6 +185,84 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(j, pa.float64())], ["x", "y", "j"])
 
 
+def sketch(region: np.ndarray) -> np.ndarray:
+    """The parities of regions by their last bits, as words: as many bits as regions, or up to twice as many, 64 at least."""
+    bits = 1 << max(6, (len(region) - 1).bit_length())
+    odd = np.bincount((region & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("regions")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
+
+
+def possible(root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i, j of all pairs of different roots that sizes and sketches let be similar; n: the regions' number."""
+    words, off = np.array([len(x) for x in sketches]), (1 - similar) / (1 + similar)
+    for size in np.unique(words).tolist():
+        mine, wider = np.flatnonzero(words == size), np.flatnonzero(words == 2 * size)
+        rest = np.concatenate([mine, wider])
+        right = np.stack([sketches[j] if words[j] == size else sketches[j][:size] ^ sketches[j][size:] for j in rest])
+        step = max(1, AT_ONCE // (len(rest) * size))
+        for low in range(0, len(mine), step):
+            some = mine[low : low + step]
+            both = n[some][:, None] + n[rest][None]
+            near = (root[some][:, None] != root[rest][None]) & (np.minimum(n[some][:, None], n[rest][None]) * (1 + 1e-9) >= similar * np.maximum(n[some][:, None], n[rest][None]))
+            near[:, : len(mine)] &= np.arange(len(mine))[None] > np.arange(low, low + len(some))[:, None]
+            i, j = np.nonzero(near)
+            for part in range(0, len(i), step * len(rest)):
+                a, b = i[part : part + step * len(rest)], j[part : part + step * len(rest)]
+                differ = np.bitwise_count(right[low + a] ^ right[b]).sum(axis=1, dtype=np.int64)
+                held = differ <= both[a, b] * off * (1 + 1e-9)
+                yield some[a[held]], rest[b[held]]
+
+
+def _rest(similar: float):
+    """From rows part, node, root, n, sketch, which lie together by part, to the pairs a, b of a part that may be links, and their roots x, y."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        part, node, root, n = (rows.column(c).to_numpy() for c in ("part", "node", "root", "n"))
+        sketches = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for chunk in rows.column("sketch").chunks for x in chunk]
+        edges = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            for i, j in possible(root[start:stop], n[start:stop], sketches[start:stop], similar):
+                i, j = i + start, j + start
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], root[i], root[j])], ["a", "b", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last part so far, which the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
+            part = rows.column("part").to_numpy()
+            last = int(np.searchsorted(part, part[-1]))
+            yield from pairs(rows.slice(0, last)) if last else ()
+            held = rows.slice(last)
+        if held is not None:
+            yield from pairs(held)
+
+    return run
+
+
+def remaining(members: DataFrame, arrays: DataFrame, similar: float) -> DataFrame:
+    """a, b, x, y: all pairs of nodes of different classes that share a bucket, but those whose sketches rule a link out. members: key, node, root."""
+    sketched = arrays.join(members.select("node").distinct(), "node", "left_semi").select("node", "regions").mapInArrow(_sketches, "node long, n long, sketch binary")
+    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("m"))
+    mine = F.pmod(F.xxhash64("node"), F.col("m"))
+    others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda d: (F.col("m") == 1) | (d != mine))
+    part = F.transform(others, lambda d: F.xxhash64("key", F.least(mine, d), F.greatest(mine, d)))
+    dealt = members.join(chunks, "key").select("node", "root", F.explode(part).alias("part")).join(sketched, "node")
+    dealt = dealt.select("part", "node", "root", "n", "sketch").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_rest(similar), "a long, b long, x long, y long").distinct()
+
+
 def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """x, y, j: the exact similarity of the nodes a, b of each pair, with the classes x, y that the pair has. arrays: node, regions."""
     joined = pairs.join(arrays.select(F.col("node").alias("a"), F.col("regions").alias("left")), "a")
@@ -201,24 +285,26 @@ def asked(members: DataFrame, turn: int, pivots: int) -> DataFrame:
 
 
 def linked(keyed: DataFrame, arrays: DataFrame, similar: float = SIMILAR, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
-    """node, root of every node that shares a bucket; root names its class. keyed: key, node; arrays: node, regions."""
+    """node, root of every node that shares a bucket; root names its class: the component of all links. keyed: key, node; arrays: node, regions."""
     spark = keyed.sparkSession
     several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = spool(keyed.join(several, "key", "left_semi"), "buckets")
     roots = spool(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
     held = spool(arrays.join(roots.select("node"), "node", "left_semi"), "held")
-    for turn, most in enumerate(pivots):
+    for turn, most in enumerate([*pivots, None]):
         named = members.join(roots, "node")
         mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         open_ = spool(named.join(mixed, "key", "left_semi").select("key", "node", "root"), "open")
-        pairs = spool(asked(open_, turn, most), "asked")
-        links = spool(verify(pairs, held).where(F.col("j") >= similar).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+        with few_rows(spark, ROWS_AT_ONCE):
+            pairs = spool(asked(open_, turn, most) if most else remaining(open_, held, similar), "asked")
+            links = spool(verify(pairs, held).where(F.col("j") >= similar).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
         joined = stars(links)
         now = spool(roots.join(joined.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
         for done in (members, roots, pairs, links):
             unlink(spark, done)
         members, roots = open_.select("key", "node"), now
     unlink(spark, held)
+    unlink(spark, open_)
     return roots
 
 
@@ -248,7 +334,8 @@ def stars(links: DataFrame) -> DataFrame:
 def classes(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """row, doc_id, md5, class_id, class_size, is_kept of every document; md5 is that of its text."""
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.md5("text").alias("md5"), "text")
-    signed = spool(rows.mapInArrow(_sign, SIGNED_DDL), "signed")
+    with few_rows(documents.sparkSession, ROWS_AT_ONCE):
+        signed = spool(rows.mapInArrow(_sign, SIGNED_DDL), "signed")
     # one node for each sequence of words: the smallest row that has it
     named = signed.where("digest is not null")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
