@@ -27,3 +27,10 @@ def test_guesses_by_blocks_are_those_in_order(spark, correcting, n):
     if correcting:  # the last weights have settled, and so the last draws came by blocks
         now = N.WEIGHTS | {m: want[n - 1][f"w_{m}"] for m in N.MODELS[:4]}
         assert N.corrected(now) == now
+
+
+def test_the_backtest_hands_on_no_row_of_chances(spark):
+    draws = frame(spark, 700)
+    for in_order in (512, 1 << 14):
+        plan = N.tested(draws, size=512, in_order=in_order)._jdf.queryExecution().optimizedPlan().toString()
+        assert "markov#" not in plan.replace("w_markov#", "")

@@ -12,6 +12,7 @@ A draw has an index (numbered()), up to six distinct numbers of 1 to 49, a weekd
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -51,16 +52,21 @@ def numbered(draws: DataFrame, order: str, parts: int = 1000) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("__r", before.alias("__b"))), "__r").withColumn("i", (F.col("__b") + place - 1).cast("long")).drop("__r", "__b")
 
 
-def _marks(numbers: list) -> np.ndarray:
-    out = np.zeros((len(numbers), NUMBERS))
-    if len(numbers):
-        out[np.repeat(np.arange(len(numbers)), [len(x) for x in numbers]), np.concatenate(numbers).astype(int) - 1] = 1
-    return out
+def compact(draws: DataFrame) -> DataFrame:
+    """i, mask, dated, turnover of draws: a draw's numbers as the bits of one long."""
+    if "mask" in draws.columns:
+        return draws
+    mask = F.aggregate("numbers", F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (n - 1).cast("int"))))
+    return draws.select("i", mask.alias("mask"), F.col("weekday").isNotNull().alias("dated"), F.coalesce(F.col("turnover").cast("double"), F.lit(0.0)).alias("turnover"))
+
+
+def _marks(masks: pd.Series) -> np.ndarray:
+    return (masks.to_numpy(dtype=np.int64)[:, None] >> np.arange(NUMBERS) & 1).astype(float)
 
 
 def _added(g: pd.DataFrame, block: int, size: int, centre: float) -> np.ndarray:
     """What a block's own draws add to the sums, seen with the draws before them."""
-    marks, own = _marks(list(g["numbers"])), (g["i"] >= block * size).to_numpy()
+    marks, own = _marks(g["mask"]), (g["i"] >= block * size).to_numpy()
     first = int(np.argmax(own))
     out = np.zeros(AT[-1])
     out[AT[0] : AT[1]] = marks[first:].sum(axis=0)
@@ -146,25 +152,29 @@ def by_structure(base: np.ndarray, kinds: np.ndarray) -> tuple[list[int], int]:
 
 
 def _known(draws: DataFrame, size: int) -> tuple[DataFrame, DataFrame, float]:
-    """The draws with their block, also those that the next block looks back to; what was known when each block began; the mean turnover."""
-    d = draws.select("i", "numbers", F.col("weekday").isNotNull().alias("dated"), F.coalesce(F.col("turnover").cast("double"), F.lit(0.0)).alias("turnover"))
-    centre = d.where("turnover > 0").agg(F.avg("turnover")).first()[0] or 0.0
+    """The draws with their block, also those that the next block looks back to; what was known when each block began; the mean turnover.
+
+    Blocks are dealt out over as many tasks as there are blocks: they are few rows, but much work.
+    """
+    d = compact(draws)
+    mean, most = d.agg(F.avg(F.when(F.col("turnover") > 0, F.col("turnover"))), F.max("i")).first()
+    centre, tasks = mean or 0.0, min((most or 0) // size + 1, 4096)
     block = F.floor(F.col("i") / size).cast("long")
     # a draw belongs to its block, and to the next one if it is among the last before it
     near = F.when(F.col("i") % size >= size - STRUCTURE, F.array(block, block + 1)).otherwise(F.array(block))
-    placed = d.withColumn("block", F.explode(near))
+    placed = d.withColumn("block", F.explode(near)).repartition(tasks, "block")
 
     def add(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("i")
         if not (g["i"] >= key[0] * size).any():
             return pd.DataFrame({"block": [], "at": [], "x": [], "seen": []})
-        last = np.where(_marks(list(g["numbers"])) > 0, g["i"].to_numpy()[:, None], -1).max(axis=0)
+        last = np.where(_marks(g["mask"]) > 0, g["i"].to_numpy()[:, None], -1).max(axis=0)
         sums = _added(g, key[0], size, centre)
         return pd.DataFrame({"block": key[0], "at": np.arange(AT[-1] + NUMBERS), "x": np.concatenate([sums, np.zeros(NUMBERS)]), "seen": np.concatenate([np.full(AT[-1], -1), last])})
 
     added = placed.groupBy("block").applyInPandas(add, "block long, at long, x double, seen long")  # some thousands of rows a block
     run = Window.partitionBy("at").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = added.select("block", "at", F.coalesce(F.sum("x").over(run), F.lit(0.0)).alias("x"), F.coalesce(F.max("seen").over(run), F.lit(-1)).alias("seen")).where("x <> 0 or seen >= 0")
+    before = added.select("block", "at", F.coalesce(F.sum("x").over(run), F.lit(0.0)).alias("x"), F.coalesce(F.max("seen").over(run), F.lit(-1)).alias("seen")).where("x <> 0 or seen >= 0").repartition(tasks, "block")
     return placed, before, centre
 
 
@@ -183,9 +193,9 @@ def scored(draws: DataFrame, least: int = LEAST, size: int = BLOCK) -> DataFrame
         small = start["at"] < AT[-1]
         sums[start["at"][small].to_numpy(dtype=int)] = start["x"][small]
         seen[start["at"][~small].to_numpy(dtype=int) - AT[-1]] = start["seen"][~small]
-        marks, index = _marks(list(g["numbers"])), g["i"].to_numpy()
+        marks, index = _marks(g["mask"]), g["i"].to_numpy()
         kinds = structures(marks)
-        dated, turnover, numbers = g["dated"].to_numpy(dtype=bool), g["turnover"].to_numpy(dtype=float), list(g["numbers"])
+        dated, turnover, numbers = g["dated"].to_numpy(dtype=bool), g["turnover"].to_numpy(dtype=float), [np.flatnonzero(m) + 1 for m in marks]
         out = []
         for k in range(int(np.argmax(index >= key[0] * size)) if (index >= key[0] * size).any() else len(g), len(g)):
             n = int(index[k])
@@ -297,7 +307,7 @@ def guessed(draws: DataFrame, weights: dict[str, float], least: int = LEAST, siz
         small = start["at"] < AT[-1]
         sums[start["at"][small].to_numpy(dtype=int)] = start["x"][small]
         seen[start["at"][~small].to_numpy(dtype=int) - AT[-1]] = start["seen"][~small]
-        marks, dated, turnover = _marks(list(g["numbers"])), g["dated"].to_numpy(dtype=bool), g["turnover"].to_numpy(dtype=float)
+        marks, dated, turnover = _marks(g["mask"]), g["dated"].to_numpy(dtype=bool), g["turnover"].to_numpy(dtype=float)
         rolling, out = 0.0, []
         begin = int(np.argmax(index >= key[0] * size))
         if begin == 0 and len(g):  # nothing lies before the first draw of all, from which none is guessed
@@ -362,17 +372,60 @@ def rolled(rows: DataFrame, weights: dict[str, float], least: int = LEAST, size:
     return rows.select("i", "picks", "special", "confidence", "matches", "rolling", *[F.lit(weights[m]).alias(f"w_{m}") for m in MODELS[:4]])
 
 
+def streamed(draws: DataFrame, least: int = LEAST) -> DataFrame:
+    """backtest() of scored() draws, in one task that streams the draws, a bit mask each, and holds the sums and the last few hundred draws."""
+    rows = compact(draws)
+    centre = rows.where("turnover > 0").agg(F.avg("turnover")).first()[0] or 0.0
+    kept = max(RECENT, STRUCTURE)
+    names = ["i", "picks", "special", "confidence", "matches", "rolling", *[f"w_{m}" for m in MODELS[:4]]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, rolling, n, settled = dict(WEIGHTS), 0.0, 0, False
+        sums, seen, old = np.zeros(AT[-1]), np.full(NUMBERS, -1), None
+        for batch in batches:
+            begin = 0 if old is None else len(old)
+            g = batch if old is None else pd.concat([old, batch], ignore_index=True)
+            index, marks, dated, turnover = g["i"].to_numpy(), _marks(g["mask"]), g["dated"].to_numpy(dtype=bool), g["turnover"].to_numpy(dtype=float)
+            if old is None and len(g):
+                sums, seen = _after_first(sums, marks[0], turnover[0], centre), np.where(marks[0] > 0, index[0], seen)
+                begin = 1
+            out: list[tuple] = []
+            for low in range(begin, len(g), AT_ONCE):
+                own = slice(low, min(low + AT_ONCE, len(g)))
+                p, sums, seen = chances(index, own, sums, seen, marks, dated, turnover, centre)
+                last, k = marks[own.start - 1 : own.stop - 1] > 0, int(np.argmax(index[own] >= least)) if index[own.stop - 1] >= least else own.stop - low
+                while k < own.stop - low:  # once, and again after each correction
+                    first = k
+                    picks, special, confidence = picked_at_once(blended_at_once({m: x[first:] for m, x in p.items()}, w, last[first:]))
+                    matches = np.take_along_axis(marks[own][first:], picks - 1, axis=1).sum(axis=1).astype(int)
+                    moved = False
+                    while k < own.stop - low and not moved:
+                        j, before = k - first, rolling
+                        rolling = 0.3 * int(matches[j]) / 6 + 0.7 * rolling
+                        out.append((int(index[low + k]), picks[j].tolist(), int(special[j]), float(confidence[j]), int(matches[j]), rolling, *(w[m] for m in MODELS[:4])))
+                        if not settled and rolling < before - 0.05 and n > 10:
+                            now = corrected(w)
+                            settled, moved, w = now == w, now != w, now
+                        n, k = n + 1, k + 1
+            old = g.iloc[-kept:]
+            yield pd.DataFrame(out, columns=names)
+
+    schema = "i long, picks array<int>, special int, confidence double, matches int, rolling double, " + ", ".join(f"w_{m} double" for m in MODELS[:4])
+    return rows.withColumn("__all", F.lit(1)).repartition("__all").sortWithinPartitions("i").drop("__all").mapInPandas(run, schema)
+
+
 def tested(draws: DataFrame, correcting: bool = True, least: int = LEAST, size: int = LONG, in_order: int = IN_ORDER) -> DataFrame:
     """backtest() of scored() draws, without a row of chances a draw.
 
     correcting: draws go in order until the weights have settled (twice as many as long as they have not, all if need be);
     the others are guessed block by block.
     """
+    draws = compact(draws).persist()
     if not correcting:
         return rolled(guessed(draws, WEIGHTS, least, size), WEIGHTS, least, size)
     many, to = draws.count(), -(-max(in_order, 2 * least) // size) * size
     while to < many:
-        early = backtest(scored(draws.where(F.col("i") < to), least)).persist()
+        early = streamed(draws.where(F.col("i") < to), least).persist()
         w = early.where(F.col("i") == to - 1).first()
         now = WEIGHTS | {m: w[f"w_{m}"] for m in MODELS[:4]}
         if corrected(now) == now:
@@ -380,7 +433,7 @@ def tested(draws: DataFrame, correcting: bool = True, least: int = LEAST, size:
             return early.unionByName(rolled(guessed(draws, now, least, size, to // size).unionByName(told), now, least, size))
         early.unpersist()
         to *= 2
-    return backtest(scored(draws, least))
+    return streamed(draws, least)
 
 
 def backtest(scores: DataFrame, correcting: bool = True) -> DataFrame:

@@ -187,8 +187,8 @@ def q_conditional_logit(spark: SparkSession, sf: str) -> DataFrame:
 
 def dated_draws(spark: SparkSession, sf: str) -> DataFrame:
     """The draws in order, with the weekday and price of their order as day and turnover."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw_id"), F.weekday("o_orderdate").alias("weekday"), F.col("o_totalprice").alias("turnover"))
-    return numbers.numbered(draws(spark, sf).join(o, "draw_id"), "draw_id")
+    o = draws(spark, sf, weekday=F.weekday("o_orderdate"), turnover=F.col("o_totalprice"))
+    return numbers.numbered(o.where("draw_id is not null"), "draw_id")
 
 
 @query()
