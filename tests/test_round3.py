@@ -1,9 +1,10 @@
 """Rows that the supplied tables hold seldom or not at all."""
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators import joins
+from tideline.operators import joins, models
 from tideline.queries import QUERIES
 from tideline.sources import readers
 
@@ -54,3 +55,12 @@ def test_lines_of_files_are_read_once_and_meet_their_heads_without_a_shuffle(spa
     assert [tuple(r) for r in rows.collect()] == [("E0", "4", "E0", "2024/25")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "broadcast" in plan.lower()
+
+
+def test_windows_over_kept_groups_do_not_sort_again(spark):
+    rows = models.together(spark.range(1000).selectExpr("id % 50 AS race", "id * 1.0D AS x"), "race")
+    out = rows.withColumn("s", F.sum("x").over(Window.partitionBy("race"))).agg(F.sum("s"))
+    assert out.first()[0] == 20 * 999 * 500.0
+    plan = out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Window" in plan and "Sort [" not in plan and "Exchange hash" not in plan
+    rows.unpersist()

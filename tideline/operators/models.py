@@ -67,10 +67,15 @@ def count_regression(rows: DataFrame, x: list[str], y: str, epochs: int = 30, ra
         rows.unpersist()
 
 
+def together(rows: DataFrame, group: str) -> DataFrame:
+    """rows, kept by group and in its order: windows over a group, however often, neither move nor sort them again."""
+    return rows.repartition(group).sortWithinPartitions(group).persist()
+
+
 def conditional_logit(rows: DataFrame, group: str, x: list[str], won: str, epochs: int = 60, rate: float = 0.045, l2: float = 0.004) -> list[float]:
     """Weights of the softmax within groups; one window and one aggregation an epoch, over rows that lie together by group."""
     w, g = [0.0] * len(x), Window.partitionBy(group)
-    rows = rows.select(group, *x, won).repartition(group).persist()
+    rows = together(rows.select(group, *x, won), group)
     try:
         groups = max(rows.select(group).distinct().count(), 1)
         for _ in range(epochs):
