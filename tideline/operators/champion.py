@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import DAY
 from .calibration import earliest
 from .candidates import winner_classifier
+from .models import together
 from .places import paid
 from .windows import capped, share, softmax
 
@@ -65,7 +66,7 @@ def by_choice(rows: DataFrame, features: list[str], target: str, race: str, l2:
     """Learns who wins a race by a softmax over its runners; l2: the ridge of a race's loss."""
     columns = scaled(rows, features)
     x, g = list(columns), Window.partitionBy(race)
-    lain = rows.withColumns(columns).select(race, *x, target).repartition(race).persist()  # a race's runners lie together
+    lain = together(rows.withColumns(columns).select(race, *x, target), race)
 
     def terms(w: list[float]) -> tuple[DataFrame, list[Column], list[list[Column]]]:
         u = sum((F.col(c) * v for c, v in zip(x, w, strict=True)), F.lit(0.0))
