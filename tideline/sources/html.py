@@ -1,29 +1,39 @@
 """Tables of HTML pages as rows: one pass over a page's tags, then DataFrame code.
 
 `html_rows` walks a page tag by tag and hands out a row as soon as it ends, so that a task holds a page
-and one row of each table that is open, whatever the page's tables hold. Pages need not be well formed:
+and one row of each table that is open, whatever the page's tables hold. `html_tables` leaves a page one row and
+its tables arrays, so that what is read across a page's rows needs no shuffle. Pages need not be well formed:
 a cell ends where the next one begins, a row likewise, whatever is open ends with its table or the page;
 comments, scripts and styles are no text, a stray < is. What the pages say is then read by column
-expressions and windows within a page.
+expressions, and by windows within a page where its rows were handed out.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Rows and cells without attributes that hold text, links and plain inline elements: the same as their tags one by one, but many at once.
+INLINE = r"<(?:/?(?:b|i|u|em|strong|span|small|br)|/a|a href=\"[^\"<>]+\")>"
+PLAIN = re.compile(rf"<(?:(/?tr)|t([dh])>([^<]*+(?:{INLINE}[^<]*+)*+)</t[dh])>")
+PLAINS = re.compile(rf"(?:\s*+<(?:t[dh]>[^<]*+(?:</t[dh]>|(?:{INLINE}[^<]*+)++</t[dh]>)|/?tr>)){{1,2000}}+")
+PARTS = re.compile(INLINE)
 RAW = {"script", "style"}
 #: A span beyond this is taken for this, as browsers do.
 SPAN = 1000
+#: Cells that are handed to Spark at a time; plain cells that a task remembers, each of at most so many characters.
+CELLS_AT_ONCE, KNOWN, SHORT = 100_000, 20_000, 200
 
 CELL = pa.struct([("text", pa.string()), ("href", pa.string()), ("header", pa.bool_())])
+TABLES = "tables array<struct<table:int,table_id:string,table_class:string,rows:array<struct<row:int,texts:array<string>,hrefs:array<string>,headers:array<boolean>>>>>"
 ROWS = "seq int, mark string, text string, table int, table_id string, table_class string, row int, cells array<struct<text:string,href:string,header:boolean>>"
 
 
@@ -36,17 +46,32 @@ def spanned(text: str | None) -> int:
     return min(max(int(n[1]), 1), SPAN) if n else 1
 
 
+def _tidy(text: str) -> str:
+    return " ".join((html.unescape(text) if "&" in text else text).split())
+
+
+def _plain(item: tuple[str, str, str]) -> tuple:
+    """The cell that PLAIN has found."""
+    content, href = item[2], None
+    text = _tidy(content)
+    if "<" in content:
+        text = " ".join(filter(None, map(_tidy, PARTS.split(content))))
+        link = re.search(r'<a href="([^"<>]+)">', content)
+        href = html.unescape(link[1].strip("\"'")) if link else None
+    return text, href, item[1] == "h"
+
+
 class _Table:
     def __init__(self, number: int, named: dict[str, str]) -> None:
         self.number, self.named, self.row = number, named, -1
         self.cells: list | None = None  # of the open row
         self.cell: dict | None = None
-        self.carry: dict[int, tuple[int, dict]] = {}  # by column: a cell that reaches into so many more rows
+        self.carry: dict[int, tuple[int, tuple]] = {}  # by column: a cell that reaches into so many more rows
 
     def end_cell(self) -> None:
         if self.cell is not None:
             c, self.cell = self.cell, None
-            told = {"text": " ".join(c["text"]), "href": c["href"], "header": c["header"]}
+            told = (" ".join(c["text"]), c["href"], c["header"])
             for _ in range(c["cols"]):
                 self.fill()
                 if c["rows"] > 1:
@@ -69,7 +94,8 @@ class _Table:
         if self.cells is None:
             return None
         self.fill()
-        self.carry = {k: v for k, v in self.carry.items() if v[0] > 0}
+        if self.carry:
+            self.carry = {k: v for k, v in self.carry.items() if v[0] > 0}
         cells, self.cells = self.cells, None
         return cells
 
@@ -80,13 +106,19 @@ def walk(page: str, marks: frozenset[str] = frozenset()) -> Iterator[tuple]:
     A row of a table has no mark. An element whose class is among marks comes with its text; so does the next
     element of the same kind, as `after <class>`.
     """
+    for *said, cells in _walk(page, marks, {}):
+        yield *said, None if cells is None else [dict(zip(("text", "href", "header"), c, strict=True)) for c in cells]
+
+
+def _walk(page: str, marks: frozenset[str], known: dict[tuple, tuple]) -> Iterator[tuple]:
+    """What walk() says, cells as (text, href, header). known: plain cells that were met before, which it adds to."""
     open_: list[_Table] = []
     marked: list[list] = []  # tag, depth, mark, texts
     awaited: dict[str, str] = {}
     tables, at = 0, 0
 
     def say(text: str) -> None:
-        text = " ".join(html.unescape(text).split())
+        text = _tidy(text)
         if text:
             for t in open_:
                 if t.cell is not None:
@@ -101,21 +133,45 @@ def walk(page: str, marks: frozenset[str] = frozenset()) -> Iterator[tuple]:
 
     size = len(page)
     while at < size:
+        if len(open_) == 1 and not marked and not awaited and (m := PLAINS.match(page, at)):
+            t = open_[0]
+            for item in PLAIN.findall(page, at, m.end()):
+                if item[0]:
+                    yield from row_of(t)
+                    if item[0] == "tr":
+                        t.start_row()
+                    continue
+                cell = known.get(item)
+                if cell is None:
+                    cell = _plain(item)
+                    if len(item[2]) <= SHORT:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[item] = cell
+                if t.cells is None:
+                    t.start_row()
+                if t.cell is not None:
+                    t.end_cell()
+                if t.carry:
+                    t.fill()
+                t.cells.append(cell)
+            at = m.end()
+            continue
         m = TOKEN.search(page, at)
         if m is None:
             say(page[at:])
             break
-        say(page[at : m.start()])
+        if m.start() > at:
+            say(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         name, closing = m[2].lower(), m[1] == "/"
         if not closing:
-            named = attributes(m[3])
+            named = attributes(m[3]) if m[3] else {}
             for x in marked:
                 x[1] += x[0] == name and not m[3].endswith("/")
-            kinds = (named.get("class") or "").split()
-            mark = next((k for k in kinds if k in marks), None)
+            mark = next((k for k in (named.get("class") or "").split() if k in marks), None) if marks else None
             if mark is not None:
                 marked.append([name, 1, mark, []])
             elif name in awaited:
@@ -142,7 +198,7 @@ def walk(page: str, marks: frozenset[str] = frozenset()) -> Iterator[tuple]:
             continue
         for x in marked:
             x[1] -= x[0] == name
-        for x in [x for x in marked if x[1] == 0]:
+        for x in [x for x in marked if x[1] == 0] if marked else ():
             marked.remove(x)
             if not x[2].startswith("after "):
                 awaited[x[0]] = x[2]
@@ -167,49 +223,126 @@ def html_rows(pages: DataFrame, id: str, page: str = "html", marks: tuple[str, .
     rows = pages.select(F.col(id).alias("id"), F.col(page).alias("page"))
     wanted = frozenset(marks)
     names = [c.split()[0] for c in ROWS.split(", ")]
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(CELL)]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
         for batch in batches:
             kind = batch.schema.field("id").type
             out: list[tuple] = []
-            for key, text in zip(batch.column("id"), batch.column("page").to_pylist(), strict=True):
-                for seq, (mark, said, *rest) in enumerate(walk(text or "", wanted)):
-                    out.append((key.as_py(), seq, mark, said, *rest))
+            for key, text in zip(batch.column("id"), batch.column("page"), strict=True):
+                for seq, said in enumerate(_walk(text.as_py() or "", wanted, known)):
+                    out.append((key.as_py(), seq, *said))
                     if len(out) >= 5000:
                         yield told(out, kind)
                         out = []
             yield told(out, kind)
 
     def told(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [()] * 9
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [kind, *kinds], strict=True)], ["id", *names])
+        *columns, cells = zip(*out, strict=True) if out else [()] * 9
+        return pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, [kind, *kinds], strict=True)], _listed(cells)], ["id", *names])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {ROWS}").withColumnRenamed("id", id)
 
 
+def _listed(rows: Sequence[list[tuple] | None]) -> pa.Array:
+    """Cells of rows as arrays of CELL; flat, so that Arrow reads three columns and no cell by itself."""
+    cells = [c for row in rows for c in row or ()]
+    offsets = np.cumsum([0, *[len(row or ()) for row in rows]])
+    none = np.array([row is None for row in rows], dtype=bool)
+    columns = zip(*cells, strict=True) if cells else [()] * 3
+    flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CELL, strict=True)], fields=list(CELL))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(none) if none.any() else None)
+
+
+def _nested(found: list[list[tuple]]) -> pa.Array:
+    """The tables of pages, each a list of what _walk says without marks, as an array of TABLES."""
+    tables, rows, pages, starts = [], [], [0], [0]
+    for said in found:
+        if len({row[2] for row in said}) > 1:
+            said = sorted(said, key=lambda row: row[2])  # rows of inner tables end before those around them; stable
+        last = None
+        for row in said:
+            if row[2] != last:
+                last = row[2]
+                tables.append(row[2:5])
+                starts.append(starts[-1])
+            starts[-1] += 1
+        rows += said
+        pages.append(len(tables))
+    table, id, kind = zip(*tables, strict=True) if tables else [()] * 3
+    cells = [list(zip(*row[6], strict=True)) for row in rows]
+    columns = [[row[5] for row in rows], [c[0] for c in cells], [c[1] if any(c[1]) else None for c in cells], [c[2] if any(c[2]) else None for c in cells]]
+    kinds = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.bool_())]
+    inner = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "texts", "hrefs", "headers"])
+    outer = [pa.array(table, pa.int32()), pa.array(id, pa.string()), pa.array(kind, pa.string()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), inner)]
+    return pa.ListArray.from_arrays(pa.array(pages, pa.int32()), pa.StructArray.from_arrays(outer, ["table", "table_id", "table_class", "rows"]))
+
+
+def html_tables(pages: DataFrame, keep: tuple[str, ...], page: str = "html") -> DataFrame:
+    """keep, tables of each page; tables are those with rows, in the order in which they begin. Null and empty pages have none.
+
+    hrefs or headers are null where no cell of a row has a link or is a heading.
+    """
+    rows = pages.select(*keep, F.col(page).alias("__page"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        for batch in batches:
+            found, held, start = [], 0, 0
+            kept = batch.select(list(keep))
+            for stop, text in enumerate(batch.column("__page"), 1):
+                found.append(list(_walk(text.as_py() or "", frozenset(), known)))
+                held += sum(len(x[6]) for x in found[-1])
+                if held >= CELLS_AT_ONCE or stop == len(batch):
+                    yield pa.RecordBatch.from_arrays([*kept.slice(start, stop - start).columns, _nested(found)], [*keep, "tables"])
+                    found, held, start = [], 0, stop
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], TABLES]))
+
+
 def texts(cells: str | Column = "cells") -> Column:
     return F.transform(cells, lambda c: c["text"])
 
 
 def headed(rows: DataFrame, id: str) -> DataFrame:
-    """id, table, table_id, row, values: the body rows of tables with a heading, as maps from heading to text.
+    """id, table, table_id, row, values: the body rows of tables with a heading, as maps from heading to text. rows: as html_rows has them.
 
     The heading is the rows of heading cells at a table's top; of several rows the texts of a column are
     joined by _, without blanks and repeats; a name that comes again gets its number (_2, _3).
     """
-    of = [id, "table"]
-    head = F.forall("cells", lambda c: c["header"])
-    body = F.min(F.when(~head, F.col("row"))).over(Window.partitionBy(*of))
-    rows = rows.where("table is not null").withColumn("__body", body)
-    heads = rows.where(F.col("row") < F.coalesce("__body", F.lit(2**31 - 1))).select(*of, "row", F.posexplode(texts()).alias("at", "name"))
-    named = heads.where("name <> ''").groupBy(*of, "at").agg(F.array_join(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("row", "name"))), lambda x: x["name"])), "_").alias("name"))
-    again = F.row_number().over(Window.partitionBy(*of, "name").orderBy("at"))
-    named = named.withColumn("__n", again).select(*of, "at", F.when(F.col("__n") > 1, F.concat_ws("_", "name", "__n")).otherwise(F.col("name")).alias("name"))
-    names = named.groupBy(*of).agg(F.map_from_entries(F.collect_list(F.struct("at", "name"))).alias("names"))  # one entry a column
-    cells = F.transform(texts(), lambda t, i: F.struct(F.try_element_at("names", i).alias("key"), t.alias("value")))
-    body_rows = rows.where(F.col("row") >= F.col("__body")).join(names, of)
-    return body_rows.select(id, "table", "table_id", "row", F.map_from_entries(F.filter(cells, lambda c: c["key"].isNotNull())).alias("values"))
+    whole = rows.where("table is not null").groupBy(id, "table").agg(F.min("table_id").alias("table_id"), F.sort_array(F.collect_list(F.struct("row", texts().alias("texts"), F.transform("cells", lambda c: c["header"]).alias("headers")))).alias("rows"))  # a table of a page
+    return _by_heading(whole, id)
+
+
+def headed_tables(pages: DataFrame, id: str, page: str = "html") -> DataFrame:
+    """What headed() has of all tables of all pages, read page by page without a shuffle."""
+    return _by_heading(html_tables(pages, (id,), page).select(id, F.inline("tables")), id)
+
+
+def _by_heading(tables: DataFrame, id: str) -> DataFrame:
+    """tables: id, table, table_id, rows (row, texts, headers)."""
+    told = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), (r["headers"].isNotNull() & F.forall(r["headers"], lambda h: h)).alias("head"), r["texts"].alias("texts")))
+    tables = tables.select(id, "table", "table_id", told.alias("rows"))
+    # the body begins with the first row that is not all headings
+    begins = F.array_position(F.transform("rows", lambda r: r["head"]), False).cast("int")
+    tables = tables.select(id, "table", "table_id", "rows", begins.alias("begins"))
+    tables = tables.select(
+        id, "table", "table_id", F.when(F.col("begins") > 1, F.transform(F.slice("rows", 1, F.col("begins") - 1), lambda r: r["texts"])).alias("heads"),
+        F.when(F.col("begins") > 1, F.slice("rows", F.col("begins"), F.size("rows"))).alias("body"),
+    )
+    width = F.array_max(F.transform("heads", lambda t: F.size(t)))
+    name = lambda at: F.array_join(F.array_distinct(F.filter(F.transform("heads", lambda t: F.get(t, at)), lambda x: x != "")), "_")
+    named = F.transform(F.sequence(F.lit(0), width - 1), lambda at: F.struct(name(at).alias("name"), at.alias("at")))
+    tables = tables.select(id, "table", "table_id", "body", F.sort_array(F.filter(named, lambda x: x["name"] != "")).alias("named"))
+    again = F.transform("named", lambda x, i: F.named_struct(F.lit("at"), x["at"], F.lit("n"), i + 2 - F.array_position("named.name", x["name"]), F.lit("name"), x["name"]))
+    unlike = F.transform(again, lambda x: F.named_struct(F.lit("at"), x["at"], F.lit("name"), F.when(x["n"] > 1, F.concat_ws("_", x["name"], x["n"])).otherwise(x["name"])))
+    tables = tables.select(id, "table", "table_id", "body", F.sort_array(unlike).alias("names"))
+    # outer, as Spark would otherwise work out what is exploded twice, for a filter of its own
+    tables = tables.select(id, "table", "table_id", "names", F.explode_outer(F.when(F.size("names") > 0, F.col("body"))).alias("r")).where("r is not null")
+    values = F.transform(F.filter("names", lambda x: x["at"] < F.size("r.texts")), lambda x: F.struct(x["name"].alias("key"), F.get("r.texts", x["at"]).alias("value")))
+    return tables.select(id, "table", "table_id", "r.row", F.map_from_entries(values).alias("values"))
 
 
 def _cell(i: int, field: str = "text") -> Column:
@@ -224,10 +357,10 @@ def _place(text: Column) -> Column:
     return F.regexp_extract(text, r"^(\d+)", 1).try_cast("int")
 
 
-def _entity(i: int, name: Column) -> Column:
+def _entity(text: Column, href: Column, name: Column) -> Column:
     """The id in a link, else the one in brackets behind the name, else the name itself."""
-    linked = F.regexp_replace(F.regexp_extract(F.coalesce(_cell(i, "href"), F.lit("")), r"(?i)horseid=([^&]+)", 1), "HK_", "")
-    named = F.regexp_extract(_cell(i), r"\(([A-Z]\d{3})\)", 1)
+    linked = F.regexp_replace(F.regexp_extract(F.coalesce(href, F.lit("")), r"(?i)horseid=([^&]+)", 1), "HK_", "")
+    named = F.regexp_extract(text, r"\(([A-Z]\d{3})\)", 1)
     return F.when(linked != "", linked).when(named != "", named).otherwise(F.replace(F.upper(name), F.lit(" "), F.lit("_")))
 
 
@@ -261,28 +394,33 @@ def race_results(pages: DataFrame, id: str, page: str, date: str) -> DataFrame:
     Finish Time; the place is js_racecard's text. Runners whose place is no number, races of fewer than two, and
     pages without one of the three are left out.
     """
-    rows = html_rows(pages, id, page).where("table is not null")
-    of = Window.partitionBy(id, "table")
-    whole = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", texts().alias("t"))).over(of)), lambda x: x["t"])), " ")
-    rows = rows.withColumn("whole", whole)
-    first = lambda rule, what: F.min(F.when(rule, F.struct("table", F.col(what).alias("v")))).over(Window.partitionBy(id))["v"]
-    venue = first(F.array_contains(F.split("table_class", " "), "js_racecard"), "whole")
-    race = first(F.col("whole").rlike(r"RACE\s+\d+") & F.col("whole").contains("Going"), "whole")
-    result = first(F.col("whole").contains("Horse No.") & F.col("whole").contains("Finish Time"), "table")
-    rows = rows.select("*", F.split(venue, ":")[0].alias("venue"), race.alias("race"), result.alias("result"))
-    body = F.filter("cells", lambda c: ~c["header"])
-    runners = rows.where((F.col("table") == F.col("result")) & (F.col("row") > 0) & (F.col("venue") != "") & F.col("race").isNotNull()).withColumn("cells", body)
-    runners = runners.where(F.size("cells") >= 12).withColumn("finish_position", _place(_cell(0))).where("finish_position is not null")
-    field = F.count(F.lit(1)).over(Window.partitionBy(id))
-    runners = runners.withColumn("field_size", field).where("field_size >= 2").join(pages.select(id, F.col(date).cast("date").alias("date")), id)
-    name = F.trim(F.regexp_replace(_cell(2), r"\s*\([A-Z]\d{3}\)\s*$", ""))
+    whole = lambda t: F.array_join(F.flatten(F.transform(t["rows"], lambda r: r["texts"])), " ")
+    told = F.transform("tables", lambda t: F.struct(t["table_class"].alias("kind"), whole(t).alias("whole"), t["rows"].alias("rows")))
+    read = html_tables(pages.select(id, page, F.col(date).cast("date").alias("date")), (id, "date"), page).select(id, "date", told.alias("told"))
+    first = lambda rule: F.get(F.filter("told", rule), F.lit(0))
+    read = read.select(
+        id, "date", F.split(first(lambda t: F.array_contains(F.split(t["kind"], " "), "js_racecard"))["whole"], ":")[0].alias("venue"),
+        first(lambda t: t["whole"].rlike(r"RACE\s+\d+") & t["whole"].contains("Going"))["whole"].alias("race"),
+        first(lambda t: t["whole"].contains("Horse No.") & t["whole"].contains("Finish Time"))["rows"].alias("rows"),
+    )
+    body = lambda r, c: F.when(r["headers"].isNull(), r[c]).otherwise(F.filter(r[c], lambda _, i: ~F.get(r["headers"], i)))
+    bodies = F.transform(F.filter("rows", lambda r: r["row"] > 0), lambda r: F.named_struct(F.lit("texts"), body(r, "texts"), F.lit("hrefs"), body(r, "hrefs")))
+    runners = F.filter(bodies, lambda r: (F.size(r["texts"]) >= 12) & _place(F.get(r["texts"], F.lit(0))).isNotNull())
+    read = read.select(id, "date", "venue", "race", F.when((F.col("venue") != "") & F.col("race").isNotNull(), runners).alias("runners"))
     number = F.regexp_extract("race", r"RACE\s+(\d+)", 1).cast("int")
     named = F.trim(F.regexp_extract("race", rf"(?is)Going\s*:\s*(?:{GOING})\s+(.*?)\s+Course\s*:", 1))
-    return runners.select(
+    # what is said of the race is read once, before it has a row a runner
+    races = read.select(
         id, F.concat_ws(":", F.lit("HK"), "date", _venue(F.col("venue")), number).alias("race_id"), "date", "venue", number.alias("race_number"), named.alias("race_name"),
-        *[c.alias(k) for k, c in metadata(F.col("race")).items()], _entity(2, name).alias("horse_id"), name.alias("horse_name"), _cell(3).alias("jockey"), _cell(4).alias("trainer"),
-        _number(_cell(5)).alias("weight"), _number(_cell(6)).alias("horse_weight"), _number(_cell(7)).alias("draw"), "finish_position", "field_size",
-        (F.col("finish_position") == 1).cast("int").alias("won"), (F.col("finish_position") <= _slots(F.col("field_size"))).cast("int").alias("placed"), _cell(10).alias("finish_time"), _number(_cell(11)).alias("win_odds"),
+        *[c.alias(k) for k, c in metadata(F.col("race")).items()], F.size("runners").cast("long").alias("field_size"), F.when(F.size("runners") >= 2, F.col("runners")).alias("runners"),
+    )
+    rows = races.select(*[c for c in races.columns if c != "runners"], F.inline_outer("runners")).where("texts is not null")  # outer, as Spark would otherwise work out what is exploded twice, for a filter of its own
+    text = lambda i: F.get("texts", F.lit(i))
+    rows = rows.withColumns({"finish_position": _place(text(0)), "horse_name": F.trim(F.regexp_replace(text(2), r"\s*\([A-Z]\d{3}\)\s*$", ""))})
+    return rows.select(
+        id, "race_id", "date", "venue", "race_number", "race_name", "distance", "race_class", "surface", "going", _entity(text(2), F.get("hrefs", F.lit(2)), F.col("horse_name")).alias("horse_id"), "horse_name", text(3).alias("jockey"), text(4).alias("trainer"),
+        _number(text(5)).alias("weight"), _number(text(6)).alias("horse_weight"), _number(text(7)).alias("draw"), "finish_position", "field_size",
+        (F.col("finish_position") == 1).cast("int").alias("won"), (F.col("finish_position") <= _slots(F.col("field_size"))).cast("int").alias("placed"), text(10).alias("finish_time"), _number(text(11)).alias("win_odds"),
     )
 
 
@@ -301,7 +439,7 @@ def day_results(pages: DataFrame, id: str, page: str, date: str) -> DataFrame:
     name = F.trim(F.regexp_replace(_cell(2), r"\s*\([A-Z]\d{3}\)\s*$", ""))
     return rows.select(
         id, F.concat_ws(":", F.lit("HK"), "date", _venue(F.col("venue")), "race_number").alias("race_id"), "date", "venue", "race_number", *[c.alias(k) for k, c in metadata(F.col("about")).items()],
-        _entity(2, name).alias("horse_id"), name.alias("horse_name"), _cell(3).alias("jockey"), _cell(4).alias("trainer"), _number(_cell(5)).alias("weight"), _number(_cell(6)).alias("draw"),
+        _entity(_cell(2), _cell(2, "href"), name).alias("horse_id"), name.alias("horse_name"), _cell(3).alias("jockey"), _cell(4).alias("trainer"), _number(_cell(5)).alias("weight"), _number(_cell(6)).alias("draw"),
         "finish_position", "field_size", (F.col("finish_position") == 1).cast("int").alias("won"), (F.col("finish_position") <= _slots(F.col("field_size"))).cast("int").alias("placed"),
     )
 
@@ -318,7 +456,7 @@ def race_cards(pages: DataFrame, id: str, page: str) -> DataFrame:
     rows = rows.withColumns({"heading": heading, "starter": starter}).where("table = starter and row > 0 and heading is not null")
     rows = rows.withColumn("cells", F.filter("cells", lambda c: ~c["header"])).where((F.size("cells") >= 27) & (_cell(3) != ""))
     runner = F.struct(
-        F.col("row"), _entity(3, _cell(3)).alias("horse_id"), _cell(3).alias("horse_name"), F.coalesce(_number(_cell(0)).cast("int"), F.lit(0)).alias("number"), _cell(1).alias("last_six"), _number(_cell(5)).alias("weight"),
+        F.col("row"), _entity(_cell(3), _cell(3, "href"), _cell(3)).alias("horse_id"), _cell(3).alias("horse_name"), F.coalesce(_number(_cell(0)).cast("int"), F.lit(0)).alias("number"), _cell(1).alias("last_six"), _number(_cell(5)).alias("weight"),
         _cell(6).alias("jockey"), _number(_cell(8)).alias("draw"), _cell(9).alias("trainer"), _number(_cell(11)).alias("rating"), _number(_cell(12)).alias("rating_change"), _number(_cell(13)).alias("horse_weight"),
         _number(_cell(16)).alias("age"), _number(_cell(21)).alias("days_since_last_run"), _cell(22).alias("gear"),
     )
