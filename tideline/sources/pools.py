@@ -6,6 +6,8 @@ worked on by higher-order functions, so that a race stays one row from its card
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,18 @@ def _numbered(no: Column) -> Column:
     return F.when(F.length(no) < 2, F.lpad(no, 2, "0")).otherwise(no)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value worked out once a row; named in a lambda, an expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _mapped(entries: Column) -> Column:
     """Entries (key, value) as a map; of entries with one key the last counts."""
-    last = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda f: f["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, last))
+
+    def last(all_: Column) -> Column:
+        return F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_) - i - 1, F.lit(0))), lambda f: f["key"] == e["key"]))
+
+    return _once(entries, lambda m: F.map_from_entries(last(m)))
 
 
 def active_meetings(payloads: DataFrame, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -52,7 +62,7 @@ def race_cards(payloads: DataFrame, column: str = "payload", keep: tuple[str, ..
     are never in win_odds.
     """
     m = F.get(F.from_json(column, CARDS)["data"]["raceMeetings"], F.lit(0))
-    races = payloads.select(*keep, m.alias("m")).select(*keep, F.col("m.date").alias("date"), F.col("m.venueCode").alias("venue"), F.explode("m.races").alias("r")).where("r.no is not null")
+    races = payloads.select(*keep, m.alias("m")).select(*keep, F.col("m.date").alias("date"), F.col("m.venueCode").alias("venue"), F.explode_outer("m.races").alias("r")).where("r.no is not null")  # outer, as Spark would otherwise read the payload again for a filter of its own
 
     def runner(x: Column) -> Column:
         number, status = _text(x["no"]), _text(x["status"])
@@ -80,16 +90,20 @@ def with_pools(races: DataFrame, payloads: DataFrame, race: str = "race_id", col
     runners, and prices of 1 or less, go. Of several pools of a kind the last with a quote counts; without one a race keeps what
     it had. A pool is closed unless its win pool is said to sell.
     """
+    return pooled(races.join(payloads.select(race, F.col(column).alias("__payload")), race, "left"), "__payload").drop("__payload")
+
+
+def pooled(races: DataFrame, column: str) -> DataFrame:
+    """with_pools() of races that have the payload of their pools in a column, which stays."""
     pools = F.coalesce(F.get(F.from_json(column, POOLS)["data"]["raceMeetings"], F.lit(0))["pmPools"], F.array().cast("array<struct<oddsType:string, sellStatus:string, oddsNodes:array<struct<combString:string, oddsValue:string>>>>"))
-    both = races.join(payloads.select(race, pools.alias("__pools")), race, "left")
+    both = races.withColumn("__pools", pools)
     keys = _mapped(F.transform("runners", lambda x: F.struct(_numbered(x["number"]).alias("key"), x["key"].alias("value"))))
     gone = F.transform(F.filter("runners", lambda x: x["scratched"]), lambda x: _numbered(x["number"]))
-    both = both.withColumns({"__keys": keys, "__gone": gone})
     node = lambda n: F.struct(_numbered(_text(n["combString"])).alias("number"), n["oddsValue"].try_cast("double").alias("odds"))
-    nodes = lambda p: F.filter(F.transform(F.coalesce(p["oddsNodes"], F.array().cast("array<struct<combString:string, oddsValue:string>>")), node), lambda q: (q["odds"] > 1) & ~F.array_contains("__gone", q["number"]))
-    quotes = lambda p: F.transform(nodes(p), lambda q: F.struct(F.coalesce(F.try_element_at("__keys", q["number"]), q["number"]).alias("key"), q["odds"].alias("value")))
-    told = F.transform("__pools", lambda p: F.struct(_text(p["oddsType"]).alias("kind"), (F.upper(_text(p["sellStatus"])) != "AVAILABLE").alias("closed"), quotes(p).alias("quotes")))
-    both = both.withColumn("__told", F.filter(told, lambda p: F.size(p["quotes"]) > 0))
+    nodes = lambda p, k: F.filter(F.transform(F.coalesce(p["oddsNodes"], F.array().cast("array<struct<combString:string, oddsValue:string>>")), node), lambda q: (q["odds"] > 1) & ~F.array_contains(k["gone"], q["number"]))
+    quotes = lambda p, k: F.transform(nodes(p, k), lambda q: F.struct(F.coalesce(F.try_element_at(k["keys"], q["number"]), q["number"]).alias("key"), q["odds"].alias("value")))
+    told = lambda k: F.transform("__pools", lambda p: F.struct(_text(p["oddsType"]).alias("kind"), (F.upper(_text(p["sellStatus"])) != "AVAILABLE").alias("closed"), quotes(p, k).alias("quotes")))
+    both = both.withColumn("__told", F.filter(_once(F.struct(keys.alias("keys"), gone.alias("gone")), told), lambda p: F.size(p["quotes"]) > 0))
     last = lambda kind: F.try_element_at(F.filter("__told", lambda p: p["kind"] == kind), F.lit(-1))
     both = both.withColumns({"__win": last("WIN"), "__place": last("PLA")})
     held = [c for c in races.columns if c != "win_odds"]
