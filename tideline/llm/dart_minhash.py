@@ -22,6 +22,9 @@ pair whose bound is beyond what the similarity allows is no link; the others are
 dealt out by pairs of their chunks, so no task sees more than two chunks. So the classes are the components of all links
 between nodes that share a bucket: none is left out. The last turn is quadratic in what remains unlinked of a bucket.
 
+Regions take more room than the texts. They are written for nodes that share a bucket only, from a second reading of the
+documents, which finds a node's text by its id and MD5. Joins with what grows with the documents shuffle at every size.
+
 Defined cases: words are runs of non-space characters, lower-cased; a text of one to four words is
 one shingle; a null, empty or blank text is a class of its own; rows that repeat an id or a text
 fall in one class; class_id is the smallest doc_id of the class (null if it has none); is_kept marks
@@ -39,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import few_rows, small, spool, unlink
@@ -56,8 +59,8 @@ CHUNK, AT_ONCE = 1024, 1 << 19
 #: Bytes of text that are signed at a time; words whose hashes a task remembers; rows with texts or regions that come to Python at a time.
 STEP_BYTES, KNOWN, ROWS_AT_ONCE = 1 << 19, 100_000, 500
 
-SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("md5", pa.string()), ("digest", pa.binary()), ("regions", pa.binary()), ("bands", pa.list_(pa.int64()))])
-SIGNED_DDL = "row long, doc_id long, md5 string, digest binary, regions binary, bands array<long>"
+SIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("md5", pa.string()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED_DDL = "row long, doc_id long, md5 string, digest binary, bands array<long>"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -155,7 +158,8 @@ def banded(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], np.ndarray, np.ndarray]]:
+    """Slices of the batches with their texts' words and regions: document, hash."""
     hashed = Words()
     for whole in batches:
         # few documents at a time: the darts of one are some thousand, or as many as its words
@@ -165,14 +169,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(start, stop - start)
             texts = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in batch.column("text").to_pylist()]
             counts = np.array([len(t) for t in texts], dtype=np.int64)
-            hashes = hashed([w for t in texts for w in t])
-            doc, region = regions(hashes, counts)
-            keys = banded(signatures(doc, region, len(texts)))
-            ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-            blobs = [np.unique(region[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            digests = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() if t else None for t in texts]
-            lists = [k.tolist() if t else None for k, t in zip(keys, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("md5"), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=SIGNED)
+            yield batch, texts, *regions(hashed([w for t in texts for w in t]), counts)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts, doc, region in _read(batches):
+        keys = banded(signatures(doc, region, len(texts)))
+        digests = [hashlib.blake2b(b" ".join(t), digest_size=16).digest() if t else None for t in texts]
+        lists = [k.tolist() if t else None for k, t in zip(keys, texts, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("md5"), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=SIGNED)
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts, doc, region in _read(batches):
+        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+        blobs = [np.unique(region[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, pa.binary())], ["node", "regions"])
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +207,8 @@ def sketch(region: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("regions")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["node", "n", "sketch"])
+        columns = [batch.column("node"), batch.column("regions"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "regions", "n", "sketch"])
 
 
 def possible(root: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], similar: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -251,9 +264,8 @@ def _rest(similar: float):
     return run
 
 
-def remaining(members: DataFrame, arrays: DataFrame, similar: float) -> DataFrame:
-    """a, b, x, y: all pairs of nodes of different classes that share a bucket, but those whose sketches rule a link out. members: key, node, root."""
-    sketched = arrays.join(members.select("node").distinct(), "node", "left_semi").select("node", "regions").mapInArrow(_sketches, "node long, n long, sketch binary")
+def remaining(members: DataFrame, sketched: DataFrame, similar: float) -> DataFrame:
+    """a, b, x, y: all pairs of nodes of different classes that share a bucket, but those whose sketches rule a link out. members: key, node, root; sketched: node, n, sketch."""
     chunks = members.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("m"))
     mine = F.pmod(F.xxhash64("node"), F.col("m"))
     others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda d: (F.col("m") == 1) | (d != mine))
@@ -284,13 +296,26 @@ def asked(members: DataFrame, turn: int, pivots: int) -> DataFrame:
     return met.select(*ordered).distinct()
 
 
+def shared(keyed: DataFrame) -> DataFrame:
+    """key, node: the buckets that several nodes share."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return spool(keyed.join(several, "key", "left_semi"), "buckets")
+
+
 def linked(keyed: DataFrame, arrays: DataFrame, similar: float = SIMILAR, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
     """node, root of every node that shares a bucket; root names its class: the component of all links. keyed: key, node; arrays: node, regions."""
-    spark = keyed.sparkSession
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = spool(keyed.join(several, "key", "left_semi"), "buckets")
+    members = shared(keyed)
+    return grown(members, arrays.join(members.select("node").distinct(), "node", "left_semi"), similar, pivots)
+
+
+def grown(members: DataFrame, arrays: DataFrame, similar: float = SIMILAR, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
+    """As linked; members: key, node of shared buckets, spooled; arrays: node, regions of these nodes, a row each."""
+    spark = members.sparkSession
     roots = spool(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
-    held = spool(arrays.join(roots.select("node"), "node", "left_semi"), "held")
+    with few_rows(spark, ROWS_AT_ONCE):
+        held = spool(arrays.select("node", "regions").mapInArrow(_sketches, "node long, regions binary, n long, sketch binary"), "held")
+    if held.count() != roots.count():
+        raise ValueError("not one row of regions for each node: the documents changed between two readings")
     for turn, most in enumerate([*pivots, None]):
         named = members.join(roots, "node")
         mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
@@ -331,6 +356,18 @@ def stars(links: DataFrame) -> DataFrame:
         before = now
 
 
+def id_and_text(md5: Column | str, doc_id: Column | str) -> Column:
+    """What tells a row by its id, null or not, and its text."""
+    return F.concat_ws(" ", md5, doc_id)
+
+
+def arrays(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, regions of the wanted nodes, each of one row of the documents. wanted: node, name."""
+    rows = documents.select(id_and_text(F.md5("text"), F.col("doc_id").cast("long")).alias("name"), "text")
+    found = rows.join(wanted.hint("shuffle_hash"), "name").dropDuplicates(["name"])
+    return found.select("node", "text").mapInArrow(_regions, "node long, regions binary")
+
+
 def classes(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """row, doc_id, md5, class_id, class_size, is_kept of every document; md5 is that of its text."""
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.md5("text").alias("md5"), "text")
@@ -339,10 +376,14 @@ def classes(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
     # one node for each sequence of words: the smallest row that has it
     named = signed.where("digest is not null")
     first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
-    texts = spool(named.groupBy("digest").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min(first).alias("first")), "texts")
-    bands = named.select(F.col("row").alias("node"), "bands").join(texts.select("node"), "node", "left_semi")
+    top = F.struct(F.col("row").alias("node"), id_and_text("md5", "doc_id").alias("name"))
+    texts = named.groupBy("digest").agg(F.min(top).alias("top"), F.count("*").alias("n"), F.min(first).alias("first"))
+    texts = spool(texts.select("digest", "top.node", "top.name", "n", "first"), "texts")
+    bands = named.select(F.col("row").alias("node"), "bands").join(texts.select("node").hint("shuffle_hash"), "node", "left_semi")
     keyed = bands.select(F.explode("bands").alias("key"), "node")
-    roots = linked(keyed, named.select(F.col("row").alias("node"), "regions"), similar)
+    members = shared(keyed)
+    wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", "name")
+    roots = grown(members, arrays(documents, wanted), similar)
     rooted = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.sum("n").alias("class_size"), F.min("first").alias("kept"))
     known = spool(rooted.select("digest", "root").join(groups, "root").select("digest", "class_size", "kept"), "known")
